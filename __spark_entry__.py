@@ -23,7 +23,7 @@ from waymark.operators.ids import normalize, to_guid
 from waymark.operators.matching import (
     build_index,
     build_postings,
-    expand_prefixes,
+    expand_terms,
     match_requests,
 )
 from waymark.operators.paths import build_paths
@@ -132,7 +132,7 @@ def _find_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _rank_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = Fixture(spark, sf_dir)
-    return rank_words(f.word_requests, f.dictionary, f.socrbase)
+    return rank_words(f.word_requests, f.lexicon)
 
 
 def _rank_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,7 +153,7 @@ def _suggest(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = f.table("benchmark").select(F.explode(tokenize(F.col("text"))).alias("word"))
     lost = F.concat(F.substring("word", 1, 1), F.expr("substr(word, 3)"))
     misspelt = words.where(F.length("word") > 4).select(lost.alias("word")).distinct()
-    return suggest(misspelt, f.dictionary).withColumn("precision", F.round("precision", 9))
+    return suggest(misspelt, f.lexicon).withColumn("precision", F.round("precision", 9))
 
 
 def _term_text(column: str) -> Column:
@@ -167,7 +167,7 @@ def _term_text(column: str) -> Column:
 
 
 def _varied(f: Fixture, strong: bool) -> DataFrame:
-    return analyse(f.find_requests, f.dictionary, f.socrbase, f.settings, strong)
+    return analyse(f.find_requests, f.lexicon, f.settings, strong)
 
 
 def _variations(strong: bool) -> Query:
@@ -206,10 +206,7 @@ def _index_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _prefix_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every address term less its last two letters."""
-    terms = Fixture(spark, sf_dir).index.terms
-    cut = F.expr("substr(term, 1, length(term) - 2)").alias("prefix")
-    return expand_prefixes(terms.where("field = 'f'").select(cut).distinct(), terms)
+    return expand_terms(Fixture(spark, sf_dir).index.terms)
 
 
 def _match(op: str) -> Query:
@@ -226,7 +223,7 @@ def _match(op: str) -> Query:
 def _find(strong: bool) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         f = Fixture(spark, sf_dir)
-        return find(f.find_requests, f.index, f.dictionary, f.socrbase, f.settings, strong)
+        return find(f.find_requests, f.index, f.lexicon, f.settings, strong)
 
     return run
 

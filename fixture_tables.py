@@ -15,8 +15,8 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.functions.text import trigram_text
 from waymark.operators.dictionary import build_dictionary
+from waymark.operators.lexicon import Lexicon, build_lexicon
 from waymark.operators.matching import SearchIndex, build_index
 from waymark.operators.paths import build_paths
 from waymark.plans.stage import stage
@@ -165,6 +165,10 @@ class Fixture:
     def dictionary(self) -> DataFrame:
         return self._keep("dictionary", lambda: stage(build_dictionary(self.texts), "dictionary"))
 
+    @property
+    def lexicon(self) -> Lexicon:
+        return self._keep("lexicon", lambda: build_lexicon(self.dictionary, self.socrbase))
+
     @property
     def index(self) -> SearchIndex:
         return self._keep("index", lambda: build_index(self.paths))
@@ -178,11 +182,11 @@ class Fixture:
 
     @property
     def id_requests(self) -> DataFrame:
-        return self.sql(ID_REQUESTS, addrobj=self.addrobj)
+        return self._staged("id-requests", ID_REQUESTS, addrobj=self.addrobj)
 
     @property
     def version_requests(self) -> DataFrame:
-        return self.sql(VERSION_REQUESTS, addrobj=self.addrobj)
+        return self._staged("version-requests", VERSION_REQUESTS, addrobj=self.addrobj)
 
     @property
     def deletes(self) -> DataFrame:
@@ -190,8 +194,9 @@ class Fixture:
 
     @property
     def word_requests(self) -> DataFrame:
-        words = self.sql(WORD_REQUESTS, dictionary=self.dictionary, socrbase=self.socrbase)
-        return words.withColumn("bare", F.col("word"))
+        return self._staged(
+            "word-requests", WORD_REQUESTS, dictionary=self.dictionary, socrbase=self.socrbase
+        ).withColumn("bare", F.col("word"))
 
     @property
     def find_requests(self) -> DataFrame:

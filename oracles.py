@@ -469,8 +469,7 @@ FINAL = {
         "SELECT request_id, pos, word, full_terms, abbr_terms FROM variations_strong",
     "postings": "SELECT term, doc_id, field, pos FROM postings",
     "index_terms": "SELECT field, term, df FROM terms",
-    "prefix_expand": """SELECT prefix, pos, term, df FROM expansions
-        WHERE prefix IN (SELECT substr(term, 1, length(term) - 2) FROM terms WHERE field = 'f')""",
+    "prefix_expand": "SELECT prefix, pos, term, df FROM expansions",
     "query_plans": """SELECT request_id, cort, op, groups, sname FROM options_soft""",
     "query_plans_strong": """SELECT request_id, cort, op, groups, sname FROM options_strong""",
     "match_all": """SELECT h.request_id, h.cort, h.pos, h.doc_id, h.aoid, h.fullname, h.krank

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from waymark.functions.predicates import is_current
 from waymark.operators.ids import resolve_requests
 from waymark.plans.skew import skew_join, small_or_plain
-from waymark.plans.stage import stage
+from waymark.plans.stage import measured, stage
 from waymark.settings import DEFAULTS, SearchSettings
 
 ELEMENT = ["aoid", "aoguid", "shortname", "formalname", "aolevel", "regioncode"]
@@ -25,25 +25,35 @@ def _own_text() -> F.Column:
     return F.concat("shortname", F.lit(" "), "formalname")
 
 
+def _parents_of(starts: DataFrame) -> DataFrame:
+    parents = starts.where(F.col("parentguid").isNotNull())
+    return stage(parents.select(F.col("parentguid").alias("guid")).distinct(), "climb-guids")
+
+
 def _climb(
-    frontier: DataFrame,
+    guids: DataFrame,
     parents: DataFrame,
     step: Callable[[DataFrame, int], DataFrame],
     carried: list[str],
     settings: SearchSettings,
 ) -> DataFrame:
-    """Rounds of joins from (guid, up, ...) to the current rows of object `up`.
+    """Rounds of joins from the objects (guid) to their current rows, the current
+    rows of their parents, and so on.
     `step` shapes the rows of a round, whose `up` is the next object to visit;
     `carried` are the columns that it needs of the round before. Returns the rows of all rounds."""
     rounds = []
+    frontier = guids.select("guid", F.col("guid").alias("up"))
+    known = measured(guids)
     for depth in range(1, settings.max_depth + 2):
         if depth > settings.max_depth:
             raise ValueError(f"hierarchy deeper than {settings.max_depth}; is there a cycle?")
         joined = skew_join(
-            frontier, parents, ["up"], ["guid"], rows_per_task=settings.rows_per_task
+            frontier, parents, ["up"], ["guid"], rows_per_task=settings.rows_per_task,
+            at_most=known,
         )
         level = stage(step(joined, depth), f"climb-{depth}")
         rounds.append(level)
+        known = measured(level)
         frontier = level.where(F.col("up").isNotNull()).select("guid", "up", *carried)
         if frontier.isEmpty():
             return reduce(DataFrame.unionByName, rounds)
@@ -69,7 +79,7 @@ def expand(
         addrobj.select(*ELEMENT, "parentguid").join(wanted, "aoid", "left_semi"),
         "expand-starts",
     )
-    guids = starts.select("parentguid").where(F.col("parentguid").isNotNull()).distinct()
+    guids = _parents_of(starts)
     parents = stage(
         addrobj.where(is_current()).select(
             F.col("aoguid").alias("up"), *ELEMENT, F.col("parentguid").alias("above")
@@ -82,8 +92,7 @@ def expand(
             "guid", F.lit(depth).alias("depth"), *ELEMENT, F.col("above").alias("up")
         )
 
-    frontier = guids.select(F.col("parentguid").alias("guid"), F.col("parentguid").alias("up"))
-    above = _climb(frontier, parents, step, [], settings).drop("up")
+    above = _climb(guids, parents, step, [], settings).drop("up")
 
     names = small_or_plain(
         socrbase.select(
@@ -104,6 +113,7 @@ def expand(
         spread,
         "left",
         settings.rows_per_task,
+        at_most=measured(found),
     )
     upper_rows = skew_join(
         own_rows.where(F.col("parentguid").isNotNull()).select(
@@ -113,6 +123,7 @@ def expand(
         ["guid"],
         spread,
         rows_per_task=settings.rows_per_task,
+        at_most=measured(found),
     )
     columns = ["request_id", "depth", *ELEMENT, "socrname"]
     status = F.when(F.col("aoid").isNull(), "not_found").otherwise("ok").alias("status")
@@ -144,7 +155,7 @@ def full_text(
         ),
         "text-starts",
     )
-    guids = starts.select("parentguid").where(F.col("parentguid").isNotNull()).distinct()
+    guids = _parents_of(starts)
     parents = stage(
         addrobj.where(is_current()).select(
             F.col("aoguid").alias("up"),
@@ -160,9 +171,8 @@ def full_text(
             "guid", F.col("above").alias("up"), text.alias("text")
         ).dropDuplicates()
 
-    frontier = guids.select(F.col("parentguid").alias("guid"), F.col("parentguid").alias("up"))
     complete = (
-        _climb(frontier, parents, step, ["text"], settings)
+        _climb(guids, parents, step, ["text"], settings)
         .where(F.col("up").isNull())
         .select(F.col("guid").alias("parentguid"), "text")
         .distinct()
@@ -173,6 +183,7 @@ def full_text(
         ["parentguid"],
         ["aoid"],
         rows_per_task=settings.rows_per_task,
+        at_most=measured(starts),
     ).select("aoid", F.concat("text", F.lit(", "), "own").alias("fullname"))
     roots = starts.where(F.col("parentguid").isNull()).select(
         "aoid", F.col("own").alias("fullname")

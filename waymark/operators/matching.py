@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from waymark.functions.text import chunks, index_terms
 from waymark.operators.queries import variant_key
-from waymark.plans.skew import skew_join, work_join
-from waymark.plans.stage import stage
+from waymark.plans.skew import hot_keys, salted_join, skew_join, work_join
+from waymark.plans.stage import measured, stage
 from waymark.settings import DEFAULTS, SearchSettings
 
 SATURATION = 1.2  # the usual constant of the BM25 family
@@ -24,12 +24,14 @@ SATURATION = 1.2  # the usual constant of the BM25 family
 @dataclass(frozen=True)
 class SearchIndex:
     """docs: id, aoid, fullname, wordcount, and the terms and positions of both
-    fields. postings: (field, term, doc_id, n, pos). terms: (field, term, df,
-    most), `most` being the most occurrences in one document."""
+    fields. postings: (field, term, doc_id). terms: (field, term, df, most), `most`
+    being the most occurrences in one document. expansions: (prefix, pos, term, df),
+    the address terms that a prefix stands for."""
 
     docs: DataFrame
     postings: DataFrame
     terms: DataFrame
+    expansions: DataFrame
     n_docs: int
 
 
@@ -48,7 +50,23 @@ def build_postings(paths: DataFrame) -> DataFrame:
     return fields[0].unionByName(fields[1]).select("term", "doc_id", "field", "pos")
 
 
-def build_index(paths: DataFrame) -> SearchIndex:
+def expand_terms(terms: DataFrame, settings: SearchSettings = DEFAULTS) -> DataFrame:
+    """(field, term, df) to (prefix, pos, term, df): for each prefix of an address
+    term the commonest terms that start with it, then by term. Too short prefixes
+    have none. Spark cuts each partition to the first rows of a prefix before the
+    shuffle, so no prefix is too common."""
+    ends = F.sequence(F.lit(settings.min_prefix), F.length("term"))
+    prefixes = F.transform(ends, lambda n: F.substr("term", F.lit(1), n))
+    long = terms.where((F.col("field") == "f") & (F.length("term") >= settings.min_prefix))
+    rows = long.select(F.explode(prefixes).alias("prefix"), "term", "df")
+    order = Window.partitionBy("prefix").orderBy(F.desc("df"), "term")
+    ranked = rows.withColumn("pos", F.row_number().over(order))
+    return ranked.where(F.col("pos") <= settings.expansion_limit).select(
+        "prefix", "pos", "term", "df"
+    )
+
+
+def build_index(paths: DataFrame, settings: SearchSettings = DEFAULTS) -> SearchIndex:
     docs = paths.select(
         F.col("id").alias("doc_id"), "aoid", "fullname", "wordcount",
         index_terms(F.col("fullname")).alias("f"), index_terms(F.col("sname")).alias("s"),
@@ -76,36 +94,17 @@ def build_index(paths: DataFrame) -> SearchIndex:
     terms = postings.groupBy("field", "term").agg(
         F.count(F.lit(1)).alias("df"), F.max("n").alias("most")
     )
-    return SearchIndex(docs, postings, stage(terms, "index-terms"), docs.count())
+    terms = stage(terms, "index-terms")
+    expansions = stage(expand_terms(terms, settings), "index-expansions")
+    n_docs = measured(docs)
+    if n_docs is None:
+        n_docs = docs.count()
+    return SearchIndex(docs, postings.drop("n"), terms, expansions, n_docs)
 
 
-def expand_prefixes(
-    prefixes: DataFrame, terms: DataFrame, settings: SearchSettings = DEFAULTS
+def _query_terms(
+    variants: DataFrame, index: SearchIndex, settings: SearchSettings, n_terms: int | None
 ) -> DataFrame:
-    """Distinct (prefix) to (prefix, pos, term, df): the commonest address terms
-    that start with it, then by term. Prefixes that are too short have none."""
-    wanted = prefixes.where(F.length("prefix") >= settings.min_prefix)
-    ends = F.sequence(F.lit(settings.min_prefix), F.length("term"))
-    of_terms = (
-        terms.where((F.col("field") == "f") & (F.length("term") >= settings.min_prefix))
-        .select(
-            "term",
-            "df",
-            F.explode(F.transform(ends, lambda n: F.substr("term", F.lit(1), n))).alias("prefix"),
-        )
-    )
-    # Spark cuts each partition to the first rows of a prefix before the shuffle.
-    order = Window.partitionBy("prefix").orderBy(F.desc("df"), "term")
-    met = skew_join(
-        of_terms, wanted, ["prefix"], ["term"], rows_per_task=settings.rows_per_task
-    )
-    ranked = met.withColumn("pos", F.row_number().over(order))
-    return ranked.where(F.col("pos") <= settings.expansion_limit).select(
-        "prefix", "pos", "term", "df"
-    )
-
-
-def _query_terms(variants: DataFrame, index: SearchIndex, settings: SearchSettings) -> DataFrame:
     """One row per variant, group and index term, with the term's statistics.
     Groups are numbered within their field. A word that the index would split
     becomes several groups."""
@@ -127,16 +126,16 @@ def _query_terms(variants: DataFrame, index: SearchIndex, settings: SearchSettin
     )
     plain = asked.where(~F.col("starred")).drop("starred")
     starred = asked.where("starred").withColumnRenamed("term", "prefix").drop("starred")
-    # Prefix terms: every index term that stands for the prefix.
-    expanded = expand_prefixes(starred.select("prefix").distinct(), index.terms, settings)
     spread = ["variant", "g"]
+    limit = settings.rows_per_task
     starred = skew_join(
-        starred, expanded.select("prefix", "term"), ["prefix"], spread, "left",
-        settings.rows_per_task,
+        starred, index.expansions.select("prefix", "term"), ["prefix"], spread, "left", limit,
+        at_most=n_terms,
     ).drop("prefix")
     rows = plain.unionByName(starred)
+    n_rows = None if n_terms is None else n_terms * settings.expansion_limit
     return skew_join(
-        rows, index.terms, ["field", "term"], spread, "left", settings.rows_per_task
+        rows, index.terms, ["field", "term"], spread, "left", limit, at_most=n_rows
     )
 
 
@@ -145,12 +144,14 @@ def _idf(index: SearchIndex) -> Column:
     return F.log((F.lit(n) - F.col("df") + 1) / F.col("df")) / (2 * F.log(F.lit(n + 1.0)))
 
 
-def _resolve(variants: DataFrame, index: SearchIndex, settings: SearchSettings) -> DataFrame:
+def _resolve(
+    variants: DataFrame, index: SearchIndex, settings: SearchSettings, n_terms: int | None
+) -> DataFrame:
     """Distinct variants with their groups of weighted index terms. A variant
     of which a required group has no term in the index cannot match and is
     dropped; an optional group without terms is. `cost` is the number of postings
     of a group and `most` the most it can add to a rank."""
-    rows = _query_terms(variants, index, settings)
+    rows = _query_terms(variants, index, settings, n_terms)
     term = rows.groupBy("variant", "field", "g", "part", "required", "term").agg(
         F.max("boost").alias("boost"), F.max("df").alias("df"), F.max("most").alias("most")
     )
@@ -161,7 +162,7 @@ def _resolve(variants: DataFrame, index: SearchIndex, settings: SearchSettings)
     groups = term.groupBy("variant", "field", "g", "part", "required").agg(
         F.coalesce(F.sum("df"), F.lit(0)).alias("cost"),
         F.coalesce(F.sum(F.greatest(top, F.lit(0.0))), F.lit(0.0)).alias("most"),
-        F.array_sort(F.collect_list(F.when(known, F.struct("term", "weight")))).alias("terms"),
+        F.array_sort(F.collect_list(F.when(known, F.struct("term", "weight", "df")))).alias("terms"),
     )
     group = F.struct("field", "g", "part", "required", "cost", "most", "terms")
     resolved = groups.groupBy("variant").agg(F.array_sort(F.collect_list(group)).alias("all"))
@@ -279,15 +280,19 @@ def _look_up(
     """Groups to look up (variant, field, term) to the best hits among all the
     documents that have one of the terms and all required groups."""
     limit = settings.rows_per_task
-    postings = index.postings.select("field", "term", "doc_id")
+    probes = stage(probes, "match-probes", F.sum("df"))
     found = work_join(
-        postings, probes, ["field", "term"], ["doc_id"], ["variant"], rows_per_task=limit
+        probes, index.postings, ["field", "term"], "df", ["variant"], ["doc_id"], limit
     )
     pairs = found.select("variant", "doc_id").distinct()
-    met = skew_join(pairs, index.docs, ["doc_id"], ["variant"], rows_per_task=limit)
-    met = skew_join(
-        met, resolved.drop("all"), ["variant"], ["doc_id"], rows_per_task=limit
-    )
+    most = measured(probes)
+    if most is None or most > limit:
+        pairs = stage(pairs, "match-pairs")
+        most = measured(pairs)
+    busy_docs = hot_keys(pairs, ["doc_id"], limit, most)
+    busy_variants = hot_keys(pairs, ["variant"], limit, most)
+    met = salted_join(pairs, index.docs, ["doc_id"], ["variant"], busy_docs)
+    met = salted_join(met, resolved.drop("all"), ["variant"], ["doc_id"], busy_variants)
     met = met.where(_required_found("f") & _required_found("s"))
     hits = met.select("variant", "doc_id", "aoid", "fullname", score(settings, strong))
     return _best(hits, settings)
@@ -314,7 +319,8 @@ def _groups(resolved: DataFrame) -> DataFrame:
 
 
 def _probes(groups: DataFrame) -> DataFrame:
-    return groups.select("variant", "field", F.explode("terms.term").alias("term")).distinct()
+    terms = groups.select("variant", "field", F.inline("terms"))
+    return terms.select("variant", "field", "term", "df").distinct()
 
 
 def match(
@@ -322,6 +328,7 @@ def match(
     index: SearchIndex,
     settings: SearchSettings = DEFAULTS,
     strong: bool = False,
+    n_terms: int | None = None,
 ) -> DataFrame:
     """Distinct variants (variant, op, groups, sname, n_words) to their best hits
     (variant, pos, doc_id, aoid, fullname, krank).
@@ -332,8 +339,9 @@ def match(
     bound that the last hit wanted reaches. Documents with none of the groups
     looked up cannot get more than the other groups add. Groups are looked up in
     the order of cost until that is below the bound, or until the required group
-    is no dearer, which settles the matter too."""
-    resolved = stage(_resolve(variants, index, settings), "match-variants")
+    is no dearer, which settles the matter too. `n_terms` is an upper bound of the
+    variants and their terms, if known."""
+    resolved = stage(_resolve(variants, index, settings, n_terms), "match-variants")
     groups = stage(_groups(resolved), "match-groups")
 
     whole = Window.partitionBy("variant")
@@ -375,10 +383,10 @@ def match(
             F.when(F.col("dear"), F.col("main")).otherwise(F.col("needed") & ~F.col("early"))
         )
     )
-    second = stage(_probes(second), "match-second")
+    second = stage(second.select("variant", "field", "terms"), "match-second")
     if second.isEmpty():
         return hits
-    more = _look_up(second, resolved, index, settings, strong)
+    more = _look_up(_probes(second), resolved, index, settings, strong)
     columns = ["variant", "doc_id", "aoid", "fullname", "krank"]
     both = hits.select(columns).unionByName(more.select(columns)).distinct()
     return _best(both, settings)
@@ -392,10 +400,14 @@ def match_requests(
 ) -> DataFrame:
     """Variants of requests (see `plan_queries`) to hits (request_id, cort, pos,
     doc_id, aoid, fullname, krank). Equal variants are looked up once."""
-    keyed = stage(variants.withColumn("variant", variant_key()), "match-requests")
+    n_terms = F.aggregate("groups", F.size("sname") + 1, lambda n, g: n + F.size(g))
+    keyed = stage(
+        variants.withColumn("variant", variant_key()), "match-requests", F.sum(n_terms)
+    )
     distinct = keyed.drop("request_id", "cort").dropDuplicates(["variant"])
-    hits = match(distinct, index, settings, strong)
+    most = measured(keyed)
+    hits = match(distinct, index, settings, strong, most)
     return skew_join(
         keyed.select("request_id", "cort", "variant"), hits, ["variant"], ["request_id"],
-        rows_per_task=settings.rows_per_task,
+        rows_per_task=settings.rows_per_task, at_most=most,
     ).drop("variant")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from waymark.functions.predicates import is_current, is_root, is_searchable_level
 from waymark.functions.text import count_spaces
-from waymark.plans.skew import hot_keys, skew_join
+from waymark.plans.skew import hot_keys, salted_join
 from waymark.plans.stage import stage
 from waymark.settings import DEFAULTS, SearchSettings
 
@@ -33,7 +33,7 @@ def build_paths(addrobj: DataFrame, settings: SearchSettings = DEFAULTS) -> Data
         .distinct(),
         "paths-inner",
     )
-    crowded = stage(hot_keys(current, ["parentguid"], settings.rows_per_task), "paths-crowded")
+    crowded = hot_keys(current, ["parentguid"], settings.rows_per_task)
 
     columns = ["id", "aoid", "aoguid", "aolevel", "fullname", "sname"]
     own = F.concat("shortname", F.lit(" "), "formalname")
@@ -59,10 +59,7 @@ def build_paths(addrobj: DataFrame, settings: SearchSettings = DEFAULTS) -> Data
         if parents.isEmpty():
             break
         level = (
-            skew_join(
-                current, parents, ["parentguid"], ["id"],
-                rows_per_task=settings.rows_per_task, hot=crowded,
-            )
+            salted_join(current, parents, ["parentguid"], ["id"], crowded)
             .withColumn("fullname", F.concat("above", F.lit(", "), own))
             .withColumn("sname", F.concat("sname_above", F.lit(" "), "shortname"))
             .select(columns)

@@ -1,28 +1,49 @@
-"""Equi-joins that hold when one key has a large share of the rows."""
+"""Equi-joins that hold when one key has a large share of the rows.
+
+Where counts show that no key can be too much for one task, these are plain joins.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from waymark.plans.stage import measured
 from waymark.settings import DEFAULTS
 
 MAX_HOT_KEYS = 1000
 
 
-def hot_keys(many: DataFrame, on: list[str], rows_per_task: int) -> DataFrame:
-    """Keys with more rows than one task should take, and the number of parts to
-    split each into. Counts are combined before the shuffle. At most
-    MAX_HOT_KEYS rows come back, so the result may be broadcast; a hot key
-    beyond those is joined unsalted, which costs time but loses nothing."""
-    return (
-        many.groupBy(*on)
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .where(F.col("_rows") > rows_per_task)
+def _heaviest(counts: DataFrame, on: list[str], rows_per_task: int) -> DataFrame | None:
+    """Of (key, _rows, ...) the keys with too many rows, with the number `_parts`
+    to split each into; None if there are none. At most MAX_HOT_KEYS rows pass the
+    driver and are broadcast. A hot key beyond those is joined unsalted, which
+    costs time but loses nothing."""
+    parts = F.ceil(F.col("_rows") / rows_per_task).cast("bigint").alias("_parts")
+    others = [c for c in counts.columns if c not in on and c != "_rows"]
+    heavy = (
+        counts.where(F.col("_rows") > rows_per_task)
         .orderBy(F.desc("_rows"))
         .limit(MAX_HOT_KEYS)
-        .select(*on, F.ceil(F.col("_rows") / rows_per_task).cast("int").alias("_parts"))
+        .select(*on, *others, parts)
     )
+    rows = heavy.collect()
+    if not rows:
+        return None
+    return F.broadcast(counts.sparkSession.createDataFrame(rows, heavy.schema))
+
+
+def hot_keys(
+    many: DataFrame, on: list[str], rows_per_task: int, at_most: int | None = None
+) -> DataFrame | None:
+    """Keys of `many` with more rows than one task should take. Nothing is read
+    if the table has no more rows than that (`at_most`, or as staged). Counts are
+    combined before the shuffle."""
+    total = measured(many) if at_most is None else at_most
+    if total is not None and total <= rows_per_task:
+        return None
+    counts = many.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"))
+    return _heaviest(counts, on, rows_per_task)
 
 
 def skew_join(
@@ -32,15 +53,27 @@ def skew_join(
     spread: list[str],
     how: str = "inner",
     rows_per_task: int = DEFAULTS.rows_per_task,
-    hot: DataFrame | None = None,
+    at_most: int | None = None,
 ) -> DataFrame:
     """Join `many`, in which a key may have any number of rows, with `one`, in
     which it has few. The rows of a hot key are split by a hash of the `spread`
     columns, and only the `one` rows of hot keys are repeated, once per part.
-    `how` is `inner`, `left` or `left_semi`. `hot` may pass in known hot keys."""
+    `how` is `inner` or `left`."""
+    hot = hot_keys(many, on, rows_per_task, at_most)
+    return salted_join(many, one, on, spread, hot, how)
+
+
+def salted_join(
+    many: DataFrame,
+    one: DataFrame,
+    on: list[str],
+    spread: list[str],
+    hot: DataFrame | None,
+    how: str = "inner",
+) -> DataFrame:
+    """`skew_join` with the hot keys of `many` known."""
     if hot is None:
-        hot = hot_keys(many, on, rows_per_task)
-    hot = F.broadcast(hot)
+        return many.join(one, on, how)
     digest = F.xxhash64(*spread)
     part = F.pmod(digest, F.coalesce(F.col("_parts"), F.lit(1)).cast("bigint"))
     if how == "left":
@@ -50,66 +83,61 @@ def skew_join(
             absent = absent | F.col(key).isNull()
         part = F.when(absent, F.pmod(digest, F.lit(1024).cast("bigint"))).otherwise(part)
     salted = many.join(hot, on, "left").withColumn("_part", part).drop("_parts")
+    last = F.coalesce(F.col("_parts"), F.lit(1)).cast("bigint") - 1
     repeated = (
         one.join(hot, on, "left")
-        .withColumn(
-            "_part",
-            F.explode(
-                F.sequence(
-                    F.lit(0).cast("bigint"),
-                    F.coalesce(F.col("_parts"), F.lit(1)).cast("bigint") - 1,
-                )
-            ),
-        )
+        .withColumn("_part", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
         .drop("_parts")
     )
     return salted.join(repeated, on + ["_part"], how).drop("_part")
 
 
 def work_join(
-    left: DataFrame,
-    right: DataFrame,
+    asking: DataFrame,
+    table: DataFrame,
     on: list[str],
-    left_spread: list[str],
-    right_spread: list[str],
+    matches: str,
+    asking_spread: list[str],
+    table_spread: list[str],
     rows_per_task: int = DEFAULTS.rows_per_task,
 ) -> DataFrame:
-    """Inner join in which a key may have many rows on both sides. What counts is
-    the number of rows that a key gives, known from the counts of both sides. Of a
-    key that gives too many, the side with more rows is split and the other is
-    repeated."""
-    sides = []
-    for side, df in (("_left", left), ("_right", right)):
-        sides.append(df.groupBy(*on).agg(F.count(F.lit(1)).alias(side)))
-    given = F.col("_left") * F.col("_right")
-    hot = (
-        sides[0]
-        .join(sides[1], on)
-        .where(given > rows_per_task)
-        .orderBy(given.desc())
-        .limit(MAX_HOT_KEYS)
-        .select(
-            *on,
-            F.least(F.ceil(given / rows_per_task), F.greatest("_left", "_right")).alias("_parts"),
-            (F.col("_left") >= F.col("_right")).alias("_split_left"),
+    """Inner join in which a key may have many rows on both sides. `asking` is
+    staged with the sum of its column `matches`, the number of `table` rows of the
+    key. What counts is the number of rows that a key gives. Of a key that gives
+    too many, the side with more rows is split and the other is repeated."""
+    total = measured(asking)
+    hot = None
+    if total is None or total > rows_per_task:
+        counts = asking.groupBy(*on).agg(
+            F.sum(matches).alias("_rows"),
+            (F.count(F.lit(1)) >= F.max(matches)).alias("_split_asking"),
         )
-    )
-    hot = F.broadcast(hot)
+        hot = _heaviest(counts, on, rows_per_task)
+    asking = asking.drop(matches)
+    if hot is None:
+        return asking.join(table, on)
 
     def salted(df: DataFrame, split: Column, spread: list[str]) -> DataFrame:
         parts = F.coalesce(F.col("_parts"), F.lit(1)).cast("bigint")
         own = F.array(F.pmod(F.xxhash64(*spread), parts))
         every = F.sequence(F.lit(0).cast("bigint"), parts - 1)
         part = F.explode(F.when(split, own).otherwise(every))
-        return df.join(hot, on, "left").withColumn("_part", part).drop("_parts", "_split_left")
+        return df.join(hot, on, "left").withColumn("_part", part).drop("_parts", "_split_asking")
 
-    return salted(left, F.col("_split_left"), left_spread).join(
-        salted(right, ~F.col("_split_left"), right_spread), on + ["_part"]
-    ).drop("_part")
+    return (
+        salted(asking, F.coalesce("_split_asking", F.lit(True)), asking_spread)
+        .join(
+            salted(table, ~F.coalesce("_split_asking", F.lit(True)), table_spread),
+            on + ["_part"],
+        )
+        .drop("_part")
+    )
 
 
 def small_or_plain(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Mark `df` for broadcast if a count shows that it is small. Otherwise leave
-    the choice of join to Spark."""
-    seen = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if seen <= max_rows else df
+    """Mark `df` for broadcast if its count shows that it is small. Otherwise
+    leave the choice of join to Spark."""
+    rows = measured(df)
+    if rows is None:
+        rows = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if rows <= max_rows else df

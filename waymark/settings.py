@@ -27,7 +27,7 @@ class SearchSettings:
     # Our own: depth guard, tuning of the physical plan; no effect on results.
     max_depth: int = 20
     probe_rows: int = 1000  # postings a tolerant query reads before it sets a bound
-    rows_per_task: int = 500_000  # a join key with more rows than this is salted
+    rows_per_task: int = 2_000_000  # a join key with more rows than this is salted
 
 
 DEFAULTS = SearchSettings()
