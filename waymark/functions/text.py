@@ -27,6 +27,24 @@ def trigrams(word: Column) -> Column:
     return F.transform(starts, lambda i: F.substr(padded, i, F.lit(3)))
 
 
+DIGEST = 4  # numbers of 64 bits in a digest
+
+
+def gram_bits(grams: Column) -> list[Column]:
+    """A digest of trigrams: one bit for each, by its hash, over DIGEST numbers."""
+    one = F.lit(1).cast("bigint")
+
+    def number(i: int) -> Column:
+        def add(bits: Column, gram: Column) -> Column:
+            place = F.pmod(F.xxhash64(gram), F.lit(64 * DIGEST)).cast("int") - 64 * i
+            bit = F.call_function("shiftleft", one, place)
+            return F.when(place.between(0, 63), bits.bitwiseOR(bit)).otherwise(bits)
+
+        return F.aggregate(grams, F.lit(0).cast("bigint"), add)
+
+    return [number(i) for i in range(DIGEST)]
+
+
 def trigram_text(word: Column) -> Column:
     return F.array_join(trigrams(word), " ")
 

@@ -7,10 +7,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.functions.text import trigrams
+from waymark.functions.text import gram_bits, trigrams
 from waymark.plans.skew import small_or_plain
 from waymark.plans.stage import stage
 
+GRAM_PARTS = 64
+
 
 @dataclass(frozen=True)
 class Lexicon:
@@ -44,18 +46,22 @@ def count_prefixes(dictionary: DataFrame) -> DataFrame:
 
 def trigram_rows(dictionary: DataFrame) -> DataFrame:
     """One row per dictionary word and distinct trigram; `times` is how often the
-    word has it, and `repeats` tells whether it has any trigram twice."""
+    word has it. `repeats` is the number of trigrams that occur again in the word,
+    and `bits0`... the digest of them all."""
     words = dictionary.select(
         F.col("word").alias("suggestion"),
         "frequency",
         F.length("word").alias("len"),
         trigrams(F.col("word")).alias("grams"),
     )
-    distinct = F.array_distinct("grams")
-    words = words.withColumn("repeats", F.size("grams") != F.size(distinct))
-    rows = words.select("*", F.explode(distinct).alias("gram"))
+    words = words.withColumn("distinct", F.array_distinct("grams")).select(
+        "*",
+        (F.size("grams") - F.size("distinct")).alias("repeats"),
+        *[b.alias(f"bits{i}") for i, b in enumerate(gram_bits(F.col("distinct")))],
+    )
+    rows = words.select("*", F.explode("distinct").alias("gram")).drop("distinct")
     times = F.when(
-        F.col("repeats"), F.size(F.filter("grams", lambda g: g == F.col("gram")))
+        F.col("repeats") > 0, F.size(F.filter("grams", lambda g: g == F.col("gram")))
     ).otherwise(1)
     return rows.withColumn("times", times)
 
@@ -68,7 +74,10 @@ def build_lexicon(dictionary: DataFrame, socrbase: DataFrame) -> Lexicon:
     short = socrbase.groupBy(F.lower("scname").alias("abbr")).agg(
         F.count(F.lit(1)).alias("n_socr_like")
     )
-    rows = stage(trigram_rows(dictionary), "lexicon-gram-rows")
+    # Each row meets many words, so the rows are spread over more tasks than their
+    # size calls for.
+    spread = dictionary.repartition(GRAM_PARTS, "word")
+    rows = stage(trigram_rows(spread), "lexicon-gram-rows")
     grams = rows.groupBy("gram").agg(
         F.count(F.lit(1)).alias("df"), F.max("times").alias("most")
     )

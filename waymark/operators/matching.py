@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from waymark.functions.text import chunks, index_terms
 from waymark.operators.queries import variant_key
-from waymark.plans.skew import hot_keys, salted_join, skew_join, work_join
+from waymark.plans.skew import skew_join, work_join
 from waymark.plans.stage import measured, stage
 from waymark.settings import DEFAULTS, SearchSettings
 
@@ -23,12 +23,15 @@ SATURATION = 1.2  # the usual constant of the BM25 family
 
 @dataclass(frozen=True)
 class SearchIndex:
-    """docs: id, aoid, fullname, wordcount, and the terms and positions of both
-    fields. postings: (field, term, doc_id). terms: (field, term, df, most), `most`
-    being the most occurrences in one document. expansions: (prefix, pos, term, df),
-    the address terms that a prefix stands for."""
+    """postings: one row per document, field and distinct term, with what is needed to
+    score the document: (field, term, doc_id, aoid, fullname, wordcount), the terms
+    and positions of both fields. terms: (field,
+    term, df, most), `most` being the most occurrences in one document. expansions:
+    (prefix, pos, term, df), the address terms that a prefix stands for.
+
+    A posting repeats its document so that a match is scored where it is found.
+    There are far more matches than postings, and none of them is shuffled."""
 
-    docs: DataFrame
     postings: DataFrame
     terms: DataFrame
     expansions: DataFrame
@@ -77,18 +80,14 @@ def build_index(paths: DataFrame, settings: SearchSettings = DEFAULTS) -> Search
         F.col("s.term").alias("s_terms"), F.col("s.pos").alias("s_pos"),
     ).where(F.col("fullname").isNotNull())
     docs = stage(docs, "index-docs")
-    # One row per document, field and distinct term; `n` is the occurrences. The
-    # lists of one document are counted in its own row, without a shuffle.
+    # Occurrences are counted within the row of a document, without a shuffle.
     rows = []
     for field in ("f", "s"):
         terms = F.col(f"{field}_terms")
         rows.append(
-            docs.select("doc_id", terms.alias("terms"), F.lit(field).alias("field"))
-            .select("doc_id", "field", "terms", F.explode(F.array_distinct("terms")).alias("term"))
-            .select(
-                "field", "term", "doc_id",
-                F.size(F.filter("terms", lambda t: t == F.col("term"))).alias("n"),
-            )
+            docs.select("*", F.lit(field).alias("field"),
+                        F.explode(F.array_distinct(terms)).alias("term"))
+            .withColumn("n", F.size(F.filter(terms, lambda t: t == F.col("term"))))
         )
     postings = stage(rows[0].unionByName(rows[1]), "index-postings")
     terms = postings.groupBy("field", "term").agg(
@@ -99,7 +98,7 @@ def build_index(paths: DataFrame, settings: SearchSettings = DEFAULTS) -> Search
     n_docs = measured(docs)
     if n_docs is None:
         n_docs = docs.count()
-    return SearchIndex(docs, postings.drop("n"), terms, expansions, n_docs)
+    return SearchIndex(postings.drop("n"), terms, expansions, n_docs)
 
 
 def _query_terms(
@@ -271,28 +270,51 @@ def _best(hits: DataFrame, settings: SearchSettings) -> DataFrame:
 
 
 def _look_up(
-    probes: DataFrame,
+    groups: DataFrame,
     resolved: DataFrame,
     index: SearchIndex,
     settings: SearchSettings,
     strong: bool,
 ) -> DataFrame:
-    """Groups to look up (variant, field, term) to the best hits among all the
-    documents that have one of the terms and all required groups."""
-    limit = settings.rows_per_task
+    """Groups to look up (variant, field, terms) to the best hits among all the
+    documents that have one of the terms and all required groups.
+
+    The terms looked up carry their variant along to the postings. Only the best
+    hits of each task are shuffled."""
+    terms = groups.select("variant", F.inline(F.transform("terms", lambda t: F.struct(
+        F.col("field").alias("field"), t["term"].alias("term"), t["df"].alias("df")))))
+    item = F.struct("field", "term", "df")
+    probed = terms.groupBy("variant").agg(F.array_sort(F.collect_set(item)).alias("probed"))
+    columns = ["variant", "n_words", "f_groups", "s_groups"]
+    probes = (
+        resolved.select(columns)
+        .join(probed, "variant")
+        .select(
+            *columns,
+            *[
+                F.transform(
+                    F.filter("probed", lambda p: p["field"] == field), lambda p: p["term"]
+                ).alias(f"{field}_probed")
+                for field in ("f", "s")
+            ],
+            F.inline("probed"),
+        )
+    )
     probes = stage(probes, "match-probes", F.sum("df"))
-    found = work_join(
-        probes, index.postings, ["field", "term"], "df", ["variant"], ["doc_id"], limit
+    met = work_join(
+        probes, index.postings, ["field", "term"], "df", ["variant"], ["doc_id"],
+        settings.rows_per_task,
+    )
+    # A document found by several terms is kept at the first of them only.
+    first = F.coalesce(
+        F.get(F.array_intersect("f_probed", "f_terms"), F.lit(0)),
+        F.get(F.array_intersect("s_probed", "s_terms"), F.lit(0)),
+    )
+    in_f = F.size(F.array_intersect("f_probed", "f_terms")) > 0
+    single = F.size("f_probed") + F.size("s_probed") == 1
+    met = met.where(
+        single | ((F.col("term") == first) & (F.col("field") == F.when(in_f, "f").otherwise("s")))
     )
-    pairs = found.select("variant", "doc_id").distinct()
-    most = measured(probes)
-    if most is None or most > limit:
-        pairs = stage(pairs, "match-pairs")
-        most = measured(pairs)
-    busy_docs = hot_keys(pairs, ["doc_id"], limit, most)
-    busy_variants = hot_keys(pairs, ["variant"], limit, most)
-    met = salted_join(pairs, index.docs, ["doc_id"], ["variant"], busy_docs)
-    met = salted_join(met, resolved.drop("all"), ["variant"], ["doc_id"], busy_variants)
     met = met.where(_required_found("f") & _required_found("s"))
     hits = met.select("variant", "doc_id", "aoid", "fullname", score(settings, strong))
     return _best(hits, settings)
@@ -318,11 +340,6 @@ def _groups(resolved: DataFrame) -> DataFrame:
     )
 
 
-def _probes(groups: DataFrame) -> DataFrame:
-    terms = groups.select("variant", "field", F.inline("terms"))
-    return terms.select("variant", "field", "term", "df").distinct()
-
-
 def match(
     variants: DataFrame,
     index: SearchIndex,
@@ -352,7 +369,7 @@ def match(
     )
     first = first.where(F.when(F.col("settled"), F.col("main")).otherwise(F.col("early")))
     hits = stage(
-        _look_up(_probes(first), resolved, index, settings, strong), "match-first"
+        _look_up(first, resolved, index, settings, strong), "match-first"
     )
     if strong:
         return hits
@@ -386,7 +403,7 @@ def match(
     second = stage(second.select("variant", "field", "terms"), "match-second")
     if second.isEmpty():
         return hits
-    more = _look_up(_probes(second), resolved, index, settings, strong)
+    more = _look_up(second, resolved, index, settings, strong)
     columns = ["variant", "doc_id", "aoid", "fullname", "krank"]
     both = hits.select(columns).unionByName(more.select(columns)).distinct()
     return _best(both, settings)
