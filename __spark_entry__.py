@@ -202,7 +202,7 @@ def _postings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _index_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return build_index(Fixture(spark, sf_dir).paths).terms.drop("most")
+    return build_index(Fixture(spark, sf_dir).paths).terms.select("field", "term", "df")
 
 
 def _prefix_expand(spark: SparkSession, sf_dir: str) -> DataFrame:

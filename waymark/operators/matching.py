@@ -19,18 +19,21 @@ from waymark.plans.stage import measured, stage
 from waymark.settings import DEFAULTS, SearchSettings
 
 SATURATION = 1.2  # the usual constant of the BM25 family
+DOCS_PER_PART = 10_000
 
 
 @dataclass(frozen=True)
 class SearchIndex:
     """postings: one row per document, field and distinct term, with what is needed to
-    score the document: (field, term, doc_id, aoid, fullname, wordcount), the terms
-    and positions of both fields. terms: (field,
-    term, df, most), `most` being the most occurrences in one document. expansions:
-    (prefix, pos, term, df), the address terms that a prefix stands for.
+    score the document: (tid, doc_id, aoid, fullname, wordcount, ids, sats) and the
+    terms and positions of both fields. terms: (field, term, tid, df, most), `most`
+    being the most occurrences in one document. expansions: (prefix, pos, term, df),
+    the address terms that a prefix stands for.
 
-    A posting repeats its document so that a match is scored where it is found.
-    There are far more matches than postings, and none of them is shuffled."""
+    `tid` is the number of a term in a field, `ids` those of a document and `sats`
+    their saturated occurrences. A posting repeats its document so that a match is
+    scored where it is found. There are far more matches than postings, and none of
+    them is shuffled but the best."""
 
     postings: DataFrame
     terms: DataFrame
@@ -38,6 +41,10 @@ class SearchIndex:
     n_docs: int
 
 
+def term_number(field: Column, term: Column, seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), field, term)
+
+
 def build_postings(paths: DataFrame) -> DataFrame:
     """(term, doc_id, field, pos) of every term of both text fields. Field `f` is
     the address text and `s` the abbreviations."""
@@ -69,7 +76,8 @@ def expand_terms(terms: DataFrame, settings: SearchSettings = DEFAULTS) -> DataF
     )
 
 
-def build_index(paths: DataFrame, settings: SearchSettings = DEFAULTS) -> SearchIndex:
+def _documents(paths: DataFrame, seed: int) -> DataFrame:
+    """Paths with the terms of both fields as lists and as numbers."""
     docs = paths.select(
         F.col("id").alias("doc_id"), "aoid", "fullname", "wordcount",
         index_terms(F.col("fullname")).alias("f"), index_terms(F.col("sname")).alias("s"),
@@ -79,26 +87,54 @@ def build_index(paths: DataFrame, settings: SearchSettings = DEFAULTS) -> Search
         F.col("f.term").alias("f_terms"), F.col("f.pos").alias("f_pos"),
         F.col("s.term").alias("s_terms"), F.col("s.pos").alias("s_pos"),
     ).where(F.col("fullname").isNotNull())
-    docs = stage(docs, "index-docs")
-    # Occurrences are counted within the row of a document, without a shuffle.
-    rows = []
-    for field in ("f", "s"):
+
+    def distinct(field: str) -> Column:
+        """The distinct terms of a field with their numbers and occurrences,
+        counted within the row of the document, without a shuffle."""
         terms = F.col(f"{field}_terms")
-        rows.append(
-            docs.select("*", F.lit(field).alias("field"),
-                        F.explode(F.array_distinct(terms)).alias("term"))
-            .withColumn("n", F.size(F.filter(terms, lambda t: t == F.col("term"))))
+        return F.transform(
+            F.array_distinct(terms),
+            lambda t: F.struct(
+                F.lit(field).alias("field"),
+                t.alias("term"),
+                term_number(F.lit(field), t, seed).alias("tid"),
+                F.size(F.filter(terms, lambda x: x == t)).alias("n"),
+            ),
         )
-    postings = stage(rows[0].unionByName(rows[1]), "index-postings")
-    terms = postings.groupBy("field", "term").agg(
-        F.count(F.lit(1)).alias("df"), F.max("n").alias("most")
+
+    docs = docs.withColumn("items", F.concat(distinct("f"), distinct("s")))
+    return docs.select(
+        "*",
+        F.col("items.tid").alias("ids"),
+        F.transform("items", lambda i: i["n"] / (i["n"] + SATURATION)).alias("sats"),
     )
-    terms = stage(terms, "index-terms")
-    expansions = stage(expand_terms(terms, settings), "index-expansions")
+
+
+def build_index(
+    paths: DataFrame, settings: SearchSettings = DEFAULTS, seed: int = 0
+) -> SearchIndex:
+    docs = stage(_documents(paths, seed), "index-docs")
     n_docs = measured(docs)
     if n_docs is None:
         n_docs = docs.count()
-    return SearchIndex(postings.drop("n"), terms, expansions, n_docs)
+    terms = (
+        docs.select(F.inline("items"))
+        .groupBy("field", "term", "tid")
+        .agg(F.count(F.lit(1)).alias("df"), F.max("n").alias("most"))
+    )
+    terms = stage(terms, "index-terms")
+    # Two terms of one number would be taken for each other: number them anew.
+    if not terms.groupBy("tid").count().where("count > 1").isEmpty():
+        return build_index(paths, settings, seed + 1)
+    # Each posting meets many queries: more tasks than the size calls for.
+    spread = docs.repartition(1 + n_docs // DOCS_PER_PART, "doc_id")
+    postings = spread.select("*", F.explode("ids").alias("tid")).drop("items")
+    return SearchIndex(
+        stage(postings, "index-postings"),
+        terms,
+        stage(expand_terms(terms, settings), "index-expansions"),
+        n_docs,
+    )
 
 
 def _query_terms(
@@ -152,7 +188,8 @@ def _resolve(
     of a group and `most` the most it can add to a rank."""
     rows = _query_terms(variants, index, settings, n_terms)
     term = rows.groupBy("variant", "field", "g", "part", "required", "term").agg(
-        F.max("boost").alias("boost"), F.max("df").alias("df"), F.max("most").alias("most")
+        F.max("boost").alias("boost"), F.max("tid").alias("tid"),
+        F.max("df").alias("df"), F.max("most").alias("most"),
     )
     weight = F.col("boost") * _idf(index)
     term = term.withColumn("weight", weight)
@@ -161,7 +198,7 @@ def _resolve(
     groups = term.groupBy("variant", "field", "g", "part", "required").agg(
         F.coalesce(F.sum("df"), F.lit(0)).alias("cost"),
         F.coalesce(F.sum(F.greatest(top, F.lit(0.0))), F.lit(0.0)).alias("most"),
-        F.array_sort(F.collect_list(F.when(known, F.struct("term", "weight", "df")))).alias("terms"),
+        F.array_sort(F.collect_list(F.when(known, F.struct("term", "tid", "weight", "df")))).alias("terms"),
     )
     group = F.struct("field", "g", "part", "required", "cost", "most", "terms")
     resolved = groups.groupBy("variant").agg(F.array_sort(F.collect_list(group)).alias("all"))
@@ -169,42 +206,49 @@ def _resolve(
         ~F.exists("all", lambda g: g["required"] & (F.size(g["terms"]) == 0))
     ).withColumn("all", F.filter("all", lambda g: F.size(g["terms"]) > 0))
     found = variants.select("variant", "op", "n_words").join(resolved, "variant")
-    return found.select(
+
+    def entries(group: Column, no: Column) -> Column:
+        return F.transform(
+            group["terms"],
+            lambda t: F.struct(
+                no.alias("no"), group["field"].alias("field"),
+                group["required"].alias("required"),
+                t["tid"].alias("tid"), t["weight"].alias("weight"),
+            ),
+        )
+
+    return found.where(F.size("all") > 0).select(
         "*",
+        F.flatten(F.transform("all", entries)).alias("entries"),
+        F.size(F.filter("all", lambda g: g["required"])).alias("n_required"),
         F.filter("all", lambda g: g["field"] == "f").alias("f_groups"),
         F.filter("all", lambda g: g["field"] == "s").alias("s_groups"),
-    ).where(F.size("all") > 0)
-
-
-def _has(terms: str, group: Column) -> Column:
-    return F.exists(group["terms"], lambda t: F.array_contains(F.col(terms), t["term"]))
-
-
-def _required_found(field: str) -> Column:
-    return F.forall(
-        f"{field}_groups", lambda g: ~g["required"] | _has(f"{field}_terms", g)
     )
 
 
-def _relevance(field: str) -> Column:
-    """Sum over the matched terms of weight and saturated occurrences."""
-    terms = F.col(f"{field}_terms")
-
-    def of_term(total: Column, t: Column) -> Column:
-        n = F.size(F.filter(terms, lambda x: x == t["term"]))
-        return total + t["weight"] * (n / (n + SATURATION))
-
-    def of_group(total: Column, g: Column) -> Column:
-        return F.aggregate(g["terms"], total, of_term)
-
-    return F.aggregate(f"{field}_groups", F.lit(0.0), of_group)
-
+def _met() -> Column:
+    """What a document has of a variant: the relevance of the matched terms, the
+    number of required groups, and whether there is any term in each field. The
+    terms come group by group, so a group is counted at its first match."""
+
+    def add(acc: Column, e: Column) -> Column:
+        at = F.array_position("ids", e["tid"]).cast("int")
+        counted = e["required"] & (e["no"] != acc["last"])
+        found = F.struct(
+            (acc["total"] + e["weight"] * F.get("sats", at - 1)).alias("total"),
+            (acc["groups"] + counted.cast("int")).alias("groups"),
+            e["no"].alias("last"),
+            (acc["f"] | (e["field"] == "f")).alias("f"),
+            (acc["s"] | (e["field"] == "s")).alias("s"),
+        )
+        return F.when(at > 0, found).otherwise(acc)
 
-def _fields_found() -> Column:
-    found = [
-        F.exists(f"{f}_groups", lambda g: _has(f"{f}_terms", g)).cast("int") for f in ("f", "s")
-    ]
-    return found[0] + found[1]
+    state = "struct<total:double,groups:int,last:int,f:boolean,s:boolean>"
+    nothing = F.struct(
+        F.lit(0.5).alias("total"), F.lit(0).alias("groups"), F.lit(-1).alias("last"),
+        F.lit(False).alias("f"), F.lit(False).alias("s"),
+    ).cast(state)
+    return F.aggregate("entries", nothing, lambda acc, e: add(acc, e).cast(state))
 
 
 def _longest_run(field: str) -> Column:
@@ -254,19 +298,30 @@ def _longest_run(field: str) -> Column:
 
 
 def score(settings: SearchSettings, strong: bool) -> Column:
-    """Our own ranking formula; see the README."""
-    relevance = F.lit(0.5) + _relevance("f") + _relevance("s")
-    bm25 = F.floor(F.round(1000 * relevance, 6)).cast("int")
-    fields = _longest_run("f") + _longest_run("s") if strong else _fields_found()
-    apart = F.abs(F.col("wordcount") - F.col("n_words"))
-    return (1000 * fields + bm25 - settings.length_penalty * apart).alias("krank")
+    """Our own ranking formula; see the README. Null without all required groups."""
+
+    def of(met: Column) -> Column:
+        bm25 = F.floor(F.round(1000 * met["total"], 6)).cast("int")
+        if strong:
+            fields = _longest_run("f") + _longest_run("s")
+        else:
+            fields = met["f"].cast("int") + met["s"].cast("int")
+        apart = F.abs(F.col("wordcount") - F.col("n_words"))
+        rank = 1000 * fields + bm25 - settings.length_penalty * apart
+        return F.when(met["groups"] == F.col("n_required"), rank)
+
+    # One-element lists let the result of a costly expression be used by name.
+    return F.transform(F.array(_met()), of)[0].alias("krank")
 
 
 def _best(hits: DataFrame, settings: SearchSettings) -> DataFrame:
-    order = Window.partitionBy("variant").orderBy(F.desc("krank"), "doc_id", "fullname")
-    return hits.withColumn("pos", F.row_number().over(order)).where(
-        F.col("pos") <= settings.max_hits
+    """The best hits of each variant. Documents that do not match have no rank and
+    come last; leaving them out only here spares scoring them twice."""
+    order = Window.partitionBy("variant").orderBy(
+        F.col("krank").desc_nulls_last(), "doc_id", "fullname"
     )
+    ranked = hits.withColumn("pos", F.row_number().over(order))
+    return ranked.where(F.col("pos") <= settings.max_hits).where(F.col("krank").isNotNull())
 
 
 def _look_up(
@@ -276,46 +331,31 @@ def _look_up(
     settings: SearchSettings,
     strong: bool,
 ) -> DataFrame:
-    """Groups to look up (variant, field, terms) to the best hits among all the
-    documents that have one of the terms and all required groups.
+    """Groups to look up (variant, terms) to the best hits among all documents that
+    have one of the terms and all required groups.
 
     The terms looked up carry their variant along to the postings. Only the best
     hits of each task are shuffled."""
-    terms = groups.select("variant", F.inline(F.transform("terms", lambda t: F.struct(
-        F.col("field").alias("field"), t["term"].alias("term"), t["df"].alias("df")))))
-    item = F.struct("field", "term", "df")
-    probed = terms.groupBy("variant").agg(F.array_sort(F.collect_set(item)).alias("probed"))
-    columns = ["variant", "n_words", "f_groups", "s_groups"]
+    probed = (
+        groups.select("variant", F.inline("terms"))
+        .groupBy("variant")
+        .agg(F.array_sort(F.collect_set(F.struct("tid", "df"))).alias("probed"))
+    )
+    columns = ["variant", "n_words", "entries", "n_required"]
+    if strong:
+        columns += ["f_groups", "s_groups"]
     probes = (
         resolved.select(columns)
         .join(probed, "variant")
-        .select(
-            *columns,
-            *[
-                F.transform(
-                    F.filter("probed", lambda p: p["field"] == field), lambda p: p["term"]
-                ).alias(f"{field}_probed")
-                for field in ("f", "s")
-            ],
-            F.inline("probed"),
-        )
+        .select(*columns, F.col("probed.tid").alias("probed"), F.inline("probed"))
     )
     probes = stage(probes, "match-probes", F.sum("df"))
     met = work_join(
-        probes, index.postings, ["field", "term"], "df", ["variant"], ["doc_id"],
-        settings.rows_per_task,
+        probes, index.postings, ["tid"], "df", ["variant"], ["doc_id"], settings.rows_per_task
     )
     # A document found by several terms is kept at the first of them only.
-    first = F.coalesce(
-        F.get(F.array_intersect("f_probed", "f_terms"), F.lit(0)),
-        F.get(F.array_intersect("s_probed", "s_terms"), F.lit(0)),
-    )
-    in_f = F.size(F.array_intersect("f_probed", "f_terms")) > 0
-    single = F.size("f_probed") + F.size("s_probed") == 1
-    met = met.where(
-        single | ((F.col("term") == first) & (F.col("field") == F.when(in_f, "f").otherwise("s")))
-    )
-    met = met.where(_required_found("f") & _required_found("s"))
+    first = F.array_intersect("probed", "ids")[0]
+    met = met.where((F.size("probed") == 1) | (F.col("tid") == first))
     hits = met.select("variant", "doc_id", "aoid", "fullname", score(settings, strong))
     return _best(hits, settings)
 
@@ -400,7 +440,7 @@ def match(
             F.when(F.col("dear"), F.col("main")).otherwise(F.col("needed") & ~F.col("early"))
         )
     )
-    second = stage(second.select("variant", "field", "terms"), "match-second")
+    second = stage(second.select("variant", "terms"), "match-second")
     if second.isEmpty():
         return hits
     more = _look_up(second, resolved, index, settings, strong)
