@@ -19,19 +19,20 @@ from waymark.plans.stage import measured, stage
 from waymark.settings import DEFAULTS, SearchSettings
 
 SATURATION = 1.2  # the usual constant of the BM25 family
-DOCS_PER_PART = 10_000
+DOCS_PER_PART = 4_000
+MAX_BITS = 62
 
 
 @dataclass(frozen=True)
 class SearchIndex:
     """postings: one row per document, field and distinct term, with what is needed to
-    score the document: (tid, doc_id, aoid, fullname, wordcount, ids, sats) and the
+    score the document: (tid, doc_id, aoid, fullname, wordcount, ids, sats, plain) and the
     terms and positions of both fields. terms: (field, term, tid, df, most), `most`
     being the most occurrences in one document. expansions: (prefix, pos, term, df),
     the address terms that a prefix stands for.
 
     `tid` is the number of a term in a field, `ids` those of a document and `sats`
-    their saturated occurrences. A posting repeats its document so that a match is
+    their saturated occurrences; `plain` tells that each occurs once. A posting repeats its document so that a match is
     scored where it is found. There are far more matches than postings, and none of
     them is shuffled but the best."""
 
@@ -105,6 +106,7 @@ def _documents(paths: DataFrame, seed: int) -> DataFrame:
     docs = docs.withColumn("items", F.concat(distinct("f"), distinct("s")))
     return docs.select(
         "*",
+        F.forall("items", lambda i: i["n"] == 1).alias("plain"),
         F.col("items.tid").alias("ids"),
         F.transform("items", lambda i: i["n"] / (i["n"] + SATURATION)).alias("sats"),
     )
@@ -217,19 +219,73 @@ def _resolve(
             ),
         )
 
-    return found.where(F.size("all") > 0).select(
+    found = found.where(F.size("all") > 0).select(
         "*",
         F.flatten(F.transform("all", entries)).alias("entries"),
+        F.size("all").alias("n_groups"),
         F.size(F.filter("all", lambda g: g["required"])).alias("n_required"),
         F.filter("all", lambda g: g["field"] == "f").alias("f_groups"),
         F.filter("all", lambda g: g["field"] == "s").alias("s_groups"),
     )
 
+    def bit(e: Column) -> Column:
+        return F.call_function("shiftleft", F.lit(1).cast("bigint"), e["no"])
 
-def _met() -> Column:
-    """What a document has of a variant: the relevance of the matched terms, the
-    number of required groups, and whether there is any term in each field. The
-    terms come group by group, so a group is counted at its first match."""
+    def mask(condition) -> Column:
+        return F.aggregate(
+            F.filter("entries", condition),
+            F.lit(0).cast("bigint"),
+            lambda bits, e: bits.bitwiseOR(bit(e)),
+        )
+
+    found = found.withColumn("q_ids", F.array_distinct("entries.tid"))
+
+    def of_term(tid: Column) -> Column:
+        """All that a term counts for, in whichever groups it is."""
+        mine = F.filter("entries", lambda e: e["tid"] == tid)
+        weight = F.aggregate(mine, F.lit(0.0), lambda total, e: total + e["weight"])
+        bits = F.aggregate(
+            mine, F.lit(0).cast("bigint"), lambda bits, e: bits.bitwiseOR(bit(e))
+        )
+        return F.struct(weight.alias("weight"), bits.alias("bits"))
+
+    single = F.filter("all", lambda g: g["required"] & (F.size(g["terms"]) == 1))
+    return found.select(
+        "*",
+        F.map_from_arrays("q_ids", F.transform("q_ids", of_term)).alias("q_terms"),
+        F.array_distinct(F.transform(single, lambda g: g["terms"][0]["tid"])).alias("must"),
+        mask(lambda e: e["required"]).alias("required_bits"),
+        mask(lambda e: e["field"] == "f").alias("f_bits"),
+        mask(lambda e: e["field"] == "s").alias("s_bits"),
+    )
+
+
+_MET = "struct<total:double,whole:boolean,f:boolean,s:boolean>"
+
+
+def _met_by_map() -> Column:
+    """What a document has of a variant: the relevance of the matched terms, and
+    their groups as bits. For documents without repeated terms. The common terms are
+    found first, and only these are looked up."""
+    common = F.transform(
+        F.array_intersect("q_ids", "ids"), lambda t: F.element_at("q_terms", t)
+    )
+    state = "struct<total:double,bits:bigint>"
+    nothing = F.struct(F.lit(0.0).alias("total"), F.lit(0).cast("bigint").alias("bits"))
+    return F.aggregate(
+        common,
+        nothing.cast(state),
+        lambda acc, t: F.struct(
+            (acc["total"] + t["weight"]).alias("total"),
+            acc["bits"].bitwiseOR(t["bits"]).alias("bits"),
+        ),
+    )
+
+
+def _met_by_list() -> Column:
+    """The relevance, whether all required groups are there, and whether there is any
+    term in each field, for any document and variant. The terms come group by group,
+    so a group is counted at its first match."""
 
     def add(acc: Column, e: Column) -> Column:
         at = F.array_position("ids", e["tid"]).cast("int")
@@ -248,7 +304,47 @@ def _met() -> Column:
         F.lit(0.5).alias("total"), F.lit(0).alias("groups"), F.lit(-1).alias("last"),
         F.lit(False).alias("f"), F.lit(False).alias("s"),
     ).cast(state)
-    return F.aggregate("entries", nothing, lambda acc, e: add(acc, e).cast(state))
+    return F.aggregate(
+        "entries",
+        nothing,
+        lambda acc, e: add(acc, e).cast(state),
+        lambda acc: F.struct(
+            acc["total"].alias("total"),
+            (acc["groups"] == F.col("n_required")).alias("whole"),
+            acc["f"].alias("f"),
+            acc["s"].alias("s"),
+        ),
+    )
+
+
+def _scored(met: DataFrame, settings: SearchSettings, strong: bool) -> DataFrame:
+    """Our own ranking formula; see the README. No rank without all required groups.
+
+    In steps, so that no costly expression is evaluated for each of its uses."""
+    plain = F.col("plain") & (F.col("n_groups") <= MAX_BITS)
+    step = met.withColumn("quick", F.when(plain, _met_by_map()))
+    bits = F.col("quick.bits")
+    by_map = F.struct(
+        (0.5 + F.col("quick.total") / (1 + SATURATION)).alias("total"),
+        (bits.bitwiseAND(F.col("required_bits")) == F.col("required_bits")).alias("whole"),
+        (bits.bitwiseAND(F.col("f_bits")) != 0).alias("f"),
+        (bits.bitwiseAND(F.col("s_bits")) != 0).alias("s"),
+    ).cast(_MET)
+    step = step.withColumn(
+        "met",
+        F.when(F.col("quick").isNotNull(), by_map).otherwise(_met_by_list().cast(_MET)),
+    )
+    bm25 = F.floor(F.round(1000 * F.col("met.total"), 6)).cast("int")
+    if strong:
+        fields = _longest_run("f") + _longest_run("s")
+    else:
+        fields = F.col("met.f").cast("int") + F.col("met.s").cast("int")
+    apart = F.abs(F.col("wordcount") - F.col("n_words"))
+    rank = 1000 * fields + bm25 - settings.length_penalty * apart
+    return step.select(
+        "variant", "doc_id", "aoid", "fullname",
+        F.when(F.col("met.whole"), rank).alias("krank"),
+    )
 
 
 def _longest_run(field: str) -> Column:
@@ -297,23 +393,6 @@ def _longest_run(field: str) -> Column:
     return F.aggregate(groups, none, add, lambda acc: acc["best"])
 
 
-def score(settings: SearchSettings, strong: bool) -> Column:
-    """Our own ranking formula; see the README. Null without all required groups."""
-
-    def of(met: Column) -> Column:
-        bm25 = F.floor(F.round(1000 * met["total"], 6)).cast("int")
-        if strong:
-            fields = _longest_run("f") + _longest_run("s")
-        else:
-            fields = met["f"].cast("int") + met["s"].cast("int")
-        apart = F.abs(F.col("wordcount") - F.col("n_words"))
-        rank = 1000 * fields + bm25 - settings.length_penalty * apart
-        return F.when(met["groups"] == F.col("n_required"), rank)
-
-    # One-element lists let the result of a costly expression be used by name.
-    return F.transform(F.array(_met()), of)[0].alias("krank")
-
-
 def _best(hits: DataFrame, settings: SearchSettings) -> DataFrame:
     """The best hits of each variant. Documents that do not match have no rank and
     come last; leaving them out only here spares scoring them twice."""
@@ -341,7 +420,8 @@ def _look_up(
         .groupBy("variant")
         .agg(F.array_sort(F.collect_set(F.struct("tid", "df"))).alias("probed"))
     )
-    columns = ["variant", "n_words", "entries", "n_required"]
+    columns = ["variant", "n_words", "entries", "n_groups", "n_required", "q_ids", "q_terms",
+               "must", "required_bits", "f_bits", "s_bits"]
     if strong:
         columns += ["f_groups", "s_groups"]
     probes = (
@@ -356,8 +436,9 @@ def _look_up(
     # A document found by several terms is kept at the first of them only.
     first = F.array_intersect("probed", "ids")[0]
     met = met.where((F.size("probed") == 1) | (F.col("tid") == first))
-    hits = met.select("variant", "doc_id", "aoid", "fullname", score(settings, strong))
-    return _best(hits, settings)
+    # Required groups of one term can be tested before anything is scored.
+    met = met.where(F.size(F.array_intersect("must", "ids")) == F.size("must"))
+    return _best(_scored(met, settings, strong), settings)
 
 
 def _groups(resolved: DataFrame) -> DataFrame:
