@@ -35,6 +35,12 @@ from waymark.schemas import ADDROBJ, SOCRBASE
 from waymark.sources.checks import unique_violations, width_report
 from waymark.sources.registry import apply_deletes, export_tsv, load_registry
 
+try:  # the subpackage and the pipeline on it can be left out
+    import corpus_pipeline
+    from waymark.llm import queries as llm_queries
+except ImportError:
+    llm_queries = corpus_pipeline = None
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -233,7 +239,18 @@ def entry(spark: SparkSession) -> DataFrame:
     return _paths(spark, "/root/testdata/sf0.001")
 
 
+def _run_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Query]:
+    more = {}
+    if llm_queries is not None:
+        more = llm_queries.queries() | {"pipeline": _run_pipeline}
+    return _own_queries() | more
+
+
+def _own_queries() -> dict[str, Query]:
     return {
         "paths": _paths,
         "normalize": _normalize,
@@ -268,4 +285,9 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracles.oracle_sql()
+    more = {}
+    if llm_queries is not None:
+        more = llm_queries.oracle_sql()
+        if corpus_pipeline.ORACLE_SQL:
+            more["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return oracles.oracle_sql() | more
