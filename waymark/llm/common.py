@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import shutil
+import tempfile
 import uuid
+from collections.abc import Iterator
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waymark.plans.stage import stage_root
 
+#: Applications whose workers have this package.
+_shipped: set[str] = set()
+
 
 def store(df: DataFrame, name: str) -> DataFrame:
     """Write `df` as a table in the shared folder and read it back: the lineage ends
@@ -39,3 +46,45 @@ def held_out(doc_id: Column, folds: int, held: int) -> Column:
     """crc32 of the id as text, modulo `folds`, is `held`. A null id is not held out."""
     fold = F.crc32(doc_id.cast("string").cast("binary")) % folds
     return F.coalesce(fold == held, F.lit(False))
+
+
+def for_python(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """`df`, in a session whose Python workers know this package and are handed at most
+    so many rows at a time: texts may be very long. Spark has that as a setting of the
+    session only."""
+    spark = df.sparkSession
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) not in range(1, rows + 1):
+        spark.conf.set(name, str(rows))
+    if spark.sparkContext.applicationId not in _shipped:
+        package = Path(__file__).parent.parent
+        archive = shutil.make_archive(
+            f"{tempfile.mkdtemp()}/{package.name}", "zip", package.parent, package.name
+        )
+        spark.sparkContext.addPyFile(archive)
+        _shipped.add(spark.sparkContext.applicationId)
+    return df
+
+
+def blocks(texts: list[str], size: int = 1 << 20) -> Iterator[tuple[int, list[str]]]:
+    """Runs of texts of about `size` characters, with the number of the first."""
+    first, total = 0, 0
+    for i, t in enumerate(texts):
+        total += len(t)
+        if total >= size:
+            yield first, texts[first : i + 1]
+            first, total = i + 1, 0
+    if first < len(texts):
+        yield first, texts[first:]
+
+
+def sampled(df: DataFrame, by: str, per_class: int, id_col: str = "doc_id") -> DataFrame:
+    """About `per_class` rows of each value of `by`, or all if there are fewer, picked
+    by a hash of the id; `_rate` is the share that was picked. There must be few values."""
+    counts = {r[0]: r[1] for r in df.groupBy(by).count().collect()}
+    if not counts:
+        return df.withColumn("_rate", F.lit(1.0))
+    rates = [x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, per_class / n)))]
+    place = F.pmod(F.xxhash64(F.lit("sample"), id_col), F.lit(1_000_000)) / 1e6
+    rated = df.withColumn("_rate", F.element_at(F.create_map(*rates), F.col(by)))
+    return rated.where(place < F.col("_rate"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, url_filter
+from . import decontaminate, langid, mixing, pii, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +20,12 @@ def _op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def _op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_held_out(
+        _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    )
+
+
 def _op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(
         _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
@@ -30,11 +36,22 @@ def _op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(_table(spark, sf_dir, "pages"))
 
 
+def _op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_private(_table(spark, sf_dir, "documents")).drop("redacted")
+
+
+def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify_held_out(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op3_mixing": _op3,
+        "op4_toxicity": _op4,
         "op5_decontaminate": _op5,
         "op8_url_filter": _op8,
+        "op9_pii": _op9,
+        "op10_langid": _op10,
     }
 
 

@@ -4,7 +4,7 @@ n-grams of host and path where no rule fits."""
 from __future__ import annotations
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.feature import HashingTF
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -166,19 +166,21 @@ def train(
     block). A feature is the number of a URL's n-grams that fall in the bucket. Rows
     without url or label are left out."""
     known = labelled.where(F.col("url").isNotNull() & F.col("label").isNotNull())
-    found = known.select(
-        F.col("label").cast("double").alias("label"),
-        _buckets(host_of(F.col("url")), path_of(F.col("url")), sizes, buckets).alias("b"),
+    terms = _buckets(host_of(F.col("url")), path_of(F.col("url")), sizes, buckets)
+    counted = HashingTF(numFeatures=1 << 18, inputCol="terms", outputCol="features")
+    rows = counted.transform(
+        known.select(
+            F.col("label").cast("double").alias("label"), terms.cast("array<string>").alias("terms")
+        ).coalesce(1)
     )
-    counts = F.transform(
-        F.sequence(F.lit(0), F.lit(buckets - 1)),
-        lambda i: F.size(F.filter("b", lambda x: x == i)).cast("double"),
-    )
-    rows = found.select("label", array_to_vector(counts).alias("features")).coalesce(1)
     model = LogisticRegression(
         maxIter=60, regParam=0.001, elasticNetParam=0.0, standardization=False
     ).fit(rows)
-    return [float(w) for w in model.coefficients.toArray()], float(model.intercept)
+    weights = model.coefficients.toArray()
+    return (
+        [float(weights[counted.indexOf(str(b))]) for b in range(buckets)],
+        float(model.intercept),
+    )
 
 
 def judge(
