@@ -243,7 +243,7 @@ class Model:
 
 
 def _logistic(
-    x: np.ndarray, y: np.ndarray, w: np.ndarray, penalty: float = 0.1
+    x: np.ndarray, y: np.ndarray, w: np.ndarray, penalty: float = 0.02
 ) -> tuple[np.ndarray, float]:
     """Weights and bias by Newton's method with an L2 penalty on the weights. Features
     speak for toxicity only: those that get a negative weight are left out."""
