@@ -9,8 +9,10 @@ else the node is branched further and its children are searched in the same way.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +20,7 @@ from .common import store
 
 #: A node is searched exhaustively if it has at most so many unconnected pairs for each
 #: member.
-PAIRS_PER_MEMBER = 16
+PAIRS_PER_MEMBER = 128
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -59,15 +61,45 @@ def _state(e: DataFrame) -> tuple[int, int]:
     return row[0], row[1] or 0
 
 
-def compatible(a: Column, b: Column, percent: int, agree: int) -> Column:
-    """Whether two infos (n, sketch) may be similar: the sizes allow it, and the sketches
-    agree in `agree` places."""
-    same = F.aggregate(
-        F.zip_with(a["sketch"], b["sketch"], lambda x, y: (x == y).cast("int")),
-        F.lit(0), lambda s, x: s + x,
-    )
+#: Low bits of the minwise values in a sketch, and values in each of its two numbers.
+LANE_BITS, LANES = 4, 16
+
+
+def sketches(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two numbers for each row of `tokens` (rows x 2 * LANES minwise values): the low
+    bits of the values side by side."""
+    low = tokens & np.uint64((1 << LANE_BITS) - 1)
+    places = np.arange(LANES, dtype=np.uint64) * np.uint64(LANE_BITS)
+    pack = lambda x: np.bitwise_or.reduce(x << places, axis=1).view(np.int64)
+    return pack(low[:, :LANES]), pack(low[:, LANES : 2 * LANES])
+
+
+def _differing(a: Column, b: Column) -> Column:
+    """Lanes in which two numbers differ."""
+    x = a.bitwiseXOR(b)
+    for step in (2, 1):
+        x = x.bitwiseOR(F.shiftrightunsigned(x, step))
+    return F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
+
+
+def compatible(a: Column, b: Column, percent: int, differ: int) -> Column:
+    """Whether two infos (n, s1, s2) may be similar: the sizes allow it, and the sketches
+    differ in `differ` places at most."""
     sizes = F.least(a["n"], b["n"]) * 100 >= F.greatest(a["n"], b["n"]) * percent
-    return sizes & (same >= agree)
+    return sizes & (_differing(a["s1"], b["s1"]) + _differing(a["s2"], b["s2"]) <= differ)
+
+
+def allowed(percent: int, lost: float = 1e-6) -> int:
+    """Lanes of 2 * LANES in which similar sets differ at most, but for a share of `lost`
+    of them: each differs with a probability of (1 - similarity) * (1 - 2 ** -LANE_BITS)."""
+    n, p = 2 * LANES, (1 - percent / 100) * (1 - 2.0**-LANE_BITS)
+    tail, k = 0.0, n
+    while k > 0:
+        tail += math.comb(n, k) * p**k * (1 - p) ** (n - k)
+        if tail > lost:
+            break
+        k -= 1
+    return k
 
 
 def link(
@@ -76,34 +108,37 @@ def link(
     verify: Callable[[DataFrame], DataFrame],
     branch: Callable[[DataFrame, int], DataFrame],
     percent: int,
-    agree: int,
     levels: int,
 ) -> DataFrame:
     """Links (a, b) that connect all similar ids that meet in a node.
 
-    members: node, id, once each. infos: id, n, sketch. `verify` keeps the similar of
+    members: node, id, once each. infos: id, n, s1, s2 (`sketches`). `verify` keeps the similar of
     distinct pairs (a, b). `branch` gives the memberships in the children of nodes
     (node, id) at a level; past `levels` all unconnected pairs of a node are compared,
-    however many. `percent` and `agree`: see `compatible`.
+    however many. Similar means a Jaccard similarity of `percent` or more.
     """
-    level, links, seen = 1, None, None
+    level, differ = 1, allowed(percent)
+    links = seen = known = None
     while True:
         crowded = members.groupBy("node").agg(
             F.min("id").alias("pivot"), F.max("id").alias("other")
         ).where(F.col("pivot") < F.col("other")).select("node", "pivot")
         crowd = members.join(crowded, "node")
-        info = F.struct("n", "sketch").alias("info")
+        info = F.struct("n", "s1", "s2").alias("info")
         crowd = crowd.join(infos.select("id", info), "id")
         crowd = store(crowd.select("node", "id", "pivot", "info"), "link-crowd")
         pivots = crowd.where(F.col("id") == F.col("pivot")).select(
             "node", F.col("info").alias("pivot_info")
         )
         star = crowd.where(F.col("id") != F.col("pivot")).join(pivots, "node").where(
-            compatible(F.col("info"), F.col("pivot_info"), percent, agree)
+            compatible(F.col("info"), F.col("pivot_info"), percent, differ)
         ).select(F.col("pivot").alias("a"), F.col("id").alias("b"))
         links, seen = _verified(star, links, seen, verify)
         # What is connected by now, and what is left in each node.
-        known = store(components(links), "link-known")
+        edges = links if known is None else links.unionByName(
+            known.select(F.col("root").alias("a"), F.col("node").alias("b"))
+        )
+        known = store(components(edges), "link-known")
         placed = crowd.join(known.withColumnRenamed("node", "id"), "id", "left").withColumn(
             "part", F.coalesce("root", "id")
         )
@@ -129,7 +164,7 @@ def link(
             (F.col("x.node") == F.col("y.node"))
             & (F.col("x.part") != F.col("y.part"))
             & ((F.col("x.part") == F.col("x.main")) | (F.col("x.id") < F.col("y.id")))
-            & compatible(F.col("x.info"), F.col("y.info"), percent, agree),
+            & compatible(F.col("x.info"), F.col("y.info"), percent, differ),
         ).select(
             F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")
         )

@@ -8,25 +8,23 @@ similar documents go on together once on average.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import blocks, for_python, store
-from .linking import components, link
+from .linking import components, link, sketches
 
 #: Words of a shingle.
 WORDS = 5
 #: Minwise tokens of a document; the roots of the trees select the first of them.
 TOKENS = 32
 TREES = 10
-#: Places in which the low bits of the tokens of linked documents agree, at least. For a
-#: similarity of 0.8 fewer than these agree with a probability below 1 in 100,000.
-AGREE = 15
 LEVELS = 24
 _ODD = np.random.default_rng(20240607).integers(1, 2**63, TOKENS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -73,7 +71,8 @@ def minwise(hashes: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def shingled(documents: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, key, n, id (digest of the set; null if it is empty), tokens."""
+    """doc_id, key, n, d1 and d2 (digest of the set), tokens, s1 and s2 (sketch); of an empty
+    set n only."""
     docs = for_python(documents).select(
         F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("key"),
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
@@ -86,12 +85,20 @@ def shingled(documents: DataFrame, words: int, id_col: str, text_col: str) -> Da
                 cut = np.split(hashes, np.cumsum(n)[:-1])
                 rows = batch.iloc[at : at + len(some)][["doc_id", "key"]].reset_index(drop=True)
                 rows["n"] = n
-                rows["id"] = [hashlib.md5(x.tobytes()).digest() if len(x) else None for x in cut]
-                tokens = iter(minwise(hashes, n).view(np.int64))
-                rows["tokens"] = [next(tokens) if k else None for k in n]
-                yield rows
-
-    return docs.mapInPandas(run, "doc_id long, key long, n long, id binary, tokens array<long>")
+                digests = b"".join(hashlib.md5(x.tobytes()).digest() for x in cut if len(x))
+                tokens = minwise(hashes, n)
+                made = pd.DataFrame(
+                    np.frombuffer(digests, np.int64).reshape(-1, 2), columns=["d1", "d2"]
+                )
+                made["tokens"] = list(tokens.view(np.int64))
+                made["s1"], made["s2"] = sketches(tokens)
+                made.index = np.flatnonzero(n)
+                yield rows.join(made.astype({k: "Int64" for k in ("d1", "d2", "s1", "s2")}))
+
+    return docs.mapInPandas(
+        run,
+        "doc_id long, key long, n long, d1 long, d2 long, tokens array<long>, s1 long, s2 long",
+    )
 
 
 def classes(
@@ -110,15 +117,15 @@ def classes(
     and its rows are kept. Repeated rows are in one component and each kept if its id is.
     """
     rows = store(shingled(documents, words, id_col, text_col), "dedup-rows")
-    sets = rows.where(F.col("id").isNotNull()).groupBy("id").agg(
-        F.first("n").alias("n"), F.first("tokens").alias("tokens"),
+    sets = rows.where(F.col("n") > 0).groupBy("d1", "d2").agg(
+        *[F.first(c).alias(c) for c in ("n", "tokens", "s1", "s2")],
         F.min(F.struct("doc_id", "key")).alias("place"), F.min("doc_id").alias("least"),
     )
-    sets = store(sets, "dedup-sets")
-    infos = sets.select(
-        "id", "n",
-        F.transform("tokens", lambda x: F.pmod(x, F.lit(251)).cast("short")).alias("sketch"),
-    )
+    # Half of the digest is the number of a set; should two sets share it, they part here.
+    twin = F.row_number().over(Window.partitionBy("d1").orderBy("d2"))
+    number = F.when(twin == 1, F.col("d1")).otherwise(F.xxhash64("d1", "d2", twin))
+    sets = store(sets.withColumn("id", number), "dedup-sets")
+    infos = sets.select("id", "n", "s1", "s2")
     roots = F.slice("tokens", 1, trees)
     members = sets.select("id", F.posexplode(roots).alias("tree", "token")).select(
         F.xxhash64("tree", "token").alias("node"), "id"
@@ -144,17 +151,17 @@ def classes(
         wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
         for old in stored:
             wanted = wanted.join(old.select("id"), "id", "left_anti")
+        wanted = store(wanted, "dedup-wanted")
+        if stored and wanted.isEmpty():
+            return _similar(pairs, _union(stored), percent)
         wanted = wanted.join(sets.select("id", "place"), "id").select(
             F.col("id").alias("_id"), F.col("place.doc_id").alias("_doc"),
             F.col("place.key").alias("_key"),
         )
         stored.append(store(_sets_of(documents, wanted, words, id_col, text_col), "dedup-full"))
-        full = stored[0]
-        for more in stored[1:]:
-            full = full.unionByName(more)
-        return _similar(pairs, full, percent)
+        return _similar(pairs, _union(stored), percent)
 
-    links = link(members, infos, verify, branch, percent, AGREE, LEVELS)
+    links = link(members, infos, verify, branch, percent, LEVELS)
     found = store(components(links), "dedup-components")
     least = found.join(sets.select(F.col("id").alias("node"), "least"), "node").groupBy("root").agg(
         F.min("least").alias("component_id")
@@ -162,12 +169,12 @@ def classes(
     named = found.join(least, "root").select(F.col("node").alias("id"), "root", "component_id")
     # Of the sets of no component each is its own.
     alone = sets.join(named, "id", "left").select(
-        "id", F.coalesce("root", "id").alias("root"),
+        "d1", "d2", F.coalesce("root", "id").alias("root"),
         F.coalesce("component_id", "least").alias("component_id"),
     )
-    return rows.join(alone, "id", "left").select(
+    return rows.join(alone, ["d1", "d2"], "left").select(
         "doc_id", "key", F.col("n").alias("n_shingles"), "root",
-        F.when(F.col("id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias(
+        F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias(
             "component_id"
         ),
     ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
@@ -194,10 +201,14 @@ def _sets_of(
                 yield pd.DataFrame({"id": ids, "hashes": [x.tobytes() for x in cut]})
 
     # Repeated rows have equal sets; one is enough.
-    made = texts.mapInPandas(run, "id binary, hashes binary")
+    made = texts.mapInPandas(run, "id long, hashes binary")
     return made.groupBy("id").agg(F.first("hashes").alias("hashes"))
 
 
+def _union(tables: list[DataFrame]) -> DataFrame:
+    return functools.reduce(DataFrame.unionByName, tables)
+
+
 def _similar(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole sets are similar enough."""
     both = pairs.join(
