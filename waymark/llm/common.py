@@ -8,6 +8,8 @@ import uuid
 from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -88,3 +90,29 @@ def sampled(df: DataFrame, by: str, per_class: int, id_col: str = "doc_id") -> D
     place = F.pmod(F.xxhash64(F.lit("sample"), id_col), F.lit(1_000_000)) / 1e6
     rated = df.withColumn("_rate", F.element_at(F.create_map(*rates), F.col(by)))
     return rated.where(place < F.col("_rate"))
+
+
+def rows_of(documents: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """`text` of the rows of `documents` that `wanted` (_doc, _key and other columns)
+    names by id and hash of the text, with the columns of `wanted`. Most rows are not
+    wanted: Spark is told to filter the scan by a Bloom filter of the wanted keys, so
+    that their texts are not shuffled."""
+    spark = documents.sparkSession
+    spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.enabled", "true")
+    spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "1b")
+    docs = documents.select(
+        F.xxhash64(id_col, F.xxhash64(text_col)).alias("_row"),
+        F.xxhash64(text_col).alias("_k"), F.col(text_col).alias("text"),
+    ).where(F.col("text").isNotNull())
+    named = store(wanted.withColumn("_row", F.xxhash64("_doc", "_key")), "wanted")
+    # The comparison holds for every number; the filter is built on compared keys only.
+    named = named.where(F.col("_row") >= F.lit(-(2**63)))
+    return docs.join(named, "_row").where(F.col("_k").bitwiseXOR(F.col("_key")) == 0)
+
+
+def placed(values: list, at: np.ndarray, n: int) -> pd.Series:
+    """A column of `n` rows with `values` at the rows `at` and null elsewhere."""
+    out = np.full(n, None, dtype=object)
+    for i, x in zip(at.tolist(), values, strict=True):
+        out[i] = x
+    return pd.Series(out, dtype=object)

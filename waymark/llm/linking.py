@@ -20,45 +20,51 @@ from .common import store
 
 #: A node is searched exhaustively if it has at most so many unconnected pairs for each
 #: member.
-PAIRS_PER_MEMBER = 128
+PAIRS_PER_MEMBER = 512
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, root of every node of `edges` (a, b): root is the smallest node that can be
+    """node, root of every node of `edges` (a, b: long): root is the smallest node that can be
     reached. Large-star and small-star steps alternate until nothing changes; each is
     a grouping by minimum and a join, so a hub's neighbours never meet in one row."""
     e = edges.where(F.col("a") != F.col("b")).select(
         F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")
     )
-    e = store(e.distinct(), "cc-edges")
-    state = _state(e)
-    while state[0]:
+    e = store(e, "cc-edges")
+    while not _stars(e):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select(
             "u", F.least("u", "m").alias("m")
         )
-        large = both.where(F.col("v") > F.col("u")).join(low, "u").select(
-            F.col("v").alias("u"), F.col("m").alias("v")
+        large = store(
+            both.where(F.col("v") > F.col("u")).join(low, "u").select(
+                F.col("v").alias("u"), F.col("m").alias("v")
+            ),
+            "cc-large",
         )
-        large = store(large.distinct(), "cc-large")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
         small = small.where(F.col("v") != F.col("m")).select(
             F.col("v").alias("u"), F.col("m").alias("v")
-        ).unionByName(low.select("u", F.col("m").alias("v")))
+        ).where(F.col("u") != F.col("v")).unionByName(low.select("u", F.col("m").alias("v")))
+        small = small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         e = store(small.distinct(), "cc-small")
-        before, state = state, _state(e)
-        if state == before:
-            break
-    ends = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    ends = e.select(F.col("u").alias("node"), F.col("v").alias("root")).distinct()
     return ends.unionByName(ends.select(F.col("root").alias("node"), "root").distinct())
 
 
-def _state(e: DataFrame) -> tuple[int, int]:
-    row = e.agg(
-        F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 31)))
-    ).first()
-    return row[0], row[1] or 0
+def _stars(e: DataFrame) -> bool:
+    """Whether every u has one v, which is no u itself."""
+    seen = e.select(F.col("u").alias("x"), "v").unionByName(
+        e.select(F.col("v").alias("x"), F.lit(None).cast("long").alias("v"))
+    )
+    wrong = seen.groupBy("x").agg(
+        F.min("v").alias("least"), F.max("v").alias("most"),
+        F.max(F.col("v").isNull()).alias("ends"),
+    ).where(
+        (F.col("least") != F.col("most")) | (F.col("ends") & F.col("least").isNotNull())
+    )
+    return wrong.isEmpty()
 
 
 #: Low bits of the minwise values in a sketch, and values in each of its two numbers.
@@ -110,7 +116,7 @@ def link(
     percent: int,
     levels: int,
 ) -> DataFrame:
-    """Links (a, b) that connect all similar ids that meet in a node.
+    """node, root of every linked id: components of the similar ids that meet in nodes.
 
     members: node, id, once each. infos: id, n, s1, s2 (`sketches`). `verify` keeps the similar of
     distinct pairs (a, b). `branch` gives the memberships in the children of nodes
@@ -118,7 +124,7 @@ def link(
     however many. Similar means a Jaccard similarity of `percent` or more.
     """
     level, differ = 1, allowed(percent)
-    links = seen = known = None
+    search = _Search(verify)
     while True:
         crowded = members.groupBy("node").agg(
             F.min("id").alias("pivot"), F.max("id").alias("other")
@@ -133,13 +139,11 @@ def link(
         star = crowd.where(F.col("id") != F.col("pivot")).join(pivots, "node").where(
             compatible(F.col("info"), F.col("pivot_info"), percent, differ)
         ).select(F.col("pivot").alias("a"), F.col("id").alias("b"))
-        links, seen = _verified(star, links, seen, verify)
+        search.add(star)
         # What is connected by now, and what is left in each node.
-        edges = links if known is None else links.unionByName(
-            known.select(F.col("root").alias("a"), F.col("node").alias("b"))
-        )
-        known = store(components(edges), "link-known")
-        placed = crowd.join(known.withColumnRenamed("node", "id"), "id", "left").withColumn(
+        placed = crowd.join(
+            search.known().withColumnRenamed("node", "id"), "id", "left"
+        ).withColumn(
             "part", F.coalesce("root", "id")
         )
         parts = placed.groupBy("node", "part").agg(F.count(F.lit(1)).alias("k"))
@@ -168,27 +172,42 @@ def link(
         ).select(
             F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")
         )
-        links, seen = _verified(pairs, links, seen, verify)
+        search.add(pairs)
         many = work.where(~F.col("few"))
-        if many.isEmpty():
-            return links
+        if level >= levels or many.isEmpty():
+            return search.known()
         members = store(branch(many.select("node", "id"), level).distinct(), "link-members")
         level += 1
 
 
-def _verified(
-    pairs: DataFrame, links: DataFrame | None, seen: DataFrame | None,
-    verify: Callable[[DataFrame], DataFrame],
-) -> tuple[DataFrame, DataFrame]:
-    """`links` and `seen` with the pairs not seen before."""
-    pairs = pairs.distinct()
-    if seen is not None:
-        pairs = pairs.join(seen, ["a", "b"], "left_anti")
-    pairs = store(pairs, "link-pairs")
-    if links is not None and pairs.isEmpty():
-        return links, seen
-    good = store(verify(pairs), "link-good")
-    return (
-        good if links is None else links.unionByName(good),
-        pairs if seen is None else seen.unionByName(pairs),
-    )
+class _Search:
+    """The pairs compared so far and the components of the links among them."""
+
+    def __init__(self, verify: Callable[[DataFrame], DataFrame]) -> None:
+        self.verify = verify
+        self.seen: DataFrame | None = None
+        self.edges: DataFrame | None = None
+        self.parts: DataFrame | None = None
+
+    def add(self, pairs: DataFrame) -> None:
+        pairs = pairs.distinct()
+        if self.seen is not None:
+            pairs = pairs.join(self.seen, ["a", "b"], "left_anti")
+        pairs = store(pairs, "link-pairs")
+        if self.seen is not None and pairs.isEmpty():
+            return
+        self.seen = pairs if self.seen is None else self.seen.unionByName(pairs)
+        good = store(self.verify(pairs), "link-good")
+        if self.edges is None:
+            self.edges = good
+        elif not good.isEmpty():
+            if self.parts is not None:
+                self.edges = self.parts.select(F.col("root").alias("a"), F.col("node").alias("b"))
+                self.parts = None
+            self.edges = self.edges.unionByName(good)
+
+    def known(self) -> DataFrame:
+        """node, root of all linked ids."""
+        if self.parts is None:
+            self.parts = store(components(self.edges), "link-known")
+        return self.parts

@@ -17,8 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, for_python, store
-from .linking import components, link, sketches
+from .common import blocks, for_python, placed, rows_of, store
+from .linking import link, sketches
 
 #: Words of a shingle.
 WORDS = 5
@@ -72,7 +72,7 @@ def minwise(hashes: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 def shingled(documents: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
     """doc_id, key, n, d1 and d2 (digest of the set), tokens, s1 and s2 (sketch); of an empty
-    set n only."""
+    set n is 0 and the others say nothing."""
     docs = for_python(documents).select(
         F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("key"),
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
@@ -87,13 +87,14 @@ def shingled(documents: DataFrame, words: int, id_col: str, text_col: str) -> Da
                 rows["n"] = n
                 digests = b"".join(hashlib.md5(x.tobytes()).digest() for x in cut if len(x))
                 tokens = minwise(hashes, n)
-                made = pd.DataFrame(
-                    np.frombuffer(digests, np.int64).reshape(-1, 2), columns=["d1", "d2"]
-                )
-                made["tokens"] = list(tokens.view(np.int64))
-                made["s1"], made["s2"] = sketches(tokens)
-                made.index = np.flatnonzero(n)
-                yield rows.join(made.astype({k: "Int64" for k in ("d1", "d2", "s1", "s2")}))
+                halves = np.frombuffer(digests, np.int64).reshape(-1, 2)
+                full, s = np.flatnonzero(n), sketches(tokens)
+                rows["tokens"] = placed(list(tokens.view(np.int64)), full, len(n))
+                for name, x in zip(("d1", "d2", "s1", "s2"), (*halves.T, *s), strict=True):
+                    column = np.zeros(len(n), dtype=np.int64)
+                    column[full] = x
+                    rows[name] = column
+                yield rows[["doc_id", "key", "n", "d1", "d2", "tokens", "s1", "s2"]]
 
     return docs.mapInPandas(
         run,
@@ -161,8 +162,7 @@ def classes(
         stored.append(store(_sets_of(documents, wanted, words, id_col, text_col), "dedup-full"))
         return _similar(pairs, _union(stored), percent)
 
-    links = link(members, infos, verify, branch, percent, LEVELS)
-    found = store(components(links), "dedup-components")
+    found = link(members, infos, verify, branch, percent, LEVELS)
     least = found.join(sets.select(F.col("id").alias("node"), "least"), "node").groupBy("root").agg(
         F.min("least").alias("component_id")
     )
@@ -172,7 +172,9 @@ def classes(
         "d1", "d2", F.coalesce("root", "id").alias("root"),
         F.coalesce("component_id", "least").alias("component_id"),
     )
-    return rows.join(alone, ["d1", "d2"], "left").select(
+    same = (F.col("n") > 0) & (F.col("d1") == F.col("_d1")) & (F.col("d2") == F.col("_d2"))
+    alone = alone.withColumnsRenamed({"d1": "_d1", "d2": "_d2"})
+    return rows.join(alone, same, "left").select(
         "doc_id", "key", F.col("n").alias("n_shingles"), "root",
         F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias(
             "component_id"
@@ -184,13 +186,7 @@ def _sets_of(
     documents: DataFrame, wanted: DataFrame, words: int, id_col: str, text_col: str
 ) -> DataFrame:
     """id, hashes (the set as bytes) of the sets `wanted` (_id, _doc, _key)."""
-    docs = for_python(documents).select(
-        F.col(id_col).alias("_d"), F.xxhash64(F.col(text_col)).alias("_k"),
-        F.col(text_col).alias("text"),
-    ).where(F.col("text").isNotNull())
-    texts = docs.join(
-        wanted, F.col("_d").eqNullSafe(F.col("_doc")) & (F.col("_k") == F.col("_key"))
-    ).select("_id", "text")
+    texts = rows_of(for_python(documents), wanted, id_col, text_col).select("_id", "text")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

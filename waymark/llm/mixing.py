@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import store
+from .common import store, text_key
 
 #: Sources take these weights in turn, by the code points of their names, null last.
 WEIGHTS = (5, 2, 1)
@@ -48,7 +48,7 @@ def mix(
     text_col: str = "text",
     source_col: str = "source",
 ) -> DataFrame:
-    """doc_id, size, source, source_size, target, taken of every row.
+    """doc_id, key (hash of the text), size, source, source_size, target, taken of every row.
 
     A source whose target is r times its size gives each document floor(r) times whole.
     The rest goes to its documents in a seeded order until it is used up; the document
@@ -67,7 +67,7 @@ def mix(
         ).cast("binary")
     )
     sized = documents.select(
-        F.col(id_col).alias("doc_id"), word_count(F.col(text_col)).alias("size"),
+        F.col(id_col).alias("doc_id"), text_key(F.col(text_col)).alias("key"), word_count(F.col(text_col)).alias("size"),
         F.col(source_col).alias("source"),
     ).withColumn("place", order)
     sized = store(
@@ -103,15 +103,38 @@ def mix(
         F.col("d.source").eqNullSafe(F.col("p.source"))
         & (F.col("d.slice") == F.col("p.slice")),
     ).select(
-        "doc_id", "size", "d.source", "place", "d.slice", "before", "source_size", "target",
+        "doc_id", "key", "size", "d.source", "place", "d.slice", "before", "source_size", "target",
         "whole", "extra",
     )
     earlier = Window.partitionBy("source", "slice").orderBy(
-        "place", "doc_id", "size"
+        "place", "doc_id", "size", "key"
     ).rowsBetween(Window.unboundedPreceding, -1)
     start = F.col("before") + F.coalesce(F.sum("size").over(earlier), F.lit(0))
     part = F.greatest(F.least(F.col("size"), F.col("extra") - start), F.lit(0))
     return placed.select(
-        "doc_id", "size", "source", "source_size", "target",
+        "doc_id", "key", "size", "source", "source_size", "target",
         (F.col("whole") * F.col("size") + part).alias("taken"),
     )
+
+
+def apply_mix(documents: DataFrame, mixed: DataFrame) -> DataFrame:
+    """The rows of `documents` (doc_id, text and any other columns) that `mixed`, made of
+    them, takes any words of, with size, source_size, target and taken."""
+    same = Window.partitionBy("_id", "_key")
+    docs = documents.withColumn("_id", F.col("doc_id")).withColumn("_key", text_key(F.col("text")))
+    docs = docs.withColumn("_no", F.row_number().over(same.orderBy(F.lit(0))))
+    taken = mixed.select(
+        F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "size", "source_size",
+        "target", "taken",
+    )
+    taken = taken.withColumn("_no", F.row_number().over(same.orderBy(F.desc("taken"))))
+    d, t = docs.alias("d"), taken.where(F.col("taken") > 0).alias("t")
+    return d.join(
+        t,
+        F.col("d._id").eqNullSafe(F.col("t._id")) & F.col("d._key").eqNullSafe(F.col("t._key"))
+        & (F.col("d._no") == F.col("t._no")),
+    ).select(
+        *[F.col(f"d.`{c}`") for c in documents.columns],
+        *[F.col(f"t.{c}").alias(c if c not in documents.columns else f"mix_{c}")
+          for c in ("size", "source_size", "target", "taken")],
+    )

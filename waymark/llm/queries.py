@@ -5,8 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-
-from . import decontaminate, langid, minhash_dedup, mixing, pii, toxicity, url_filter
+from pyspark.sql import functions as F
+
+from . import (
+    decontaminate,
+    langid,
+    line_dedup,
+    minhash_dedup,
+    mixing,
+    pii,
+    substring_dedup,
+    topk,
+    toxicity,
+    url_filter,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +32,11 @@ def _op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def _op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return topk.search(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=5)
+
+
 def _op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(_table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -37,6 +54,14 @@ def _op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.passages(_table(spark, sf_dir, "documents"))
+
+
+def _op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.classes(_table(spark, sf_dir, "documents")).drop("key")
+
+
 def _op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(_table(spark, sf_dir, "pages"))
 
@@ -52,9 +77,12 @@ def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_minhash_dedup": _op1,
+        "op2_topk": _op2,
         "op3_mixing": _op3,
         "op4_toxicity": _op4,
         "op5_decontaminate": _op5,
+        "op6_substring_dedup": _op6,
+        "op7_line_dedup": _op7,
         "op8_url_filter": _op8,
         "op9_pii": _op9,
         "op10_langid": _op10,

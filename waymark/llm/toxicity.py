@@ -5,12 +5,12 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Container, Iterator, Set
+from collections.abc import Callable, Container, Iterator, Set
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import blocks, for_python, held_out, sampled, store
@@ -328,18 +328,10 @@ def train(
     return Model(grams, dict(zip(names, map(float, weights), strict=True)), bias)
 
 
-def score(
-    documents: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """doc_id, key (hash of the text), score from 0 to 1 and predicted (score >= 0.5) of
-    every row. Null text is empty; an empty text has the score of no evidence; rows
-    equal in text have equal scores."""
-    docs = for_python(documents).select(
-        F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("key"),
-        F.coalesce(F.col(text_col), F.lit("")).alias("text"),
-    )
+def scorer(spark: SparkSession, model: Model) -> Callable[[Column], Column]:
+    """The score from 0 to 1 of a column of texts, none of them null."""
     plain = (model.grams, model.weights, model.bias)
-    shared = docs.sparkSession.sparkContext.broadcast(plain)
+    shared = spark.sparkContext.broadcast(plain)
 
     @F.pandas_udf("double")
     def rate(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -356,17 +348,43 @@ def score(
                 out.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
             yield pd.Series(out, dtype="float64")
 
-    scored = docs.select("doc_id", "key", rate("text").alias("score"))
+    return rate
+
+
+def score(
+    documents: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """doc_id, score from 0 to 1 and predicted (score >= 0.5) of every row. Null text is
+    empty; an empty text has the score of no evidence; rows equal in text have equal
+    scores."""
+    rate = scorer(documents.sparkSession, model)
+    scored = for_python(documents).select(
+        F.col(id_col).alias("doc_id"),
+        rate(F.coalesce(F.col(text_col), F.lit(""))).alias("score"),
+    )
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def drop_toxic(documents: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
+    """The rows of `documents` (text and any other columns) that score below `threshold`."""
+    rate = scorer(documents.sparkSession, model)
+    return for_python(documents).where(rate(F.coalesce("text", F.lit(""))) < threshold)
+
+
+def train_outside(
+    documents: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0
+) -> Model:
+    """Labels are learned outside the held-out fold, the language model counts every
+    text."""
+    fold = held_out(F.col("doc_id"), folds, held)
+    return train(documents.where(~fold), labels.where(~fold), corpus=documents)
+
+
 def score_held_out(
     documents: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0
 ) -> DataFrame:
-    """doc_id, held_out, score, predicted: labels are learned outside the held-out fold,
-    the language model counts every text."""
-    fold = held_out(F.col("doc_id"), folds, held)
-    model = train(documents.where(~fold), labels.where(~fold), corpus=documents)
-    return score(documents, model).select(
-        "doc_id", fold.alias("held_out"), "score", "predicted"
+    """doc_id, held_out, score, predicted of every row, learned as in `train_outside`."""
+    found = score(documents, train_outside(documents, labels, folds, held))
+    return found.select(
+        "doc_id", held_out(F.col("doc_id"), folds, held).alias("held_out"), "score", "predicted"
     )
