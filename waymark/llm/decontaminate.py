@@ -10,14 +10,14 @@ from .common import ascii_lower, store, text_key
 
 #: Words of a window.
 N = 10
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The set of window hashes is broadcast up to so many rows of 12 bytes; beyond that
 #: the windows are joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
 
 
 def _words(text: Column) -> Column:
-    words = F.regexp_extract_all(ascii_lower(text), F.lit(WORD), F.lit(0))
+    words = F.filter(F.split(ascii_lower(text), GAP), lambda w: w != "")
     return F.coalesce(words, F.array().cast("array<string>"))
 
 

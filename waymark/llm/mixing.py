@@ -13,11 +13,12 @@ MAX_EPOCHS = 3
 SEED = 20240229
 #: Hexadecimal digits of the seeded hash that make a slice of a source.
 SLICE_DIGITS = 3
-WORD = r"[^\x20\x09-\x0D]+"
+GAP = r"[\x20\x09-\x0D]+"
 
 
 def word_count(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+    words = F.filter(F.split(text, GAP), lambda w: w != "")
+    return F.when(text.isNull(), 0).otherwise(F.size(words)).cast("long")
 
 
 def water_fill(sources: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
