@@ -33,8 +33,7 @@ def normal(line: str) -> str:
 
 def _shift(h: np.ndarray, other: np.ndarray, by: int) -> np.ndarray:
     """Hashes of windows made of those in `h` and, `by` characters on, those in `other`."""
-    m = len(h) - by if len(other) >= len(h) else len(other) - by
-    m = min(len(h), len(other) - by, m)
+    m = min(len(h), len(other) - by)
     power = np.uint64(pow(_A, by, 1 << 64))
     return h[:m] * power + other[by : by + m]
 
