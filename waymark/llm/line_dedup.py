@@ -21,10 +21,11 @@ CHARS = 10
 #: Similar lines share one of the bands at least with a probability over 0.999 at 0.8.
 BANDS, ROWS = 10, 3
 PERCENT = 80
-LEVELS = 24
+LEVELS = 4
+#: Bits of a hash that are compared within a place; the places of a block fit above.
+VALUE_BITS = 40
 SPACE = re.compile(r"\s+")
 _A = 0x9E3779B97F4A7C15
-_ODD = np.random.default_rng(77).integers(1, 2**63, 2 * LANES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def normal(line: str) -> str:
@@ -56,12 +57,32 @@ def signatures(lines: list[str]) -> np.ndarray:
     last = end - CHARS
     inside = np.arange(len(ten)) <= np.repeat(last, length)[: len(ten)]
     kept = ten[inside]
-    count = length - CHARS + 1
-    first = np.cumsum(count) - count
-    out = np.empty((len(lines), 2 * LANES), dtype=np.uint64)
-    for i, odd in enumerate(_ODD):
-        out[:, i] = np.minimum.reduceat(kept * odd, first)
-    return out
+    # One permutation: a shingle belongs to the place that its hash names, and the lowest
+    # hash of a place is its value. An empty place takes that of the next one that is
+    # not, changed by the distance.
+    places = 2 * LANES
+    line = np.repeat(np.arange(len(lines), dtype=np.uint64), length - CHARS + 1)
+    spot = line * np.uint64(places) + (kept >> np.uint64(64 - 5))
+    low = kept & np.uint64((1 << VALUE_BITS) - 1)
+    if len(lines) * places < 1 << (64 - VALUE_BITS):
+        packed = np.sort((spot << np.uint64(VALUE_BITS)) | low)
+        spot, low = packed >> np.uint64(VALUE_BITS), packed & np.uint64((1 << VALUE_BITS) - 1)
+    else:
+        order = np.lexsort((low, spot))
+        spot, low = spot[order], low[order]
+    new = np.append(True, spot[1:] != spot[:-1])
+    out = np.zeros(len(lines) * places, dtype=np.uint64)
+    full = np.zeros(len(lines) * places, dtype=bool)
+    out[spot[new].astype(np.int64)] = low[new]
+    full[spot[new].astype(np.int64)] = True
+    out, full = out.reshape(-1, places), full.reshape(-1, places)
+    for step in (1, 2, 4, 8, 16):
+        take = ~full & np.roll(full, -step, axis=1)
+        out = np.where(take, np.roll(out, -step, axis=1) * np.uint64(_A) + np.uint64(step), out)
+        full = full | take
+    # The low bits make the sketch.
+    out = (out ^ (out >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return out ^ (out >> np.uint64(32))
 
 
 def lines_of(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -202,9 +223,9 @@ def _similar(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
 
     @F.pandas_udf("boolean")
     def enough(x: pd.Series, y: pd.Series) -> pd.Series:
-        out = []
+        out, sets = [], {t: _shingles(t) for t in {*x, *y}}
         for one, two in zip(x, y, strict=True):
-            p, q = _shingles(one), _shingles(two)
+            p, q = sets[one], sets[two]
             shared = len(p & q)
             out.append(100 * shared >= percent * (len(p) + len(q) - shared))
         return pd.Series(out, dtype=bool)

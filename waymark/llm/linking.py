@@ -1,8 +1,8 @@
 """Links between similar sets, and what they connect, without all pairs of a group.
 
 Candidates come as memberships in nodes: two members of a node may be similar. A node is
-searched in two steps. Every member is compared with one pivot; that connects most
-of a group of copies by as many pairs as it has members. Then, of the members that are
+searched in two steps. Every member is compared with a few pivots; that connects most
+of a group of copies by a few times as many pairs as it has members. Then, of the members that are
 not connected yet, all pairs are compared if they are few against the size of the node;
 else the node is branched further and its children are searched in the same way.
 """
@@ -20,7 +20,9 @@ from .common import store
 
 #: A node is searched exhaustively if it has at most so many unconnected pairs for each
 #: member.
-PAIRS_PER_MEMBER = 512
+PAIRS_PER_MEMBER = 64
+#: Members of a node that all the others are compared with.
+PIVOTS = 4
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -95,7 +97,7 @@ def compatible(a: Column, b: Column, percent: int, differ: int) -> Column:
     return sizes & (_differing(a["s1"], b["s1"]) + _differing(a["s2"], b["s2"]) <= differ)
 
 
-def allowed(percent: int, lost: float = 1e-6) -> int:
+def allowed(percent: int, lost: float = 1e-5) -> int:
     """Lanes of 2 * LANES in which similar sets differ at most, but for a share of `lost`
     of them: each differs with a probability of (1 - similarity) * (1 - 2 ** -LANE_BITS)."""
     n, p = 2 * LANES, (1 - percent / 100) * (1 - 2.0**-LANE_BITS)
@@ -118,7 +120,7 @@ def link(
 ) -> DataFrame:
     """node, root of every linked id: components of the similar ids that meet in nodes.
 
-    members: node, id, once each. infos: id, n, s1, s2 (`sketches`). `verify` keeps the similar of
+    members: node, id. infos: id, n, s1, s2 (`sketches`). `verify` keeps the similar of
     distinct pairs (a, b). `branch` gives the memberships in the children of nodes
     (node, id) at a level; past `levels` all unconnected pairs of a node are compared,
     however many. Similar means a Jaccard similarity of `percent` or more.
@@ -127,18 +129,21 @@ def link(
     search = _Search(verify)
     while True:
         crowded = members.groupBy("node").agg(
-            F.min("id").alias("pivot"), F.max("id").alias("other")
-        ).where(F.col("pivot") < F.col("other")).select("node", "pivot")
-        crowd = members.join(crowded, "node")
+            F.min("id").alias("low"), F.max("id").alias("high"), F.count(F.lit(1)).alias("size")
+        ).where(F.col("low") < F.col("high")).select("node", "size")
+        crowd = store(members.join(crowded, "node").distinct(), "link-nodes")
+        # What most members resemble is met in many large nodes: it makes a good pivot.
+        fame = crowd.groupBy("id").agg(F.sum("size").alias("fame"))
         info = F.struct("n", "s1", "s2").alias("info")
-        crowd = crowd.join(infos.select("id", info), "id")
-        crowd = store(crowd.select("node", "id", "pivot", "info"), "link-crowd")
-        pivots = crowd.where(F.col("id") == F.col("pivot")).select(
-            "node", F.col("info").alias("pivot_info")
-        )
-        star = crowd.where(F.col("id") != F.col("pivot")).join(pivots, "node").where(
-            compatible(F.col("info"), F.col("pivot_info"), percent, differ)
-        ).select(F.col("pivot").alias("a"), F.col("id").alias("b"))
+        crowd = crowd.join(infos.join(fame, "id").select("id", info, "fame"), "id")
+        crowd = store(crowd.select("node", "id", "fame", "info"), "link-crowd")
+        pivots = crowd.groupBy("node", F.pmod(F.xxhash64("id"), F.lit(PIVOTS)).alias("turn")).agg(
+            F.max(F.struct("fame", "id", "info")).alias("p")
+        ).select("node", F.col("p.id").alias("pivot"), F.col("p.info").alias("pivot_info"))
+        star = crowd.select("node", "id", "info").join(pivots, "node").where(
+            (F.col("id") != F.col("pivot"))
+            & compatible(F.col("info"), F.col("pivot_info"), percent, differ)
+        ).select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"))
         search.add(star)
         # What is connected by now, and what is left in each node.
         placed = crowd.join(

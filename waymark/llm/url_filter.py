@@ -177,10 +177,11 @@ def train(
         maxIter=60, regParam=0.001, elasticNetParam=0.0, standardization=False
     ).fit(rows)
     weights = model.coefficients.toArray()
-    return (
-        [float(weights[counted.indexOf(str(b))]) for b in range(buckets)],
-        float(model.intercept),
+    each = labelled.sparkSession.range(buckets).select(
+        "id", F.array(F.col("id").cast("string")).alias("terms")
     )
+    place = {r["id"]: int(r["features"].indices[0]) for r in counted.transform(each).collect()}
+    return [float(weights[place[b]]) for b in range(buckets)], float(model.intercept)
 
 
 def judge(
@@ -199,7 +200,8 @@ def judge(
     and path and gets the model's verdict on those. Repeated rows are judged each.
     """
     weights, intercept = train(labelled if labelled is not None else labelled_urls(pages.sparkSession))
-    w = F.lit(weights)
+    # One literal; the optimizer turns it into an array once.
+    w = F.split(F.lit(",".join(map(repr, weights))), ",").cast("array<double>")
     split = pages.select(
         F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"),
         path_of(F.col(url_col)).alias("path"),
