@@ -19,6 +19,7 @@ from . import (
     toxicity,
     url_filter,
 )
+from .oracles import ORACLES
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -90,4 +91,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
