@@ -12,6 +12,8 @@ import re
 import fixture_tables as fx
 
 _TOKENS = "regexp_extract_all(replace(replace(lower({0}), 'ё', 'е'), '@', ''), '[0-9a-z_а-я]+')"
+# Words joined by single hyphens count once more as a whole.
+_WHOLES = _TOKENS.replace("]+'", "]+(?:-[0-9a-z_а-я]+)+'")
 
 
 def _fill(text: str) -> str:
@@ -47,31 +49,38 @@ _PIECES = {
       UNION ALL
       SELECT request_id, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'not_found'
       FROM resolved WHERE rn = 1 AND aoid IS NULL""",
-    "climb": """
-      SELECT r.request_id, a.parentguid, a.shortname || ' ' || a.formalname AS fullname
-      FROM version_requests r JOIN addrobj a ON a.aoid = r.uuid
+    # The names from an object upwards, as a list; and those from the top downwards.
+    "ascent": """
+      SELECT v.request_id, o.parentguid AS above, [concat_ws(' ', o.shortname, o.formalname)] AS names
+      FROM version_requests v, addrobj o WHERE o.aoid = v.uuid
       UNION
-      SELECT c.request_id, a.parentguid, a.shortname || ' ' || a.formalname || ', ' || c.fullname
-      FROM climb c JOIN cur a ON a.aoguid = c.parentguid""",
-    "path": """
-      SELECT id, aoid, aoguid, aolevel, shortname || ' ' || formalname AS fullname,
-             shortname || '' AS sname
+      SELECT x.request_id, o.parentguid,
+             list_append(x.names, concat_ws(' ', o.shortname, o.formalname))
+      FROM ascent x, cur o WHERE o.aoguid = x.above""",
+    "climb": """
+      SELECT request_id, above AS parentguid, array_to_string(list_reverse(names), ', ') AS fullname
+      FROM ascent""",
+    "descent": """
+      SELECT id, aoguid AS below, [shortname] AS shorts, [formalname] AS formals
       FROM cur WHERE aolevel = 1
       UNION
-      SELECT c.id, c.aoid, c.aoguid, c.aolevel,
-             p.fullname || ', ' || c.shortname || ' ' || c.formalname,
-             p.sname || ' ' || c.shortname
-      FROM cur c JOIN path p ON c.parentguid = p.aoguid""",
+      SELECT o.id, o.aoguid, list_append(x.shorts, o.shortname), list_append(x.formals, o.formalname)
+      FROM descent x, cur o WHERE o.parentguid = x.below""",
+    "path": """
+      SELECT id, aoid, aoguid, aolevel,
+             array_to_string([z[1] || ' ' || z[2] for z in list_zip(shorts, formals)], ', ') AS fullname,
+             array_to_string(shorts, ' ') AS sname
+      FROM descent JOIN cur USING (id)""",
     "paths": """
       SELECT id, aoid, fullname, sname,
              length(fullname) - length(replace(fullname, ' ', '')) AS wordcount
       FROM path WHERE aolevel NOT IN (1, 3)""",
     "tokens": f"""
-      SELECT unnest({_TOKENS.format('t')}) AS word FROM (
+      SELECT unnest({_TOKENS.format('t')} || {_WHOLES.format('t')}) AS word FROM (
         SELECT fullname AS t FROM paths UNION ALL SELECT sname FROM paths
         UNION ALL SELECT text FROM documents) x""",
     "dictionary": """
-      SELECT word, count(*) AS frequency FROM tokens WHERE length(word) <= 43
+      SELECT word, count(*) AS frequency FROM tokens
       GROUP BY word ORDER BY frequency DESC, word LIMIT 200000""",
     "threshold": _fill(fx.FREQ_THRESHOLD),
     "prefixes": """
@@ -404,7 +413,7 @@ def statement(final: str) -> str:
             if name in _PIECES and name not in needed:
                 needed.add(name)
                 waiting.append(_PIECES[name])
-    inline = {"chain", "climb", "path"}  # recursive
+    inline = {"chain", "ascent", "descent"}  # recursive
     pieces = [
         f"{name} AS {'' if name in inline else 'MATERIALIZED '}({text})"
         for name, text in _PIECES.items()

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from waymark.functions.predicates import is_current
 from waymark.operators.ids import resolve_requests
-from waymark.plans.skew import skew_join, small_or_plain
+from waymark.plans.skew import skew_join
 from waymark.plans.stage import measured, stage
 from waymark.settings import DEFAULTS, SearchSettings
 
@@ -94,7 +94,7 @@ def expand(
 
     above = _climb(guids, parents, step, [], settings).drop("up")
 
-    names = small_or_plain(
+    names = (
         socrbase.select(
             F.col("scname").alias("shortname"), F.col("level").alias("aolevel"), "socrname"
         )

@@ -5,20 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from waymark.functions.text import tokenize, trigram_text
+from waymark.functions.text import index_terms, trigram_text
 from waymark.plans.stage import stage
-from waymark.schemas import MAX_WORD
 from waymark.settings import DEFAULTS, SearchSettings
 
 
 def count_words(texts: DataFrame) -> DataFrame:
-    """(text) to (word, frequency); words too long to store are left out."""
-    words = texts.select(F.explode(tokenize(F.col("text"))).alias("word"))
-    return (
-        words.where(F.length("word") <= MAX_WORD)
-        .groupBy("word")
-        .agg(F.count(F.lit(1)).cast("int").alias("frequency"))
-    )
+    """(text) to (word, frequency). Words are the terms of the index: of a hyphenated one
+    the parts and the whole."""
+    terms = F.transform(index_terms(F.col("text")), lambda t: t["term"])
+    words = texts.select(F.explode(terms).alias("word"))
+    return words.groupBy("word").agg(F.count(F.lit(1)).alias("frequency"))
 
 
 def _first_classes(counted: DataFrame, key: str, size: int, descending: bool) -> DataFrame:

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waymark.functions.text import gram_bits, trigrams
-from waymark.plans.skew import small_or_plain
 from waymark.plans.stage import stage
 
 GRAM_PARTS = 64
@@ -83,8 +82,8 @@ def build_lexicon(dictionary: DataFrame, socrbase: DataFrame) -> Lexicon:
     )
     return Lexicon(
         prefixes=stage(count_prefixes(dictionary), "lexicon-prefixes"),
-        full=small_or_plain(stage(full, "lexicon-full")),
-        short=small_or_plain(stage(short, "lexicon-short")),
+        full=stage(full, "lexicon-full"),
+        short=stage(short, "lexicon-short"),
         gram_rows=rows.drop("times"),
         grams=stage(grams, "lexicon-grams"),
     )

@@ -132,12 +132,3 @@ def work_join(
         )
         .drop("_part")
     )
-
-
-def small_or_plain(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Mark `df` for broadcast if its count shows that it is small. Otherwise
-    leave the choice of join to Spark."""
-    rows = measured(df)
-    if rows is None:
-        rows = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if rows <= max_rows else df

@@ -90,9 +90,6 @@ AOTRIG = TableSpec(
 TABLES = {spec.name: spec for spec in (ADDROBJ, SOCRBASE, AOTRIG)}
 IMPORTABLE = ("ADDROBJ", "SOCRBASE")
 
-# A word of n characters has trigram text of 4n + 7, which must fit its column.
-MAX_WORD = (AOTRIG.widths["trigramm"] - 7) // 4
-
 
 def typed(spec: TableSpec) -> list[Column]:
     """Casts of the text columns of a file to the stored types; a value that
