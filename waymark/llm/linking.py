@@ -20,7 +20,7 @@ from .common import store
 
 #: A node is searched exhaustively if it has at most so many unconnected pairs for each
 #: member.
-PAIRS_PER_MEMBER = 64
+PAIRS_PER_MEMBER = 1024
 #: Members of a node that all the others are compared with.
 PIVOTS = 4
 
