@@ -101,6 +101,26 @@ def test_near_duplicates(docs, percent):
     assert all(r.kept == (r.doc_id == r.component_id) for r in found)
 
 
+def test_group_of_variants_by_blocks(spark, monkeypatch):
+    """A large group around one text, most pairs just below the limit, in blocks of 8."""
+    for name, value in (("BLOCK", 8), ("PASSING_PER_MEMBER", 0), ("PIVOTS", 1)):
+        monkeypatch.setattr(linking, name, value)
+    base, variants, rng = words(90, 7), [], random.Random(8)
+    for _ in range(60):
+        text = list(base)
+        for i in rng.sample(range(90), rng.randint(1, 4)):
+            text[i] = f"x{rng.randrange(10**6)}"
+        variants.append(" ".join(text))
+    roots = components([shingles(x) for x in variants], 85)
+    least = {}
+    for i, root in enumerate(roots):
+        least.setdefault(root, i)
+    table = spark.createDataFrame(list(enumerate(variants)), "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in minhash_dedup.classes(table, 85).collect()}
+    assert found == {i: least[root] for i, root in enumerate(roots)}
+    assert 1 < len(least) < 60
+
+
 def test_keep_one(docs):
     kept = minhash_dedup.keep_one(docs, 85)
     assert kept.columns == docs.columns

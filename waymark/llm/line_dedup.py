@@ -178,8 +178,8 @@ def classes(
 
     fetched: list[DataFrame] = []
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.col("a").alias("d1")).union(pairs.select("b")).distinct()
+    def whole(ids: DataFrame) -> DataFrame:
+        wanted = ids.select(F.col("id").alias("d1")).distinct()
         for old in fetched:
             wanted = wanted.join(old.select(F.col("id").alias("d1")), "d1", "left_anti")
         wanted = store(wanted, "lines-wanted")
@@ -190,12 +190,21 @@ def classes(
             )
             texts = rows_of(documents, named, id_col, text_col)
             line = F.get(F.split("text", "\n"), F.col("_no"))
-            some = texts.select("id", line.alias("line")).groupBy("id").agg(F.min("line").alias("line"))
-            fetched.append(store(some, "lines-text"))
-        known = functools.reduce(DataFrame.unionByName, fetched)
+            some = texts.select("id", line.alias("body")).groupBy("id").agg(F.min("body").alias("body"))
+            fetched.append(store(some.withColumn("weight", F.length("body")), "lines-text"))
+        return functools.reduce(DataFrame.unionByName, fetched)
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        known = whole(pairs.select(F.col("a").alias("id")).union(pairs.select("b")))
         return _similar(pairs, known, percent)
 
-    found = link(members, infos, verify, branch, percent, LEVELS)
+    def decode(bodies: list) -> list[np.ndarray]:
+        numbers: dict[str, int] = {}
+        return [
+            np.array([numbers.setdefault(s, len(numbers)) for s in _shingles(x)]) for x in bodies
+        ]
+
+    found = link(members, infos, verify, whole, decode, branch, percent, LEVELS)
     part = equal.join(found.withColumnRenamed("node", "d1"), "d1", "left").withColumn(
         "root", F.coalesce("root", "d1")
     )
@@ -218,8 +227,8 @@ def _shingles(line: str) -> set[str]:
 
 def _similar(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
     both = pairs.join(
-        lines.select(F.col("id").alias("a"), F.col("line").alias("x")), "a"
-    ).join(lines.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
+        lines.select(F.col("id").alias("a"), F.col("body").alias("x")), "a"
+    ).join(lines.select(F.col("id").alias("b"), F.col("body").alias("y")), "b")
 
     @F.pandas_udf("boolean")
     def enough(x: pd.Series, y: pd.Series) -> pd.Series:

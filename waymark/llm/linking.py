@@ -3,8 +3,10 @@
 Candidates come as memberships in nodes: two members of a node may be similar. A node is
 searched in two steps. Every member is compared with a few pivots; that connects most
 of a group of copies by a few times as many pairs as it has members. Then, of the members that are
-not connected yet, all pairs are compared if they are few against the size of the node;
-else the node is branched further and its children are searched in the same way.
+not connected yet, all pairs are compared: one by one if few of them can be similar, else
+block by block, where a task holds two blocks of whole sets and gives only the links that
+connect something new. A node too large for that is branched further and its children are
+searched in the same way.
 """
 
 from __future__ import annotations
@@ -13,14 +15,21 @@ import math
 from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import store
+from .common import for_python, store
 
-#: A node is searched exhaustively if it has at most so many unconnected pairs for each
-#: member.
-PAIRS_PER_MEMBER = 1024
+#: The sketches of a node's unconnected pairs are compared if there are at most so many for
+#: each member, and if at most so many of these are expected to pass.
+PAIRS_PER_MEMBER, PASSING_PER_MEMBER = 1024, 8
+#: Otherwise a node of at most so many members is compared block by block.
+DENSE = 8192
+#: Members of a block, and elements of their sets, on average at most.
+BLOCK, ELEMENTS = 512, 1 << 20
+#: Elements whose occurrences are multiplied at a time.
+COLUMNS = 2048
 #: Members of a node that all the others are compared with.
 PIVOTS = 4
 
@@ -114,6 +123,8 @@ def link(
     members: DataFrame,
     infos: DataFrame,
     verify: Callable[[DataFrame], DataFrame],
+    whole: Callable[[DataFrame], DataFrame],
+    decode: Callable[[list], list[np.ndarray]],
     branch: Callable[[DataFrame, int], DataFrame],
     percent: int,
     levels: int,
@@ -121,9 +132,11 @@ def link(
     """node, root of every linked id: components of the similar ids that meet in nodes.
 
     members: node, id. infos: id, n, s1, s2 (`sketches`). `verify` keeps the similar of
-    distinct pairs (a, b). `branch` gives the memberships in the children of nodes
-    (node, id) at a level; past `levels` all unconnected pairs of a node are compared,
-    however many. Similar means a Jaccard similarity of `percent` or more.
+    distinct pairs (a, b). `whole` gives id, body, weight (about the elements) of ids (id),
+    and `decode` makes the sets of bodies, as arrays of numbers that agree within one call.
+    `branch` gives the memberships in the children of nodes (node, id) at a level; past
+    `levels` all unconnected pairs of a node are compared, however many. Similar means a
+    Jaccard similarity of `percent` or more.
     """
     level, differ = 1, allowed(percent)
     search = _Search(verify)
@@ -140,10 +153,13 @@ def link(
         pivots = crowd.groupBy("node", F.pmod(F.xxhash64("id"), F.lit(PIVOTS)).alias("turn")).agg(
             F.max(F.struct("fame", "id", "info")).alias("p")
         ).select("node", F.col("p.id").alias("pivot"), F.col("p.info").alias("pivot_info"))
-        star = crowd.select("node", "id", "info").join(pivots, "node").where(
-            (F.col("id") != F.col("pivot"))
-            & compatible(F.col("info"), F.col("pivot_info"), percent, differ)
-        ).select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"))
+        near = crowd.select("node", "id", "info").join(pivots, "node").where(
+            F.col("id") != F.col("pivot")
+        ).withColumn("near", compatible(F.col("info"), F.col("pivot_info"), percent, differ))
+        share = near.groupBy("node").agg(F.avg(F.col("near").cast("double")).alias("share"))
+        star = near.where("near").select(
+            F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")
+        )
         search.add(star)
         # What is connected by now, and what is left in each node.
         placed = crowd.join(
@@ -156,16 +172,21 @@ def link(
             F.sum("k").alias("size"), F.sum(F.col("k") * F.col("k")).alias("squares"),
             F.max_by("part", F.struct("k", "part")).alias("main"),
         ).withColumn("open", (F.col("size") * F.col("size") - F.col("squares")) / 2)
-        left = left.where(F.col("open") > 0).withColumn(
-            "few", (F.col("open") <= F.col("size") * PAIRS_PER_MEMBER) | F.lit(level >= levels)
+        passing = F.col("open") * F.col("share")
+        few = (F.col("open") <= F.col("size") * PAIRS_PER_MEMBER) & (
+            passing <= F.col("size") * PASSING_PER_MEMBER
+        )
+        dense = (F.col("size") <= DENSE) | F.lit(level >= levels)
+        left = left.where(F.col("open") > 0).join(share, "node").withColumn(
+            "way", F.when(few, "pairs").when(dense, "blocks").otherwise("branch")
         )
         work = store(
-            placed.join(left.select("node", "main", "few"), "node").select(
-                "node", "id", "part", "main", "few", "info"
+            placed.join(left.select("node", "main", "way"), "node").select(
+                "node", "id", "part", "main", "way", "info"
             ),
             "link-open",
         )
-        few = work.where("few")
+        few = work.where(F.col("way") == "pairs")
         one, two = few.alias("x"), few.where(F.col("part") != F.col("main")).alias("y")
         # One of a pair is outside the node's main part; if both are, the pair is met once.
         pairs = one.join(
@@ -178,13 +199,95 @@ def link(
             F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")
         )
         search.add(pairs)
-        many = work.where(~F.col("few"))
+        dense = work.where(F.col("way") == "blocks").select("node", "id", "part", "main")
+        if not dense.isEmpty():
+            search.join(_by_blocks(dense, whole(dense.select("id")), decode, percent))
+        many = work.where(F.col("way") == "branch")
         if level >= levels or many.isEmpty():
             return search.known()
         members = store(branch(many.select("node", "id"), level).distinct(), "link-members")
         level += 1
 
 
+def _by_blocks(
+    work: DataFrame, sets: DataFrame, decode: Callable[[list], list[np.ndarray]], percent: int
+) -> DataFrame:
+    """a, b of links between parts of the nodes of `work` (node, id, part, main), as many as
+    connect what any links connect. A member goes to one block of its node; pairs of blocks
+    are compared, but for those of the main part, which is connected."""
+    sized = work.join(sets.select("id", "weight"), "id").withColumn(
+        "inner", F.col("part") == F.col("main")
+    )
+    of = lambda inner: F.ceil(
+        F.greatest(
+            F.count_if(inner) / BLOCK, F.sum(F.when(inner, F.col("weight"))) / ELEMENTS, F.lit(1)
+        )
+    )
+    blocks = sized.groupBy("node").agg(
+        of(F.col("inner")).alias("inner_blocks"), of(~F.col("inner")).alias("outer_blocks")
+    )
+    draw = lambda n: F.pmod(F.xxhash64(F.lit("block"), "id"), F.col(n))
+    # The blocks of the main part have negative numbers and meet only the others.
+    block = F.when(F.col("inner"), -1 - draw("inner_blocks")).otherwise(draw("outer_blocks"))
+    first = F.when(F.col("inner"), F.lit(0)).otherwise(-F.col("inner_blocks"))
+    dealt = sized.join(blocks, "node").withColumn("block", block).withColumn(
+        "other", F.explode(F.sequence(first, F.col("outer_blocks") - 1))
+    )
+    dealt = dealt.select(
+        "id", "node", "part", F.least("block", "other").alias("low"),
+        F.greatest("block", "other").alias("high"),
+        (F.col("block") <= F.col("other")).alias("x"), (F.col("block") >= F.col("other")).alias("y"),
+    )
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        found = _connecting(rows, decode, percent)
+        return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
+
+    return for_python(dealt).join(sets.select("id", "body"), "id").groupBy(
+        "node", "low", "high"
+    ).applyInPandas(run, "a long, b long")
+
+
+def _connecting(
+    rows: pd.DataFrame, decode: Callable[[list], list[np.ndarray]], percent: int
+) -> list[tuple[int, int]]:
+    """Links between a row of x and a row of y that connect the parts of the rows."""
+    sets = decode(rows["body"].tolist())
+    size = np.array([len(s) for s in sets])
+    x, y = np.flatnonzero(rows["x"]), np.flatnonzero(rows["y"])
+    if not len(x) or not len(y):
+        return []
+    _, number, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    # An element of one set only is in no intersection.
+    place, meets = np.cumsum(count > 1) - 1, (count > 1)[number]
+    owner, number = np.repeat(np.arange(len(sets)), size)[meets], place[number[meets]]
+    order = np.argsort(number, kind="stable")
+    owner, number = owner[order], number[order]
+    shared = np.zeros((len(x), len(y)), dtype=np.float32)
+    for start in range(0, int(number[-1]) + 1 if len(number) else 0, COLUMNS):
+        low, high = np.searchsorted(number, (start, start + COLUMNS))
+        has = np.zeros((len(sets), COLUMNS), dtype=np.float32)
+        has[owner[low:high], number[low:high] - start] = 1
+        shared += has[x] @ has[y].T
+    shared = shared.astype(np.int64)
+    part, codes = np.unique(rows["part"], return_inverse=True)
+    similar = 100 * shared >= percent * (size[x][:, None] + size[y] - shared)
+    similar &= codes[x][:, None] != codes[y]
+    ids, above, found = rows["id"].to_numpy(), list(range(len(part))), []
+
+    def top(i: int) -> int:
+        while above[i] != i:
+            above[i] = i = above[above[i]]
+        return i
+
+    for i, j in zip(*(k.tolist() for k in np.nonzero(similar)), strict=True):
+        one, two = top(codes[x[i]]), top(codes[y[j]])
+        if one != two:
+            above[one] = two
+            found.append((int(ids[x[i]]), int(ids[y[j]])))
+    return found
+
+
 class _Search:
     """The pairs compared so far and the components of the links among them."""
 
@@ -202,7 +305,10 @@ class _Search:
         if self.seen is not None and pairs.isEmpty():
             return
         self.seen = pairs if self.seen is None else self.seen.unionByName(pairs)
-        good = store(self.verify(pairs), "link-good")
+        self.join(self.verify(pairs))
+
+    def join(self, links: DataFrame) -> None:
+        good = store(links, "link-good")
         if self.edges is None:
             self.edges = good
         elif not good.isEmpty():

@@ -147,22 +147,28 @@ def classes(
 
     stored: list[DataFrame] = []
 
-    def verify(pairs: DataFrame) -> DataFrame:
+    def whole(ids: DataFrame) -> DataFrame:
         # The whole sets of the documents that have a candidate, made when first asked for.
-        wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+        wanted = ids.distinct()
         for old in stored:
             wanted = wanted.join(old.select("id"), "id", "left_anti")
         wanted = store(wanted, "dedup-wanted")
-        if stored and wanted.isEmpty():
-            return _similar(pairs, _union(stored), percent)
-        wanted = wanted.join(sets.select("id", "place"), "id").select(
-            F.col("id").alias("_id"), F.col("place.doc_id").alias("_doc"),
-            F.col("place.key").alias("_key"),
-        )
-        stored.append(store(_sets_of(documents, wanted, words, id_col, text_col), "dedup-full"))
-        return _similar(pairs, _union(stored), percent)
+        if not stored or not wanted.isEmpty():
+            wanted = wanted.join(sets.select("id", "place"), "id").select(
+                F.col("id").alias("_id"), F.col("place.doc_id").alias("_doc"),
+                F.col("place.key").alias("_key"),
+            )
+            stored.append(store(_sets_of(documents, wanted, words, id_col, text_col), "dedup-full"))
+        return _union(stored)
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        full = whole(pairs.select(F.col("a").alias("id")).union(pairs.select("b")))
+        return _similar(pairs, full, percent)
+
+    def decode(bodies: list) -> list[np.ndarray]:
+        return [np.frombuffer(x, np.uint64) for x in bodies]
 
-    found = link(members, infos, verify, branch, percent, LEVELS)
+    found = link(members, infos, verify, whole, decode, branch, percent, LEVELS)
     least = found.join(sets.select(F.col("id").alias("node"), "least"), "node").groupBy("root").agg(
         F.min("least").alias("component_id")
     )
@@ -185,7 +191,7 @@ def classes(
 def _sets_of(
     documents: DataFrame, wanted: DataFrame, words: int, id_col: str, text_col: str
 ) -> DataFrame:
-    """id, hashes (the set as bytes) of the sets `wanted` (_id, _doc, _key)."""
+    """id, body (the set as bytes) and weight (its size) of the sets `wanted` (_id, _doc, _key)."""
     texts = rows_of(for_python(documents), wanted, id_col, text_col).select("_id", "text")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -194,11 +200,11 @@ def _sets_of(
                 hashes, n = shingle_sets(some, words)
                 cut = np.split(hashes, np.cumsum(n)[:-1])
                 ids = batch["_id"].iloc[at : at + len(some)].tolist()
-                yield pd.DataFrame({"id": ids, "hashes": [x.tobytes() for x in cut]})
+                yield pd.DataFrame({"id": ids, "body": [x.tobytes() for x in cut], "weight": n})
 
     # Repeated rows have equal sets; one is enough.
-    made = texts.mapInPandas(run, "id long, hashes binary")
-    return made.groupBy("id").agg(F.first("hashes").alias("hashes"))
+    made = texts.mapInPandas(run, "id long, body binary, weight long")
+    return made.groupBy("id").agg(F.first("body").alias("body"), F.first("weight").alias("weight"))
 
 
 def _union(tables: list[DataFrame]) -> DataFrame:
@@ -208,8 +214,8 @@ def _union(tables: list[DataFrame]) -> DataFrame:
 def _similar(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole sets are similar enough."""
     both = pairs.join(
-        full.select(F.col("id").alias("a"), F.col("hashes").alias("x")), "a"
-    ).join(full.select(F.col("id").alias("b"), F.col("hashes").alias("y")), "b")
+        full.select(F.col("id").alias("a"), F.col("body").alias("x")), "a"
+    ).join(full.select(F.col("id").alias("b"), F.col("body").alias("y")), "b")
 
     @F.pandas_udf("boolean")
     def enough(x: pd.Series, y: pd.Series) -> pd.Series:
