@@ -8,29 +8,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waymark.plans.stage import measured
+from waymark.plans.stage import measured, stage
 from waymark.settings import DEFAULTS
 
-MAX_HOT_KEYS = 1000
-
 
 def _heaviest(counts: DataFrame, on: list[str], rows_per_task: int) -> DataFrame | None:
     """Of (key, _rows, ...) the keys with too many rows, with the number `_parts`
-    to split each into; None if there are none. At most MAX_HOT_KEYS rows pass the
-    driver and are broadcast. A hot key beyond those is joined unsalted, which
-    costs time but loses nothing."""
+    to split each into; None if there are none. They are staged, so that Spark
+    knows their size and broadcasts them only where it is small."""
     parts = F.ceil(F.col("_rows") / rows_per_task).cast("bigint").alias("_parts")
     others = [c for c in counts.columns if c not in on and c != "_rows"]
-    heavy = (
-        counts.where(F.col("_rows") > rows_per_task)
-        .orderBy(F.desc("_rows"))
-        .limit(MAX_HOT_KEYS)
-        .select(*on, *others, parts)
-    )
-    rows = heavy.collect()
-    if not rows:
-        return None
-    return F.broadcast(counts.sparkSession.createDataFrame(rows, heavy.schema))
+    heavy = counts.where(F.col("_rows") > rows_per_task).select(*on, *others, parts)
+    staged = stage(heavy, "hot-keys")
+    return staged if measured(staged) else None
 
 
 def hot_keys(
