@@ -317,6 +317,35 @@ def test_toxic_words(spark):
     assert np.mean(right) > 0.9 and rows[900].score == rows[901].score < 0.5
 
 
+INSULTS = ["stupid", "idiot", "moron", "bastard"]
+
+
+def reader():
+    counts = toxicity.count_trigrams([" ".join(INSULTS + words(400, 8))] * 3)
+    return toxicity.Reader({int(i): int(counts[i]) for i in np.flatnonzero(counts)})
+
+
+def test_disguised_words():
+    r = reader()
+    for raw, word in [
+        ("stuupid", "stupid"), ("iddiot", "idiot"), ("moronn", "moron"), ("m0r0n", "moron"),
+        ("s" + "t" * 60 + "upid", "stupid"), ("b-a-s-t-a-r-d", "bastard"), ("$$$$$tupid", "stupid"),
+    ]:
+        assert word in r.restored(raw), raw
+    for sign in "-./":
+        joined = sign.join(["1d10t", "m0r0n", "5tup1d", "ba5tard"] * 4)
+        assert set(INSULTS) <= r.restored(joined) and set(INSULTS) <= r.restored(joined[:26])
+    spread = sign.join("stupid" * 9) + "." + "moron"
+    assert {"stupid", "moron"} <= r.restored(spread)
+    assert r.restored("1984") == set() and "hello" in r.restored("hello")
+
+
+@pytest.mark.parametrize("gap", ["  ", "\t", "\n", " \n "])
+def test_spelled_words(gap):
+    said = reader().spelled("the " + gap.join("s" * 30 + "tupid") + " one " + gap.join("m0r0n") + " end")
+    assert ["stupid" in said[0], "moron" in said[1], len(said)] == [True, True, 2]
+
+
 def test_empty_tables(spark, empty):
     labels, bench = empty.selectExpr("doc_id", "id as toxic"), empty.selectExpr("doc_id as item_id", "text")
     assert toxicity.score_held_out(empty, labels).count() == 0

@@ -3,6 +3,7 @@ them under a character language model, and the restored words are scored."""
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from collections.abc import Callable, Container, Iterator, Set
@@ -37,17 +38,21 @@ SWAP, DROP, HOLD, FOLD = -1.5, -1.0, -0.2, -0.7
 ALPHABET = 60
 #: Weight of the next lower order when the model has seen little.
 PRIOR = 4.0
-#: Longer words than this are left as they are; nothing said is that long.
+#: Letters of what is put together from parts of a word, at most; nothing said is that
+#: long. Longer pieces of text are read as well, but not remembered.
 LONGEST = 40
 #: Words that a worker remembers.
 MEMORY = 400_000
 NOTHING: frozenset[str] = frozenset()
 
-#: Three or more single characters with single spaces between.
-SPACED = re.compile(r"(?<!\S)\S(?: \S){2,}(?!\S)")
+#: Three or more single characters with white space between.
+SPACED = re.compile(r"(?<!\S)\S(?:\s+\S){2,}(?!\S)")
 LETTERS = re.compile(r"[^\W\d_]+")
-TRIPLED = re.compile(r"(.)\1\1")
+RUN = re.compile(r"(.)\1*", re.S)
 DOUBLED = re.compile(r"(.)\1")
+#: Signs that stand between words: any, or only those that are never letters.
+SIGNS = re.compile(r"[\W_]+")
+JOINTS = re.compile("(?:(?![" + re.escape("".join(LEET)) + r"])[\W_])+")
 
 
 def symbol(letter: str) -> int:
@@ -128,47 +133,66 @@ class Speller:
             found = self._memo[key] = math.log(p3)
         return found
 
-    def restore(self, word: str) -> str:
-        """The likeliest letters behind a lower-case `word` by Viterbi. Runs of one sign
-        may stand for one or two letters, signs for letters or for nothing."""
-        runs = [(m[0][0], len(m[0])) for m in re.finditer(r"(.)\1*", word, re.S)]
-        states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-        for sign, length in runs:
-            choices: list[tuple[float, str]] = []
-            if sign.isalpha():
-                choices.append((HOLD if length == 1 else FOLD, sign))
-                if length > 1:
-                    choices.append((HOLD if length == 2 else FOLD, sign * 2))
-            else:
-                for x in LEET.get(sign, ""):
-                    choices.append((SWAP, x))
-                    if length > 1:
-                        choices.append((SWAP + FOLD, x * 2))
-                if not sign.isdigit():
-                    choices.append((DROP, ""))
-            if not choices:
-                choices.append((DROP, ""))
-            following: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (score, text) in states.items():
-                for cost, letters in choices:
+    def letters(self, word: str) -> list[str]:
+        """The likeliest letters behind each run of a lower-case `word` by Viterbi. Runs of
+        one sign may stand for one or two letters, signs for letters or for nothing. The
+        cost is that of the runs, however long they are."""
+        # A state has its score and, as a chain, the letters of the runs so far.
+        states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
+        for m in RUN.finditer(word):
+            sign, length = m[1], m.end() - m.start()
+            choices = _choices(sign, min(length, 3))
+            if len(states) == 1 and len(choices) == 1:  # no rival, no score
+                _, letters, codes = choices[0]
+                (place, (score, chain)), = states.items()
+                states = {(place + codes)[-2:]: (score, (chain, letters))}
+                continue
+            following: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+            for (a, b), (score, chain) in states.items():
+                for cost, letters, codes in choices:
                     x, y, s = a, b, score + cost
-                    for c in letters:
-                        k = symbol(c)
+                    for k in codes:
                         s += self.step(x, y, k)
                         x, y = y, k
                     best = following.get((x, y))
                     if best is None or s > best[0]:
-                        following[x, y] = (s, text + letters)
+                        following[x, y] = (s, (chain, letters))
             states = following
-        ends = [(s + self.step(a, b, 0), text) for (a, b), (s, text) in states.items()]
-        return max(ends)[1]
+        ends = [(s + self.step(a, b, 0), chain) for (a, b), (s, chain) in states.items()]
+        chain, out = max(ends, key=lambda e: e[0])[1], []
+        while chain is not None:
+            chain, letters = chain
+            out.append(letters)
+        return out[::-1]
+
+    def restore(self, word: str) -> str:
+        return "".join(self.letters(word))
+
+
+@functools.cache
+def _choices(sign: str, length: int) -> list[tuple[float, str, tuple[int, ...]]]:
+    """What a run of `sign` may stand for, 3 meaning 3 or more, with log probabilities."""
+    out: list[tuple[float, str]] = []
+    if sign.isalpha():
+        out.append((HOLD if length == 1 else FOLD, sign))
+        if length > 1:
+            out.append((HOLD if length == 2 else FOLD, sign * 2))
+    else:
+        for x in LEET.get(sign, ""):
+            out.append((SWAP, x))
+            if length > 1:
+                out.append((SWAP + FOLD, x * 2))
+        if not sign.isdigit():
+            out.append((DROP, ""))
+    return [(p, x, tuple(map(symbol, x))) for p, x in out or [(DROP, "")]]
 
 
 def _noisy(core: str) -> bool:
-    """Whether a word may be disguised: signs between letters, or stretched letters."""
+    """Whether a word may be disguised: signs or repeated letters. Digits alone are a
+    number."""
     if core.isalpha():
-        return bool(TRIPLED.search(core)) or len(DOUBLED.findall(core)) >= 3
-    return any(c.isalpha() for c in core)
+        return bool(DOUBLED.search(core))
+    return any(c.isalpha() or c in LEET and not c.isdigit() for c in core)
 
 
 class Reader:
@@ -181,20 +205,43 @@ class Reader:
     def restored(self, raw: str) -> set[str]:
         """The words that a piece of text without space may stand for."""
         word = raw.lower()
+        if word.isalpha() and not _noisy(word):
+            return {word} if len(word) > 2 else set()
         core = word.strip(".,;:!?\"'()[]{}<>*#%&|=~-_+$@/\\")
-        if core.isalpha() and not _noisy(core):
-            found = {core}
-        else:
-            found = set(LETTERS.findall(core))
-        if len(word) <= LONGEST:
-            outer = word.strip(".,;:?\"'[]{}<>*=~-_/\\")
-            inner = outer.rstrip("!")
-            # Signs at the ends may be letters or not.
-            for x in {core, inner, outer} if len(outer) - len(core) <= 3 else {core}:
-                if _noisy(x):
-                    found.add(self.speller.restore(x))
+        found = {core} if core.isalpha() else set(LETTERS.findall(core))
+        outer = word.strip(".,;:?\"'[]{}<>*=~-_/\\")
+        inner = outer.rstrip("!")
+        # Signs at the ends may be letters or not.
+        for x in {core, inner, outer}:
+            if _noisy(x):
+                found |= self.readings(x)
         return {w for w in found if len(w) > 2}
 
+    def readings(self, word: str) -> set[str]:
+        """The likeliest letters behind `word` as a whole, behind its parts between signs,
+        and what stands between any two signs that are none."""
+        letters = self.speller.letters(word)
+        out = {"".join(letters)}
+        if word.isalpha():
+            return out
+        for part in {*SIGNS.split(word), *JOINTS.split(word)} - {word}:
+            if _noisy(part):
+                out.add(self.speller.restore(part))
+        parts = [""]
+        for x in letters:
+            if x:
+                parts[-1] += x
+            elif parts[-1]:
+                parts.append("")
+        for i in range(len(parts) if len(parts) > 1 else 0):
+            joined = ""
+            for k in range(i, len(parts)):
+                joined += parts[k]
+                if len(joined) > LONGEST:
+                    break
+                out.add(joined)
+        return out
+
     def features(self, text: str, known: Container[str] | None = None) -> set[str]:
         """Stems of the restored words of `text`; only those in `known`, if given. A
         reader is asked with one `known` only."""
@@ -208,19 +255,20 @@ class Reader:
                 found = stems(self.restored(raw))
                 if known is not None:
                     found = {s for s in found if s in known}
-                memory[raw] = found = found or NOTHING
+                found = found or NOTHING
+                if len(raw) <= LONGEST:
+                    memory[raw] = found
             if found:
                 out |= found
         return out
 
     def spelled(self, text: str) -> list[str]:
-        """What is spelled out in single characters, restored in overlapping parts."""
+        """What is spelled out in single characters, restored."""
         out = []
         for m in SPACED.finditer(text):
-            letters = m[0][::2].lower()
-            if len(set(letters)) > 2:  # one sign again and again says nothing
-                for at in range(0, max(1, len(letters) - LONGEST // 2), LONGEST // 2):
-                    out.append(self.speller.restore(letters[at : at + LONGEST]))
+            letters = "".join(m[0].split()).lower()
+            if len(set(letters)) > 1:  # one sign again and again says nothing
+                out.append(self.speller.restore(letters))
         return out
 
 
