@@ -346,6 +346,29 @@ def test_spelled_words(gap):
     assert ["stupid" in said[0], "moron" in said[1], len(said)] == [True, True, 2]
 
 
+def test_recall_by_disguise(spark):
+    plain, spell = words(400, 8), lambda w: " ".join(w)
+    text = lambda i, said="": " ".join([*random.Random(i).sample(plain, 25), said, *random.Random(-i).sample(plain, 9)])
+    # Most toxic documents have a word written, one in eight has it spelled out.
+    said = lambda i: spell(INSULTS[i // 8 % 4]) if i % 8 == 0 else INSULTS[i % 4]
+    rows = [(i, text(i, said(i)), 1) for i in range(64)] + [(i, text(i), 0) for i in range(64, 512)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.train(table, table.select("doc_id", "toxic"))
+    kinds = {
+        "written": str, "spelled": spell, "tabs": "\t".join, "gaps": "  ".join,
+        "doubled": lambda w: w[:2] + w[1:], "stretched": lambda w: w[0] * 50 + w[1:],
+        "leet": lambda w: w.replace("o", "0").replace("i", "1").replace("a", "4"), "signs": "-".join,
+    }
+    names = [(k, w) for k in kinds for w in INSULTS]
+    tests = [(j, text(1000 + j % 4, kinds[k](w))) for j, (k, w) in enumerate(names)]
+    tests += [(100 + j, text(2000 + j)) for j in range(40)]
+    found = {r.doc_id: r for r in toxicity.score(spark.createDataFrame(tests, "doc_id long, text string"), model).collect()}
+    missed = [n for j, n in enumerate(names) if not found[j].predicted]
+    assert not missed and not any(found[100 + j].predicted for j in range(40))
+    as_written = {w: found[j].score for j, (k, w) in enumerate(names) if k == "written"}
+    assert all(found[j].score == as_written[w] for j, (k, w) in enumerate(names) if k == "spelled")
+
+
 def test_empty_tables(spark, empty):
     labels, bench = empty.selectExpr("doc_id", "id as toxic"), empty.selectExpr("doc_id as item_id", "text")
     assert toxicity.score_held_out(empty, labels).count() == 0

@@ -6,7 +6,7 @@ from __future__ import annotations
 import functools
 import math
 import re
-from collections.abc import Callable, Container, Iterator, Set
+from collections.abc import Callable, Container, Iterable, Iterator, Set
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -283,11 +283,20 @@ def stems(words: set[str]) -> set[str]:
     return out
 
 
+def heard(said: Iterable[str], words: Iterable[str]) -> set[str]:
+    """Features of those of `words` that are in spelled-out passages; words of three
+    letters or fewer are a passage by themselves."""
+    said = list(said)
+    return stems({w for w in words for x in said if (w in x if len(w) > 3 else w == x)})
+
+
 @dataclass(frozen=True)
 class Model:
     grams: dict[int, int]
     weights: dict[str, float]
     bias: float
+    #: Words that are looked for in spelled-out passages.
+    words: tuple[str, ...] = ()
 
 
 def _logistic(
@@ -342,24 +351,49 @@ def train(
         reader = Reader(shared.value)
         for batch in batches:
             found = [sorted(reader.features(t)) for t in batch["text"]]
-            yield pd.DataFrame(
-                {"toxic": batch["toxic"].astype("int64"), "rate": batch["_rate"], "stems": found}
-            )
+            yield pd.DataFrame({
+                "toxic": batch["toxic"].astype("int64"), "rate": batch["_rate"], "stems": found,
+                "said": [reader.spelled(t) for t in batch["text"]],
+            })
 
     read_rows = store(
-        rows.mapInPandas(read, "toxic long, rate double, stems array<string>"), "toxic-stems"
+        rows.mapInPandas(
+            read, "toxic long, rate double, stems array<string>, said array<string>"
+        ),
+        "toxic-stems",
     )
     sizes = {r["toxic"]: r["count"] for r in read_rows.groupBy("toxic").count().collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     if not n1 or not n0:
         return Model(grams, {}, 5.0 if n1 else -5.0)
-    each = read_rows.select("toxic", F.explode("stems").alias("stem")).groupBy("stem").agg(
-        F.sum("toxic").alias("a"), F.count(F.lit(1)).alias("n")
-    ).where((F.col("a") >= 4) & (F.col("a") >= n1 * LEAST))
     # How far the share among toxic documents exceeds that among the others.
     a, b = F.col("a"), F.col("n") - F.col("a")
     gain = a * F.log((a + 0.5) / (b + 0.5) * F.lit(n0 / n1))
-    best = each.where(a * n0 > b * n1 * 3).orderBy(gain.desc(), "stem").limit(features)
+
+    def telling() -> DataFrame:
+        each = read_rows.select("toxic", F.explode("stems").alias("stem")).groupBy("stem").agg(
+            F.sum("toxic").alias("a"), F.count(F.lit(1)).alias("n")
+        ).where((F.col("a") >= 4) & (F.col("a") >= n1 * LEAST))
+        return each.where(a * n0 > b * n1 * 3)
+
+    # Words that tell where they are written are known where they are spelled out.
+    ends = telling().where(F.col("stem").endswith("$")).orderBy("stem").select("stem").collect()
+    words = tuple(r["stem"][:-1] for r in ends)
+
+    @F.pandas_udf("array<string>")
+    def told(said: pd.Series) -> pd.Series:
+        return pd.Series([sorted(heard(x, words)) for x in said], dtype=object)
+
+    read_rows = store(
+        read_rows.select(
+            "toxic", "rate",
+            F.when(F.size("said") > 0, F.array_union("stems", told("said"))).otherwise(
+                F.col("stems")
+            ).alias("stems"),
+        ),
+        "toxic-heard",
+    )
+    best = telling().orderBy(gain.desc(), "stem").limit(features)
     names = [r["stem"] for r in best.select("stem").collect()]
     wanted = F.array(*[F.lit(x) for x in names]) if names else F.array().cast("array<string>")
     data = read_rows.select(
@@ -373,25 +407,24 @@ def train(
     y = np.array([r["toxic"] for r in data], dtype=float)
     w = np.array([r["count"] / r["rate"] for r in data])
     weights, bias = _logistic(x, y, w)
-    return Model(grams, dict(zip(names, map(float, weights), strict=True)), bias)
+    known = dict(zip(names, map(float, weights), strict=True))
+    return Model(grams, known, bias, tuple(x for x in words if not stems({x}).isdisjoint(known)))
 
 
 def scorer(spark: SparkSession, model: Model) -> Callable[[Column], Column]:
     """The score from 0 to 1 of a column of texts, none of them null."""
-    plain = (model.grams, model.weights, model.bias)
+    plain = (model.grams, model.weights, model.bias, model.words)
     shared = spark.sparkContext.broadcast(plain)
 
     @F.pandas_udf("double")
     def rate(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        grams, weights, bias = shared.value
+        grams, weights, bias, words = shared.value
         reader = Reader(grams)
-        whole = [k[:-1] for k, w in weights.items() if k[-1] == "$" and len(k) > 4 and w > 0]
         for texts in batches:
             out = []
             for text in texts:
                 met = reader.features(text, weights)
-                for said in reader.spelled(text):
-                    met |= {w + "$" for w in whole if w in said}
+                met |= heard(reader.spelled(text), words) & weights.keys()
                 z = bias + sum(weights[s] for s in sorted(met))
                 out.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
             yield pd.Series(out, dtype="float64")
