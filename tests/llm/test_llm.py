@@ -150,6 +150,14 @@ def test_lines(docs):
     assert {(r.doc_id, r.line_no): (r.keep_doc_id, r.keep_line_no, r.kept) for r in found} == want
 
 
+def test_lines_with_one_changed_character(spark):
+    lines = [" ".join(words(30, 50 + k))[:60] for k in range(20)]
+    changed = [x[:30] + "#" + x[31:] for x in lines]
+    table = spark.createDataFrame(list(enumerate(lines + changed)), "doc_id long, text string")
+    found = {r.doc_id: r.keep_doc_id for r in line_dedup.classes(table).collect()}
+    assert found == {i: i % 20 for i in range(40)}
+
+
 def test_lines_dropped(docs):
     left = {r.doc_id: r.text for r in line_dedup.drop_repeated(docs).collect()}
     assert left[0] == texts()[0] and 3 not in left and left[4] is None and left[5] == ""

@@ -17,7 +17,7 @@ from .common import blocks, for_python, placed, rows_of, store
 from .linking import LANE_BITS, LANES, link, sketches
 
 #: Characters of a shingle, of the line in lower case with single spaces.
-CHARS = 10
+CHARS = 5
 #: Similar lines share one of the bands at least with a probability over 0.999 at 0.8.
 BANDS, ROWS = 10, 3
 PERCENT = 80
@@ -47,16 +47,15 @@ def signatures(lines: list[str]) -> np.ndarray:
     one = np.frombuffer(joined, dtype=np.uint32).astype(np.uint64) + np.uint64(1)
     two = _shift(one, one, 1)
     four = _shift(two, two, 2)
-    eight = _shift(four, four, 4)
-    ten = _shift(eight, two, 8)  # CHARS
-    ten = (ten ^ (ten >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    ten ^= ten >> np.uint64(29)
+    five = _shift(four, one, 4)  # CHARS
+    five = (five ^ (five >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    five ^= five >> np.uint64(29)
     length = np.array([len(x) for x in padded])
     end = np.cumsum(length)
     # Windows that reach into the next line count as that line's last real window does.
     last = end - CHARS
-    inside = np.arange(len(ten)) <= np.repeat(last, length)[: len(ten)]
-    kept = ten[inside]
+    inside = np.arange(len(five)) <= np.repeat(last, length)[: len(five)]
+    kept = five[inside]
     # One permutation: a shingle belongs to the place that its hash names, and the lowest
     # hash of a place is its value. An empty place takes that of the next one that is
     # not, changed by the distance.
