@@ -158,6 +158,20 @@ def test_lines_with_one_changed_character(spark):
     assert found == {i: i % 20 for i in range(40)}
 
 
+def test_short_similar_lines_pass_the_sketch():
+    rng = random.Random(11)
+    for shared, most in ((4, 12), (8, 4), (12, 2), (16, 2)):  # of 5, 10, 15 and 20 shingles
+        n = shared // 4 * 5 + line_dedup.CHARS - 1
+        long = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n)) for _ in range(10000)]
+        x = line_dedup.signatures(long)
+        y = line_dedup.signatures([t[: n - shared // 4] for t in long])
+        lanes = (x ^ y) & np.uint64((1 << linking.LANE_BITS) - 1) != 0
+        assert (lanes.sum(axis=1) > linking.allowed(80)).sum() <= most
+        alike = (x == y)[:, : line_dedup.ROWS * line_dedup.BANDS]
+        bands = alike.reshape(len(long), line_dedup.BANDS, line_dedup.ROWS).all(axis=2)
+        assert (~bands.any(axis=1)).mean() < 0.003 and 0.79 < (x == y).mean() < 0.81
+
+
 def test_lines_dropped(docs):
     left = {r.doc_id: r.text for r in line_dedup.drop_repeated(docs).collect()}
     assert left[0] == texts()[0] and 3 not in left and left[4] is None and left[5] == ""

@@ -22,10 +22,11 @@ CHARS = 5
 BANDS, ROWS = 10, 3
 PERCENT = 80
 LEVELS = 4
-#: Bits of a hash that are compared within a place; the places of a block fit above.
-VALUE_BITS = 40
+#: Hashes that are put in order at a time, about.
+CACHED = 1 << 14
 SPACE = re.compile(r"\s+")
 _A = 0x9E3779B97F4A7C15
+_ODD = np.random.default_rng(77).integers(1, 2**63, 2 * LANES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def normal(line: str) -> str:
@@ -56,29 +57,19 @@ def signatures(lines: list[str]) -> np.ndarray:
     last = end - CHARS
     inside = np.arange(len(five)) <= np.repeat(last, length)[: len(five)]
     kept = five[inside]
-    # One permutation: a shingle belongs to the place that its hash names, and the lowest
-    # hash of a place is its value. An empty place takes that of the next one that is
-    # not, changed by the distance.
-    places = 2 * LANES
-    line = np.repeat(np.arange(len(lines), dtype=np.uint64), length - CHARS + 1)
-    spot = line * np.uint64(places) + (kept >> np.uint64(64 - 5))
-    low = kept & np.uint64((1 << VALUE_BITS) - 1)
-    if len(lines) * places < 1 << (64 - VALUE_BITS):
-        packed = np.sort((spot << np.uint64(VALUE_BITS)) | low)
-        spot, low = packed >> np.uint64(VALUE_BITS), packed & np.uint64((1 << VALUE_BITS) - 1)
-    else:
-        order = np.lexsort((low, spot))
-        spot, low = spot[order], low[order]
-    new = np.append(True, spot[1:] != spot[:-1])
-    out = np.zeros(len(lines) * places, dtype=np.uint64)
-    full = np.zeros(len(lines) * places, dtype=bool)
-    out[spot[new].astype(np.int64)] = low[new]
-    full[spot[new].astype(np.int64)] = True
-    out, full = out.reshape(-1, places), full.reshape(-1, places)
-    for step in (1, 2, 4, 8, 16):
-        take = ~full & np.roll(full, -step, axis=1)
-        out = np.where(take, np.roll(out, -step, axis=1) * np.uint64(_A) + np.uint64(step), out)
-        full = full | take
+    # Every value is the least of an order of its own: a short line's values are as
+    # independent as a long one's, which the sketch filter and the bands build on.
+    count = length - CHARS + 1
+    first = np.cumsum(count) - count
+    out = np.empty((len(lines), 2 * LANES), dtype=np.uint64)
+    # Some lines at a time, whose hashes stay in the processor's cache.
+    part = np.searchsorted(first, np.arange(0, len(kept), CACHED))
+    for low, high in zip(part, np.append(part[1:], len(lines)), strict=True):
+        if low < high:
+            stop = first[high] if high < len(lines) else len(kept)
+            some, at = kept[first[low] : stop], first[low:high] - first[low]
+            for i, odd in enumerate(_ODD):
+                out[low:high, i] = np.minimum.reduceat(some * odd, at)
     # The low bits make the sketch.
     out = (out ^ (out >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     return out ^ (out >> np.uint64(32))
