@@ -3,9 +3,9 @@ one document of each group of near-duplicates stays, documents that hold benchma
 passages go, and the sources are mixed to their target weights.
 
 Every stage takes (spark, docs, sf_dir) and works on all rows that the one before it kept.
-All but the last return the columns of `documents`; the last adds size, source_size,
-target and taken (words the mix takes of a document, repeats counted) and returns the
-documents that it takes something of.
+All but the last return the columns of `documents`; the last returns a row for every
+repetition that the mix takes of a document, the last of them cut to the words taken, and
+adds copy, size, source_size, target and taken (words of the row).
 """
 
 from __future__ import annotations

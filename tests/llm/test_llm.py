@@ -205,6 +205,25 @@ def test_mixing(docs):
     assert Counter(map(str, rows)) == Counter(map(str, again))
 
 
+def test_mixed_texts(docs):
+    mixed = mixing.mix(docs)
+    targets = {r.source: int(r.target) for r in mixed.collect()}
+    rows = mixing.apply_mix(docs, mixed).collect()
+    words_of, copies, whole = Counter(), defaultdict(list), set(texts()) | {"null id here"}
+    for r in rows:
+        said = re.split(mixing.GAP, r.text.strip(" \t\n"))
+        assert len(said) == r.taken <= r.size and r.copy >= 1
+        words_of[r.source] += len(said)
+        if r.taken == r.size:
+            assert r.text in whole
+        else:
+            assert r.n_chars == len(r.text) and any(t and t.startswith(r.text) for t in whole)
+        copies[r.doc_id].append(r.copy)
+    assert words_of == {k: n for k, n in targets.items() if n}
+    assert any(r.copy > 1 for r in rows) and any(r.taken < r.size for r in rows)
+    assert all(set(c) == set(range(1, max(c) + 1)) for c in copies.values())
+
+
 def test_decontamination(spark, docs):
     base, long = texts()[0].split(), texts()[10].split()
     items = [(1, " ".join(base[5:30])), (2, " ".join(long[-12:]).upper()), (3, "one two"), (4, None), (5, "!!")]

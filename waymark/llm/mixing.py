@@ -14,6 +14,8 @@ SEED = 20240229
 #: Hexadecimal digits of the seeded hash that make a slice of a source.
 SLICE_DIGITS = 3
 GAP = r"[\x20\x09-\x0D]+"
+#: Behind every word that a gap follows.
+WORD_END = r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])"
 
 
 def word_count(text: Column) -> Column:
@@ -119,8 +121,11 @@ def mix(
 
 
 def apply_mix(documents: DataFrame, mixed: DataFrame) -> DataFrame:
-    """The rows of `documents` (doc_id, text and any other columns) that `mixed`, made of
-    them, takes any words of, with size, source_size, target and taken."""
+    """What `mixed`, made of `documents` (doc_id, text and any other columns), takes of
+    them: a row for every whole repetition of a document, and one with its first words
+    for what is left. With copy (from 1), size (words of the document), source_size,
+    target and taken (words of the row, which add up to the targets of the sources,
+    rounded down). n_chars becomes the new length, where there is that column."""
     same = Window.partitionBy("_id", "_key")
     docs = documents.withColumn("_id", F.col("doc_id")).withColumn("_key", text_key(F.col("text")))
     docs = docs.withColumn("_no", F.row_number().over(same.orderBy(F.lit(0))))
@@ -130,12 +135,24 @@ def apply_mix(documents: DataFrame, mixed: DataFrame) -> DataFrame:
     )
     taken = taken.withColumn("_no", F.row_number().over(same.orderBy(F.desc("taken"))))
     d, t = docs.alias("d"), taken.where(F.col("taken") > 0).alias("t")
-    return d.join(
+    added = ("copy", "size", "source_size", "target", "taken")
+    names = {c: c if c not in documents.columns else f"mix_{c}" for c in added}
+    joined = d.join(
         t,
         F.col("d._id").eqNullSafe(F.col("t._id")) & F.col("d._key").eqNullSafe(F.col("t._key"))
         & (F.col("d._no") == F.col("t._no")),
     ).select(
         *[F.col(f"d.`{c}`") for c in documents.columns],
-        *[F.col(f"t.{c}").alias(c if c not in documents.columns else f"mix_{c}")
-          for c in ("size", "source_size", "target", "taken")],
+        *[F.col(f"t.{c}").alias(names[c]) for c in added[1:]],
+        F.explode(F.sequence(F.lit(1), F.ceil(F.col("t.taken") / F.col("t.size")).cast("int"))).alias(names["copy"]),
     )
+    size, copy = F.col(names["size"]), F.col(names["copy"])
+    words = F.least(size, F.col(names["taken"]) - (copy - 1) * size)
+    cut = F.array_join(F.slice(F.split("text", WORD_END), 1, words.cast("int")), "")
+    changed = joined.withColumn("_words", words).withColumn(
+        "text", F.when(F.col("_words") < size, cut).otherwise(F.col("text"))
+    ).withColumn(names["taken"], F.col("_words"))
+    if "n_chars" in documents.columns:
+        length = F.length("text").cast(documents.schema["n_chars"].dataType)
+        changed = changed.withColumn("n_chars", F.when(F.col("_words") < size, length).otherwise(F.col("n_chars")))
+    return changed.select(*documents.columns, *[names[c] for c in added])
