@@ -14,7 +14,10 @@ from . import (
     minhash_dedup,
     mixing,
     pii,
+    prefix_trie,
+    secrets,
     substring_dedup,
+    token_alignment,
     topk,
     toxicity,
     url_filter,
@@ -75,6 +78,19 @@ def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify_held_out(_table(spark, sf_dir, "documents"))
 
 
+def _op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(_table(spark, sf_dir, "documents"))
+
+
+def _op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.report(_table(spark, sf_dir, "documents"))
+
+
+def _op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefix_trie.sequences(_table(spark, sf_dir, "conversations"))
+    return prefix_trie.trie(prefix_trie.rebuilt(turns))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_minhash_dedup": _op1,
@@ -87,6 +103,9 @@ def queries() -> dict[str, Query]:
         "op8_url_filter": _op8,
         "op9_pii": _op9,
         "op10_langid": _op10,
+        "op11_secrets": _op11,
+        "op12_token_alignment": _op12,
+        "op13_prefix_trie": _op13,
     }
 
 
