@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waymark.functions.text import index_terms, trigram_text
-from waymark.plans.stage import stage
+from waymark.plans.order import numbered
+from waymark.plans.stage import measured, stage
 from waymark.settings import DEFAULTS, SearchSettings
 
 
@@ -18,42 +19,14 @@ def count_words(texts: DataFrame) -> DataFrame:
     return words.groupBy("word").agg(F.count(F.lit(1)).alias("frequency"))
 
 
-def _first_classes(counted: DataFrame, key: str, size: int, descending: bool) -> DataFrame:
-    """Of rows grouped by `key`, the number of groups' rows before each group; the
-    groups that start before row `size`. One row per distinct key."""
-    order = F.desc(key) if descending else F.asc(key)
-    classes = counted.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    before = F.sum("n").over(Window.orderBy(order)) - F.col("n")
-    return classes.withColumn("before", before).where(F.col("before") < size)
-
-
 def most_frequent(counted: DataFrame, size: int) -> DataFrame:
-    """The first `size` words by falling frequency, then by word.
-
-    Sending the best `size` of every partition to one task would not scale, so
-    the cut is found first, from two small histograms: the frequency at which the
-    list fills up, and among the words of that frequency the leading characters.
-    Only what lies on that last step is sorted."""
-    classes = _first_classes(counted, "frequency", size, descending=True)
-    cut = classes.agg(F.min("frequency").alias("f"), F.max("before").alias("b")).first()
-    if cut["f"] is None:
+    """The first `size` words by falling frequency, then by word. Words are dealt out by
+    ranges of that order; only the range in which the list ends is cut."""
+    total = measured(counted)
+    if total is not None and total <= size:
         return counted
-    above = counted.where(F.col("frequency") > cut["f"])
-    wanted = size - cut["b"]
-    lead = F.substring("word", 1, 4).alias("lead")
-    ties = counted.where(F.col("frequency") == cut["f"]).select("*", lead)
-    last = (
-        _first_classes(ties, "lead", wanted, descending=False)
-        .agg(F.max("lead").alias("lead"), F.max("before").alias("b"))
-        .first()
-    )
-    surely = ties.where(F.col("lead") < last["lead"])
-    step = (
-        ties.where(F.col("lead") == last["lead"])
-        .orderBy("word")
-        .limit(wanted - last["b"])
-    )
-    return above.unionByName(surely.unionByName(step).drop("lead"))
+    places = numbered(counted, [F.desc("frequency"), F.asc("word")], "word-places")
+    return places.where(F.col("n") < size).drop("n")
 
 
 def with_trigrams(words: DataFrame) -> DataFrame:

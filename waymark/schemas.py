@@ -78,7 +78,7 @@ AOTRIG = TableSpec(
     columns={
         "word": T.StringType(),
         "trigramm": T.StringType(),
-        "frequency": T.IntegerType(),
+        "frequency": T.LongType(),
     },
     key="word",
     row_tag=None,

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import SparkSession
 
+from waymark.plans.files import Files
 from waymark.schemas import IMPORTABLE
 
 # The names of the files, by kind of source, and the words that tell
@@ -38,31 +39,22 @@ class RegistrySource:
         return f"{start}_{'[0-9]' * 8}_*.XML"
 
 
-def list_parts(spark: SparkSession, folder: str) -> DataFrame:
-    """(kind, table, operation, n_files) of the files with known names. Only names
-    are read."""
-    files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    )
-    found = None
-    for kind, pattern in FILE_NAMES.items():
-        path = F.col("path")
-        rows = files.where(path.rlike(pattern)).select(
-            F.lit(kind).alias("kind"),
-            F.regexp_extract(path, pattern, 2).alias("table"),
-            F.regexp_extract(path, pattern, 1).alias("word"),
-        )
-        found = rows if found is None else found.unionByName(rows)
-    return found.groupBy("kind", "table", "word").agg(F.count(F.lit(1)).alias("n_files"))
+def list_parts(spark: SparkSession, folder: str) -> list[tuple[str, str, str]]:
+    """(kind, table, operation) of the files and part folders with known names. Only names
+    are read, so a part without rows is found as well."""
+    parts = set()
+    for path in Files(spark, folder).found(f"{folder}/*"):
+        for kind, pattern in FILE_NAMES.items():
+            if found := re.fullmatch(pattern, path.rsplit("/", 1)[1]):
+                parts.add((kind, found[2], OPERATIONS[found[1]]))
+    return sorted(parts)
 
 
 def detect_source(spark: SparkSession, folder: str) -> RegistrySource:
     """The one kind of source in the folder. All tables must be there."""
-    # At most one row per kind, table and operation comes to the driver.
-    found = list_parts(spark, folder).collect()
     kinds = {}
-    for row in found:
-        kinds.setdefault(row["kind"], set()).add((row["table"], OPERATIONS[row["word"]]))
+    for found, table, operation in list_parts(spark, folder):
+        kinds.setdefault(found, set()).add((table, operation))
     whole = {
         kind: parts
         for kind, parts in kinds.items()
