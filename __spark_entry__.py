@@ -7,6 +7,7 @@
 
 from __future__ import annotations
 
+import importlib.util
 import uuid
 from collections.abc import Callable
 
@@ -15,10 +16,11 @@ from pyspark.sql import functions as F
 
 import oracles
 from fixture_tables import Fixture
-from waymark.functions.text import tokenize
 from waymark.operators.chains import collect_chains, expand, full_text
-from waymark.operators.dictionary import build_dictionary, with_trigrams
-from waymark.operators.find import analyse, find
+from waymark.functions.markup import strip_markup
+from waymark.functions.text import tokenize
+from waymark.operators.dictionary import build_dictionary, count_words, most_frequent, with_trigrams
+from waymark.operators.find import analyse, find, request_status
 from waymark.operators.ids import normalize, to_guid
 from waymark.operators.matching import (
     build_index,
@@ -32,14 +34,22 @@ from waymark.operators.ranks import rank_words, split_requests, with_match_types
 from waymark.operators.suggest import suggest
 from waymark.plans.stage import stage, stage_root
 from waymark.schemas import ADDROBJ, SOCRBASE
+from waymark.settings import SearchSettings
 from waymark.sources.checks import unique_violations, width_report
-from waymark.sources.registry import apply_deletes, export_tsv, load_registry
+from waymark.sources.quarantine import sort_rows
+from waymark.sources.registry import (
+    apply_deletes,
+    export_tsv,
+    load_registry,
+    replace_dictionary,
+)
+from waymark.sources.versions import append_table, open_table, save_table, versions
 
-try:  # the subpackage and the pipeline on it can be left out
+llm_queries = corpus_pipeline = None
+if importlib.util.find_spec("waymark.llm") and importlib.util.find_spec("corpus_pipeline"):
+    # The subpackage and the pipeline on it can be left out.
     import corpus_pipeline
     from waymark.llm import queries as llm_queries
-except ImportError:
-    llm_queries = corpus_pipeline = None
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -109,6 +119,15 @@ def _tsv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _xml_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _by_xml(spark, sf_dir, None)
+
+
+def _xml_single_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As the original is published: all versions in one file, read in splits."""
+    return _by_xml(spark, sf_dir, 1)
+
+
+def _by_xml(spark: SparkSession, sf_dir: str, files: int | None) -> DataFrame:
     f = Fixture(spark, sf_dir)
     folder = _new_folder(spark, "xml")
     for df, spec in ((f.addrobj, ADDROBJ), (f.socrbase, SOCRBASE)):
@@ -118,12 +137,75 @@ def _xml_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
             if kind.typeName() == "boolean":
                 value = value.cast("int")
             columns.append(value.cast("string").alias("_" + name.upper()))
-        writer = df.select(columns).write.format("xml").option("attributePrefix", "_")
+        rows = df.select(columns)
+        writer = (rows.coalesce(files) if files else rows).write.format("xml").option("attributePrefix", "_")
         writer = writer.option("rowTag", spec.row_tag).option("rootTag", "Rows")
         writer.save(f"{folder}/AS_{spec.name}_20210901_a1.XML")
     return load_registry(spark, folder)["addrobj"].drop("id")
 
 
+def _numbered_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part that each row of an export is in, and its line there."""
+    f = Fixture(spark, sf_dir)
+    folder = _new_folder(spark, "parts")
+    export_tsv(f.addrobj, folder, ADDROBJ, settings=SearchSettings(rows_per_file=1000))
+    part = F.regexp_extract("_metadata.file_name", r"part([0-9]+)\.csv", 1).cast("bigint")
+    lines = spark.read.text(f"{folder}/fd_CREATE_ADDROBJ.part*.csv").select(
+        F.split("value", "\t")[0].alias("aoid"), part.alias("part")
+    )
+    return lines
+
+
+def _refused_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    refused = sort_rows(Fixture(spark, sf_dir).raw_addrobj, ADDROBJ).refused
+    return refused.select("AOID", F.array_join("reasons", "; ").alias("reasons"))
+
+
+def _table_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table is begun, appended to, and replaced by a part of itself; then all three
+    versions are read."""
+    f = Fixture(spark, sf_dir)
+    path = _new_folder(spark, "versions")
+    rows = f.addrobj.select("id", "aoid", "aolevel")
+    save_table(rows.where("aolevel < 6"), path)
+    append_table(rows.where("aolevel >= 6"), path)
+    save_table(open_table(spark, path).where("aolevel <> 6"), path)
+    out = None
+    for version in versions(spark, path):
+        one = open_table(spark, path, version).select(F.lit(version).alias("version"), "id", "aoid")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _dictionary_half(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The more frequent half of the vocabulary."""
+    counted = stage(count_words(Fixture(spark, sf_dir).texts), "half-counts")
+    return most_frequent(counted, counted.count() // 2)
+
+
+def _dictionary_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = Fixture(spark, sf_dir)
+    lines = _new_folder(spark, "dictionary")
+    short = f.dictionary.where(F.length("word") <= 43)  # what fits the stored width
+    short.select(F.concat_ws(" ", "word", "frequency").alias("value")).write.text(lines)
+    return replace_dictionary(spark, lines, _new_folder(spark, "words"))
+
+
+def _page_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = Fixture(spark, sf_dir).table("pages")
+    return count_words(pages.select(strip_markup(F.col("html")).alias("text")))
+
+
+def _request_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which lines of the documents would be taken as requests."""
+    docs = Fixture(spark, sf_dir).table("documents")
+    lines = docs.select(
+        F.col("doc_id"), F.posexplode(F.split("text", "\n")).alias("line", "text")
+    )
+    lines = lines.select(F.concat_ws(":", "doc_id", "line").alias("request_id"), "text")
+    return request_status(lines)
+
+
 def _dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return build_dictionary(Fixture(spark, sf_dir).texts)
 
@@ -263,6 +345,14 @@ def _own_queries() -> dict[str, Query]:
         "width_report": _width_report,
         "tsv_roundtrip": _tsv_roundtrip,
         "xml_roundtrip": _xml_roundtrip,
+        "xml_single_file": _xml_single_file,
+        "numbered_parts": _numbered_parts,
+        "refused_rows": _refused_rows,
+        "table_versions": _table_versions,
+        "dictionary_half": _dictionary_half,
+        "dictionary_roundtrip": _dictionary_roundtrip,
+        "page_words": _page_words,
+        "request_status": _request_status,
         "dictionary": _dictionary,
         "trigrams": _trigrams,
         "find_words": _find_words,

@@ -59,6 +59,24 @@ SELECT * FROM (VALUES (1,'reg','Region','101'),(3,'st','State','301'),(4,'st','S
   (7,'ave','Avenue','702')) AS v(level, scname, socrname, kod_t_st)
 """
 
+# The registry as text under the names of the files, with faults of every kind: lost keys,
+# levels and flags that are none, too long names, and keys that stand twice.
+RAW_ADDROBJ = """
+SELECT CASE WHEN id % 211 = 0 THEN NULL ELSE aoid END AS AOID, aoguid AS AOGUID,
+       CASE WHEN id % 107 = 0 THEN 'settlement of a type' ELSE shortname END AS SHORTNAME,
+       formalname AS FORMALNAME,
+       CASE WHEN id % 101 = 0 THEN 'seven' WHEN id % 103 = 0 THEN '70000'
+            ELSE CAST(aolevel AS STRING) END AS AOLEVEL,
+       parentguid AS PARENTGUID,
+       CASE WHEN id % 109 = 0 THEN 'maybe' WHEN actstatus THEN '1' ELSE '0' END AS ACTSTATUS,
+       CASE WHEN livestatus THEN '1' ELSE '0' END AS LIVESTATUS, nextid AS NEXTID,
+       CAST(regioncode AS STRING) AS REGIONCODE
+FROM {addrobj}
+UNION ALL
+SELECT upper(aoid), aoguid, shortname, formalname, '7', parentguid, '1', '1', nextid, '1'
+FROM {addrobj} WHERE id % 113 = 0
+"""
+
 # Every version, every object, and one unknown identifier per supplier.
 ID_REQUESTS = """
 SELECT id AS request_id, aoid AS uuid FROM {addrobj}
@@ -112,7 +130,7 @@ JOIN (SELECT l_suppkey, 10000000 + max(l_orderkey) AS street FROM {lineitem} GRO
 # A word is frequent if it is in two addresses of three.
 FREQ_THRESHOLD = "SELECT CAST(floor(count(*) * 2 / 3) AS BIGINT) AS n FROM {orders}"
 
-TABLES = "region nation customer supplier part orders lineitem documents benchmark".split()
+TABLES = "region nation customer supplier part orders lineitem documents pages benchmark".split()
 _kept: dict[tuple[str, str, str], object] = {}
 
 
@@ -143,6 +161,10 @@ class Fixture:
     def addrobj(self) -> DataFrame:
         return self._staged("addrobj", ADDROBJ)
 
+    @property
+    def raw_addrobj(self) -> DataFrame:
+        return self.sql(RAW_ADDROBJ, addrobj=self.addrobj)
+
     @property
     def socrbase(self) -> DataFrame:
         return self._staged("socrbase", SOCRBASE)

@@ -8,8 +8,10 @@ is brute force: every query term against every posting.
 from __future__ import annotations
 
 import re
+from html.entities import name2codepoint
 
 import fixture_tables as fx
+from waymark.functions import markup
 
 _TOKENS = "regexp_extract_all(replace(replace(lower({0}), 'ё', 'е'), '@', ''), '[0-9a-z_а-я]+')"
 # Words joined by single hyphens count once more as a whole.
@@ -82,6 +84,37 @@ _PIECES = {
     "dictionary": """
       SELECT word, count(*) AS frequency FROM tokens
       GROUP BY word ORDER BY frequency DESC, word LIMIT 200000""",
+    "raw_addrobj": _fill(fx.RAW_ADDROBJ),
+    "faults": """
+      SELECT *, row_number() OVER () AS nr, lower(trim(AOID)) AS aoid_key, list_filter([
+        CASE WHEN AOID IS NULL THEN 'aoid: missing' END,
+        CASE WHEN length(SHORTNAME) > 10 THEN 'shortname: too long' END,
+        CASE WHEN length(FORMALNAME) > 120 THEN 'formalname: too long' END,
+        CASE WHEN AOLEVEL IS NOT NULL AND TRY_CAST(AOLEVEL AS SMALLINT) IS NULL THEN 'aolevel: not smallint' END,
+        CASE WHEN ACTSTATUS NOT IN ('0', '1') THEN 'actstatus: not boolean' END],
+        LAMBDA x: x IS NOT NULL) AS found
+      FROM raw_addrobj""",
+    "faults_repeated": """
+      SELECT AOID, found, CASE WHEN len(found) = 0 AND aoid_key IS NOT NULL
+        AND count(*) FILTER (len(found) = 0) OVER (PARTITION BY aoid_key) > 1
+        THEN ['aoid: repeated'] ELSE found END AS reasons FROM faults""",
+    "page_pieces": f"""
+      SELECT page_id, unnest(range(1, len(p) + 1)) AS i, unnest(p) AS piece FROM (
+        SELECT page_id, regexp_extract_all(html, '{markup.pattern("").replace("'", "''")}') AS p FROM pages)""",
+    "page_named": "SELECT * FROM (VALUES " + ", ".join(
+        "('&{};', '{}')".format(k, chr(n).replace("'", "''")) for k, n in name2codepoint.items()
+    ) + ") AS v(name, sign)",
+    "page_plain": r"""
+      SELECT page_id, string_agg(CASE
+        WHEN sign IS NOT NULL THEN sign
+        WHEN regexp_full_match(piece, '&#[0-9]+;') THEN chr(piece[3:-2]::INT)
+        WHEN piece[1] <> '<' OR piece = '<' THEN piece
+        WHEN regexp_matches(piece, '^(?i:</?(""" + "|".join(markup.INLINE) + r"""))([^a-zA-Z0-9]|$)') THEN ''
+        ELSE ' ' END, '' ORDER BY i) AS t
+      FROM page_pieces LEFT JOIN page_named ON name = piece GROUP BY page_id""",
+    "request_lines": """
+      SELECT concat_ws(':', doc_id, unnest(range(len(l)))) AS request_id, unnest(l) AS text
+      FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL)""",
     "threshold": _fill(fx.FREQ_THRESHOLD),
     "prefixes": """
       SELECT substr(word, 1, k) AS p, count(*) AS n
@@ -462,6 +495,32 @@ FINAL = {
     "xml_roundtrip": """SELECT lower(aoid) AS aoid, lower(aoguid) AS aoguid, shortname, formalname,
         aolevel, lower(parentguid) AS parentguid, actstatus, livestatus, lower(nextid) AS nextid,
         regioncode FROM addrobj""",
+    "xml_single_file": """SELECT lower(aoid) AS aoid, lower(aoguid) AS aoguid, shortname,
+        formalname, aolevel, lower(parentguid) AS parentguid, actstatus, livestatus,
+        lower(nextid) AS nextid, regioncode FROM addrobj""",
+    "numbered_parts": """SELECT aoid, (row_number() OVER (ORDER BY id) - 1) // 1000 AS part
+        FROM addrobj""",
+    "refused_rows": """SELECT AOID, array_to_string(reasons, '; ') AS reasons FROM faults_repeated
+        WHERE len(reasons) > 0""",
+    "table_versions": """SELECT 1 AS version, id, aoid FROM addrobj WHERE aolevel < 6
+        UNION ALL SELECT 2, id, aoid FROM addrobj
+        UNION ALL SELECT 3, id, aoid FROM addrobj WHERE aolevel <> 6""",
+    "dictionary_half": """SELECT word, frequency FROM (
+          SELECT word, frequency, row_number() OVER (ORDER BY frequency DESC, word) AS n,
+                 count(*) OVER () AS total
+          FROM (SELECT word, count(*) AS frequency FROM tokens GROUP BY word))
+        WHERE n <= total // 2""",
+    "dictionary_roundtrip": """SELECT word, (SELECT string_agg(substr('__' || word || '__', k, 3), ' ' ORDER BY k)
+                 FROM unnest(range(1, length(word) + 3)) AS u(k)) AS trigramm, frequency
+        FROM dictionary WHERE length(word) <= 43""",
+    "page_words": f"""SELECT word, count(*) AS frequency FROM (
+        SELECT unnest({_TOKENS.format('t')} || {_WHOLES.format('t')}) AS word FROM page_plain)
+        GROUP BY word""",
+    "request_status": r"""SELECT request_id, CASE
+        WHEN text IS NOT NULL AND regexp_full_match(text, '[0-9A-zА-яЁё, .\-/]{3,}\n?')
+          AND len([w FOR w IN string_split_regex(lower(text), '[ ,:.#$]+')
+                   IF trim(translate(w, '@#', ''), '-') <> '']) > 0 THEN 'ok'
+        ELSE 'bad_data' END AS status FROM request_lines""",
     "dictionary": "SELECT word, frequency FROM dictionary",
     "trigrams": """SELECT word, (SELECT string_agg(substr('__' || word || '__', k, 3), ' ' ORDER BY k)
                  FROM unnest(range(1, length(word) + 3)) AS u(k)) AS trigramm,

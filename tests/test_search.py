@@ -205,7 +205,8 @@ def test_find_by_hand(spark, addrobj, socrbase):
     asked = spark.createDataFrame(
         [(1, "Псковская обл, Порховский р-н, д. Гречушанка"), (2, "Псковская Гречушнка"),
          (3, "псковская ёлочная улица"), (4, "!?"), (5, ", . ,"), (6, "щщщщщщ"),
-         (7, "г Близнецы"), (8, "Псковская обл, Порховский р-н, снт Ромашка")],
+         (7, "г Близнецы"), (8, "Псковская обл, Порховский р-н, снт Ромашка"),
+         (9, "обл Псковская, г Второй, ул Санкт-Петербургская")],
         "request_id bigint, text string")
     soft = {}
     for r in find(asked, index, lexicon, SearchSettings()).collect():
@@ -224,7 +225,9 @@ def test_find_by_hand(spark, addrobj, socrbase):
     assert strong[1]["status"] == "not_found"
     assert strong[8]["aoid"] == "k1"
     assert strong[6]["status"] == "not_found"
-    assert len(strong) == 8
+    assert len(strong) == 9
+    # A hyphenated word is found whole and by its parts, in both modes.
+    assert first[9]["aoid"] == strong[9]["aoid"] == "s2"
 
 
 

@@ -22,8 +22,8 @@ def is_searchable_level() -> Column:
 
 def is_legal_request(text: Column) -> Column:
     """What a free-text request may hold; other requests are refused."""
-    # Fixed value: the admitted characters, and at least three of them.
-    return text.rlike(r"^[0-9A-zА-яЁё, .\-/]{3,}$")
+    # Fixed value: the admitted characters, and at least three of them; a line end may follow.
+    return text.rlike(r"^[0-9A-zА-яЁё, .\-/]{3,}\n?\z")
 
 
 def is_canonical_uuid(value: Column) -> Column:

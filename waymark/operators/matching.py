@@ -12,8 +12,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from waymark.functions.markup import strip_markup
 from waymark.functions.text import chunks, index_terms
 from waymark.operators.queries import variant_key
+from waymark.plans.order import numbered
 from waymark.plans.skew import skew_join, work_join
 from waymark.plans.stage import measured, stage
 from waymark.settings import DEFAULTS, SearchSettings
@@ -25,18 +27,21 @@ MAX_BITS = 62
 
 @dataclass(frozen=True)
 class SearchIndex:
-    """postings: one row per document, field and distinct term, with what is needed to
-    score the document: (tid, doc_id, aoid, fullname, wordcount, ids, sats, plain) and the
-    terms and positions of both fields. terms: (field, term, tid, df, most), `most`
+    """postings: one row per document and distinct term of a field, in numbers only: (tid, doc,
+    wordcount, ids, sats, plain), and for each field the terms in order, with the steps
+    between their positions where these are not all 1. docs: (doc, doc_id, aoid,
+    fullname), read for the winners alone. terms: (field, term, tid, df, most), `most`
     being the most occurrences in one document. expansions: (prefix, pos, term, df),
     the address terms that a prefix stands for.
 
     `tid` is the number of a term in a field, `ids` those of a document and `sats`
-    their saturated occurrences; `plain` tells that each occurs once. A posting repeats its document so that a match is
-    scored where it is found. There are far more matches than postings, and none of
-    them is shuffled but the best."""
+    their saturated occurrences (empty where `plain` tells that each occurs once). Documents
+    are numbered in the order of their id and text, which settles ties. A posting repeats
+    the numbers of its document so that a match is scored where it is found. There are far
+    more matches than postings, and none of them is shuffled but the best."""
 
     postings: DataFrame
+    docs: DataFrame
     terms: DataFrame
     expansions: DataFrame
     n_docs: int
@@ -55,7 +60,7 @@ def build_postings(paths: DataFrame) -> DataFrame:
             paths.select(
                 F.col("id").alias("doc_id"),
                 F.lit(field).alias("field"),
-                F.inline(index_terms(F.col(column))),
+                F.inline(index_terms(strip_markup(F.col(column)))),
             )
         )
     return fields[0].unionByName(fields[1]).select("term", "doc_id", "field", "pos")
@@ -77,17 +82,27 @@ def expand_terms(terms: DataFrame, settings: SearchSettings = DEFAULTS) -> DataF
     )
 
 
+def _steps(positions: Column) -> Column:
+    """Steps between positions, the first from -1; null where all are 1."""
+    steps = F.transform(positions, lambda p, i: p - F.when(i > 0, F.get(positions, i - 1)).otherwise(-1))
+    return F.when(F.exists(steps, lambda x: x != 1), steps)
+
+
 def _documents(paths: DataFrame, seed: int) -> DataFrame:
-    """Paths with the terms of both fields as lists and as numbers."""
+    """Numbered paths with the terms of both fields as lists and as numbers."""
     docs = paths.select(
-        F.col("id").alias("doc_id"), "aoid", "fullname", "wordcount",
-        index_terms(F.col("fullname")).alias("f"), index_terms(F.col("sname")).alias("s"),
+        F.col("id").alias("doc_id"), "aoid", "fullname", "wordcount", "sname"
+    ).where(F.col("fullname").isNotNull())
+    docs = numbered(docs, ["doc_id", "fullname", "sname", "aoid"], "index-numbers").select(
+        F.col("n").alias("doc"), "doc_id", "aoid", "fullname", "wordcount",
+        index_terms(strip_markup(F.col("fullname"))).alias("f"),
+        index_terms(strip_markup(F.col("sname"))).alias("s"),
     )
     docs = docs.select(
-        "doc_id", "aoid", "fullname", "wordcount",
+        "doc", "doc_id", "aoid", "fullname", "wordcount",
         F.col("f.term").alias("f_terms"), F.col("f.pos").alias("f_pos"),
         F.col("s.term").alias("s_terms"), F.col("s.pos").alias("s_pos"),
-    ).where(F.col("fullname").isNotNull())
+    )
 
     def distinct(field: str) -> Column:
         """The distinct terms of a field with their numbers and occurrences,
@@ -103,12 +118,18 @@ def _documents(paths: DataFrame, seed: int) -> DataFrame:
             ),
         )
 
+    def numbers(field: str) -> list[Column]:
+        terms = F.transform(f"{field}_terms", lambda t: term_number(F.lit(field), t, seed))
+        return [terms.alias(f"{field}_ids"), _steps(F.col(f"{field}_pos")).alias(f"{field}_steps")]
+
     docs = docs.withColumn("items", F.concat(distinct("f"), distinct("s")))
+    docs = docs.withColumn("plain", F.forall("items", lambda i: i["n"] == 1))
+    sats = F.transform("items", lambda i: i["n"] / (i["n"] + SATURATION))
     return docs.select(
-        "*",
-        F.forall("items", lambda i: i["n"] == 1).alias("plain"),
+        "doc", "doc_id", "aoid", "fullname", "wordcount", "items", "plain",
         F.col("items.tid").alias("ids"),
-        F.transform("items", lambda i: i["n"] / (i["n"] + SATURATION)).alias("sats"),
+        F.when(~F.col("plain"), sats).alias("sats"),
+        *numbers("f"), *numbers("s"),
     )
 
 
@@ -129,10 +150,14 @@ def build_index(
     if not terms.groupBy("tid").count().where("count > 1").isEmpty():
         return build_index(paths, settings, seed + 1)
     # Each posting meets many queries: more tasks than the size calls for.
-    spread = docs.repartition(1 + n_docs // DOCS_PER_PART, "doc_id")
-    postings = spread.select("*", F.explode("ids").alias("tid")).drop("items")
+    spread = docs.repartition(1 + n_docs // DOCS_PER_PART, "doc")
+    postings = spread.select(
+        "doc", "wordcount", "plain", "ids", "sats", "f_ids", "f_steps", "s_ids", "s_steps",
+        F.explode("ids").alias("tid"),
+    )
     return SearchIndex(
         stage(postings, "index-postings"),
+        docs.select("doc", "doc_id", "aoid", "fullname"),
         terms,
         stage(expand_terms(terms, settings), "index-expansions"),
         n_docs,
@@ -287,11 +312,13 @@ def _met_by_list() -> Column:
     term in each field, for any document and variant. The terms come group by group,
     so a group is counted at its first match."""
 
+    once = F.lit(1 / (1 + SATURATION))
+
     def add(acc: Column, e: Column) -> Column:
         at = F.array_position("ids", e["tid"]).cast("int")
         counted = e["required"] & (e["no"] != acc["last"])
         found = F.struct(
-            (acc["total"] + e["weight"] * F.get("sats", at - 1)).alias("total"),
+            (acc["total"] + e["weight"] * F.coalesce(F.get("sats", at - 1), once)).alias("total"),
             (acc["groups"] + counted.cast("int")).alias("groups"),
             e["no"].alias("last"),
             (acc["f"] | (e["field"] == "f")).alias("f"),
@@ -342,8 +369,7 @@ def _scored(met: DataFrame, settings: SearchSettings, strong: bool) -> DataFrame
     apart = F.abs(F.col("wordcount") - F.col("n_words"))
     rank = 1000 * fields + bm25 - settings.length_penalty * apart
     return step.select(
-        "variant", "doc_id", "aoid", "fullname",
-        F.when(F.col("met.whole"), rank).alias("krank"),
+        "variant", "doc", F.when(F.col("met.whole"), rank).alias("krank"),
     )
 
 
@@ -351,12 +377,18 @@ def _longest_run(field: str) -> Column:
     """Most groups in a row that are found at as many positions in a row. Each
     group in turn looks where it is found; a run goes on where the group before
     it was found one position earlier."""
-    terms, places = F.col(f"{field}_terms"), F.col(f"{field}_pos")
+    terms = F.col(f"{field}_ids")
+    none_yet = F.array().cast("array<int>")
+    positions = F.aggregate(
+        f"{field}_steps", none_yet,
+        lambda a, x: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(-1)) + x)),
+    )
+    places = F.coalesce(positions, F.transform(terms, lambda t, i: i))
     groups = F.col(f"{field}_groups")
     state = "struct<at:array<struct<pos:int,run:int>>,best:int>"
 
     def add(acc: Column, g: Column) -> Column:
-        names = F.transform(g["terms"], lambda t: t["term"])
+        names = F.transform(g["terms"], lambda t: t["tid"])
         spots = F.array_distinct(
             F.transform(
                 F.filter(F.arrays_zip(places.alias("pos"), terms.alias("term")),
@@ -396,9 +428,7 @@ def _longest_run(field: str) -> Column:
 def _best(hits: DataFrame, settings: SearchSettings) -> DataFrame:
     """The best hits of each variant. Documents that do not match have no rank and
     come last; leaving them out only here spares scoring them twice."""
-    order = Window.partitionBy("variant").orderBy(
-        F.col("krank").desc_nulls_last(), "doc_id", "fullname"
-    )
+    order = Window.partitionBy("variant").orderBy(F.col("krank").desc_nulls_last(), "doc")
     ranked = hits.withColumn("pos", F.row_number().over(order))
     return ranked.where(F.col("pos") <= settings.max_hits).where(F.col("krank").isNotNull())
 
@@ -431,7 +461,7 @@ def _look_up(
     )
     probes = stage(probes, "match-probes", F.sum("df"))
     met = work_join(
-        probes, index.postings, ["tid"], "df", ["variant"], ["doc_id"], settings.rows_per_task
+        probes, index.postings, ["tid"], "df", ["variant"], ["doc"], settings.rows_per_task
     )
     # A document found by several terms is kept at the first of them only.
     first = F.array_intersect("probed", "ids")[0]
@@ -441,6 +471,14 @@ def _look_up(
     return _best(_scored(met, settings, strong), settings)
 
 
+def _fetched(hits: DataFrame, index: SearchIndex, settings: SearchSettings) -> DataFrame:
+    """The best hits with their documents; one document may be a hit of many variants."""
+    return skew_join(
+        hits.select("variant", "pos", "doc", "krank"), index.docs, ["doc"], ["variant"],
+        rows_per_task=settings.rows_per_task,
+    ).select("variant", "pos", "doc_id", "aoid", "fullname", "krank")
+
+
 def _groups(resolved: DataFrame) -> DataFrame:
     """Groups of each variant in the order of cost, with what comes before."""
     rows = resolved.select("variant", "op", F.size("s_groups").alias("n_short"), F.inline("all"))
@@ -493,7 +531,7 @@ def match(
         _look_up(first, resolved, index, settings, strong), "match-first"
     )
     if strong:
-        return hits
+        return _fetched(hits, index, settings)
 
     last = hits.where(F.col("pos") == settings.max_hits).select(
         "variant", F.col("krank").alias("bound")
@@ -523,11 +561,11 @@ def match(
     )
     second = stage(second.select("variant", "terms"), "match-second")
     if second.isEmpty():
-        return hits
+        return _fetched(hits, index, settings)
     more = _look_up(second, resolved, index, settings, strong)
-    columns = ["variant", "doc_id", "aoid", "fullname", "krank"]
+    columns = ["variant", "doc", "krank"]
     both = hits.select(columns).unionByName(more.select(columns)).distinct()
-    return _best(both, settings)
+    return _fetched(_best(both, settings), index, settings)
 
 
 def match_requests(
