@@ -31,6 +31,7 @@ from waymark.operators.matching import (
 from waymark.operators.paths import build_paths
 from waymark.operators.queries import plan_queries
 from waymark.operators.ranks import rank_words, split_requests, with_match_types
+from waymark.operators.saved import open_index, open_lexicon, save_index, save_lexicon
 from waymark.operators.suggest import suggest
 from waymark.plans.stage import stage, stage_root
 from waymark.schemas import ADDROBJ, SOCRBASE
@@ -316,6 +317,19 @@ def _find(strong: bool) -> Query:
     return run
 
 
+def _find_saved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index and the lexicon are saved, and another session answers with them."""
+    f = Fixture(spark, sf_dir)
+    folder = _new_folder(spark, "saved")
+    save_index(f.index, f"{folder}/index")
+    save_lexicon(f.lexicon, f"{folder}/lexicon")
+    other = spark.newSession()
+    index, lexicon = open_index(other, f"{folder}/index"), open_lexicon(other, f"{folder}/lexicon")
+    requests = other.read.parquet(*f.find_requests.inputFiles())
+    hits = stage(find(requests, index, lexicon, f.settings), "saved-hits")
+    return spark.read.parquet(*hits.inputFiles())
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """The text of every current address."""
     return _paths(spark, "/root/testdata/sf0.001")
@@ -371,6 +385,7 @@ def _own_queries() -> dict[str, Query]:
         "match_maybe": _match("maybe"),
         "find_soft": _find(False),
         "find_strong": _find(True),
+        "find_saved": _find_saved,
     }
 
 

@@ -561,5 +561,8 @@ FINAL = {
 }
 
 
+FINAL["find_saved"] = FINAL["find_soft"]
+
+
 def oracle_sql() -> dict[str, str]:
     return {name: statement(final) for name, final in FINAL.items()}

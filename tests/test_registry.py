@@ -68,13 +68,34 @@ def test_paths(addrobj, rows_per_task):
 
 
 def test_cycles_are_reported(spark, addrobj):
-    loop = [
-        (50, "p", "P", "г", "П", 4, "Q", True, True, None, 1),
-        (51, "q", "Q", "г", "К", 4, "P", True, True, None, 1),
-    ]
-    looped = addrobj.unionByName(spark.createDataFrame(loop, addrobj.schema))
-    with pytest.raises(ValueError, match="deeper"):
-        full_text(requests(spark, "p"), looped, SearchSettings(max_depth=3))
+    """Whether their length is a power of two or not, and whoever leads into them."""
+    for length in (1, 3, 4):
+        ring = [(100 + i, f"z{i}", f"Z{i}", "л", f"и{i}", 6, f"Z{(i + 1) % length}", True, True, None, 1)
+                for i in range(length)]
+        below = (200, "y", "Y", "л", "под", 7, "Z0", True, True, None, 1)
+        rows = addrobj.unionByName(spark.createDataFrame([*ring, below], addrobj.schema))
+        for run in (lambda: full_text(requests(spark, "y"), rows), lambda: build_paths(rows)):
+            with pytest.raises(ValueError, match="cycle.*Z0"):
+                run().collect()
+
+
+def test_a_thousand_levels(spark, socrbase, monkeypatch):
+    from waymark.plans import doubling
+
+    deep = 1000
+    rows = [(i, f"d{i}", f"D{i}", "л", str(i), 1 if i == 0 else 5, f"D{i - 1}" if i else None, True,
+             True, None, 1) for i in range(deep)]
+    df = spark.createDataFrame(rows, ADDROBJ.schema)
+    tables = []
+    monkeypatch.setattr(doubling, "stage", lambda df, name: tables.append(name) or stage(df, name))
+    text = full_text(requests(spark, f"d{deep - 1}", "d3"), df).orderBy("request_id").collect()
+    assert text[0].fullname == ", ".join(f"л {i}" for i in range(deep))
+    assert text[1].fullname == "л 0, л 1, л 2, л 3"
+    assert sum("found" in t for t in tables) - 1 <= 12
+    chain = collect_chains(expand(requests(spark, f"d{deep - 1}"), df, socrbase)).first()
+    assert len(chain["chain"]) == deep
+    paths = {r.id: r.fullname for r in build_paths(df).where("id in (1, 700)").collect()}
+    assert paths == {1: "л 0, л 1", 700: ", ".join(f"л {i}" for i in range(701))}
 
 
 def test_skew_join_is_an_ordinary_join(spark):

@@ -7,13 +7,13 @@ is climbed once, however many requests lie below it.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waymark.functions.predicates import is_current
 from waymark.operators.ids import resolve_requests
+from waymark.plans.doubling import climb
 from waymark.plans.skew import skew_join
 from waymark.plans.stage import measured, stage
 from waymark.settings import DEFAULTS, SearchSettings
@@ -30,34 +30,40 @@ def _parents_of(starts: DataFrame) -> DataFrame:
     return stage(parents.select(F.col("parentguid").alias("guid")).distinct(), "climb-guids")
 
 
-def _climb(
-    guids: DataFrame,
-    parents: DataFrame,
-    step: Callable[[DataFrame, int], DataFrame],
+def _edges(parents: DataFrame, inner: DataFrame, carried: list[str]) -> DataFrame:
+    """Of the current rows (up, above, ...) those of objects that something lies below:
+    (a, b, carried). Leaves, the bulk of a registry, take no part in the climb."""
+    rows = parents.join(inner.withColumnRenamed("guid", "up"), "up", "left_semi")
+    return rows.where(F.col("above").isNotNull()).select(
+        F.col("up").alias("a"), F.col("above").alias("b"), *carried
+    )
+
+
+def _inner(parents: DataFrame, guids: DataFrame) -> DataFrame:
+    above = parents.where(F.col("above").isNotNull()).select(F.col("above").alias("guid"))
+    return stage(above.unionByName(guids).distinct(), "climb-inner")
+
+
+def under(upper: Column, lower: Column) -> Column:
+    """The text of a path, from its top downwards."""
+    return F.concat(upper, F.lit(", "), lower)
+
+
+def topped(
+    found: DataFrame,
+    jumps: DataFrame,
     carried: list[str],
+    step: Callable[[Column, Column], Column],
     settings: SearchSettings,
 ) -> DataFrame:
-    """Rounds of joins from the objects (guid) to their current rows, the current
-    rows of their parents, and so on.
-    `step` shapes the rows of a round, whose `up` is the next object to visit;
-    `carried` are the columns that it needs of the round before. Returns the rows of all rounds."""
-    rounds = []
-    frontier = guids.select("guid", F.col("guid").alias("up"))
-    known = measured(guids)
-    for depth in range(1, settings.max_depth + 2):
-        if depth > settings.max_depth:
-            raise ValueError(f"hierarchy deeper than {settings.max_depth}; is there a cycle?")
-        joined = skew_join(
-            frontier, parents, ["up"], ["guid"], rows_per_task=settings.rows_per_task,
-            at_most=known,
-        )
-        level = stage(step(joined, depth), f"climb-{depth}")
-        rounds.append(level)
-        known = measured(level)
-        frontier = level.where(F.col("up").isNotNull()).select("guid", "up", *carried)
-        if frontier.isEmpty():
-            return reduce(DataFrame.unionByName, rounds)
-    raise AssertionError
+    """Paths that reach a top (parentguid, carried), longer by the paths of `jumps`."""
+    tops = found.select(
+        F.col("parentguid").alias("b"), *[F.col(c).alias(f"_{c}") for c in carried]
+    )
+    longer = skew_join(jumps, tops, ["b"], ["a"], rows_per_task=settings.rows_per_task,
+                       at_most=measured(jumps))
+    together = [step(F.col(f"_{c}"), F.col(c)).alias(c) for c in carried]
+    return longer.select(F.col("a").alias("parentguid"), *together)
 
 
 def expand(
@@ -87,12 +93,25 @@ def expand(
         "expand-parents",
     )
 
-    def step(joined: DataFrame, depth: int) -> DataFrame:
-        return joined.select(
-            "guid", F.lit(depth).alias("depth"), *ELEMENT, F.col("above").alias("up")
-        )
+    # The objects on the way up from each parent, with their distance; then their rows.
+    start = guids.select("guid", F.col("guid").alias("at"), F.lit(1).alias("depth"))
 
-    above = _climb(guids, parents, step, [], settings).drop("up")
+    def further(found: DataFrame, jumps: DataFrame) -> DataFrame:
+        length = 1 << further.rounds
+        further.rounds += 1
+        return skew_join(
+            found.withColumnRenamed("at", "a"), jumps, ["a"], ["guid"],
+            rows_per_task=settings.rows_per_task, at_most=measured(found),
+        ).select("guid", F.col("b").alias("at"), (F.col("depth") + length).alias("depth"))
+
+    further.rounds = 0
+    way = climb(
+        _edges(parents, _inner(parents, guids), []), start, further, None, [], settings
+    )
+    above = skew_join(
+        way.withColumnRenamed("at", "up"), parents, ["up"], ["guid"],
+        rows_per_task=settings.rows_per_task, at_most=measured(way),
+    ).select("guid", "depth", *ELEMENT)
 
     names = (
         socrbase.select(
@@ -165,17 +184,15 @@ def full_text(
         "text-parents",
     )
 
-    def step(joined: DataFrame, depth: int) -> DataFrame:
-        text = F.col("name") if depth == 1 else F.concat("name", F.lit(", "), "text")
-        return joined.select(
-            "guid", F.col("above").alias("up"), text.alias("text")
-        ).dropDuplicates()
-
-    complete = (
-        _climb(guids, parents, step, ["text"], settings)
-        .where(F.col("up").isNull())
-        .select(F.col("guid").alias("parentguid"), "text")
-        .distinct()
+    inner = _inner(parents, guids)
+    tops = parents.where(F.col("above").isNull()).join(
+        inner.withColumnRenamed("guid", "up"), "up", "left_semi"
+    )
+    complete = climb(
+        _edges(parents, inner, [F.col("name").alias("text")]),
+        tops.select(F.col("up").alias("parentguid"), F.col("name").alias("text")),
+        lambda found, jumps: topped(found, jumps, ["text"], under, settings),
+        under, ["text"], settings,
     )
     lower = skew_join(
         starts.where(F.col("parentguid").isNotNull()),

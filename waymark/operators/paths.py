@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waymark.functions.predicates import is_current, is_root, is_searchable_level
 from waymark.functions.text import count_spaces
-from waymark.plans.skew import hot_keys, salted_join
+from waymark.operators.chains import topped
+from waymark.plans.doubling import climb
+from waymark.plans.skew import skew_join
 from waymark.plans.stage import stage
 from waymark.settings import DEFAULTS, SearchSettings
 
@@ -18,12 +18,13 @@ def build_paths(addrobj: DataFrame, settings: SearchSettings = DEFAULTS) -> Data
     """(id, aoid, fullname, sname, wordcount) of each path from a current region
     down to a current object. Two parents with different texts give two paths.
 
-    One join per level. Only objects that have children go on as parents, and
-    equal parent texts are merged before the join, so no path is built twice and
-    leaves, the bulk of a registry, are never shuffled again."""
+    The paths of objects with children are found first, in rounds of doubled length; equal
+    ones are merged, so no path is built twice. Leaves, the bulk of a registry, meet the
+    paths of their parents once."""
     current = stage(
         addrobj.where(is_current()).select(
-            "id", "aoid", "aoguid", "aolevel", "parentguid", "shortname", "formalname"
+            "id", "aoid", "aoguid", "aolevel", "parentguid", "shortname",
+            F.concat("shortname", F.lit(" "), "formalname").alias("own"),
         ),
         "paths-current",
     )
@@ -33,38 +34,35 @@ def build_paths(addrobj: DataFrame, settings: SearchSettings = DEFAULTS) -> Data
         .distinct(),
         "paths-inner",
     )
-    crowded = hot_keys(current, ["parentguid"], settings.rows_per_task)
+    inner = current.join(has_children, "aoguid", "left_semi")
+    text = F.struct(F.col("own").alias("full"), F.col("shortname").alias("short"))
 
-    columns = ["id", "aoid", "aoguid", "aolevel", "fullname", "sname"]
-    own = F.concat("shortname", F.lit(" "), "formalname")
-    level = current.where(is_root()).select(
-        "id", "aoid", "aoguid", "aolevel", own.alias("fullname"),
-        F.col("shortname").alias("sname"),
-    )
-    levels = []
-    for depth in range(settings.max_depth + 1):
-        if depth == settings.max_depth:
-            raise ValueError(f"hierarchy deeper than {settings.max_depth}; is there a cycle?")
-        level = stage(level, f"paths-{depth}")
-        levels.append(level)
-        parents = (
-            level.join(has_children, "aoguid", "left_semi")
-            .select(
-                F.col("aoguid").alias("parentguid"),
-                F.col("fullname").alias("above"),
-                F.col("sname").alias("sname_above"),
-            )
-            .distinct()
+    def below(upper: Column, lower: Column) -> Column:
+        return F.struct(
+            F.concat(upper["full"], F.lit(", "), lower["full"]).alias("full"),
+            F.concat(upper["short"], F.lit(" "), lower["short"]).alias("short"),
         )
-        if parents.isEmpty():
-            break
-        level = (
-            salted_join(current, parents, ["parentguid"], ["id"], crowded)
-            .withColumn("fullname", F.concat("above", F.lit(", "), own))
-            .withColumn("sname", F.concat("sname_above", F.lit(" "), "shortname"))
-            .select(columns)
-        )
-    paths = reduce(DataFrame.unionByName, levels).where(is_searchable_level())
+
+    tops = climb(
+        inner.where(F.col("parentguid").isNotNull()).select(
+            F.col("aoguid").alias("a"), F.col("parentguid").alias("b"), text.alias("text")
+        ),
+        inner.where(is_root()).select(F.col("aoguid").alias("parentguid"), text.alias("text")),
+        lambda found, jumps: topped(found, jumps, ["text"], below, settings),
+        below, ["text"], settings,
+    )
+    lower = skew_join(
+        current.where(F.col("parentguid").isNotNull()),
+        tops.withColumnRenamed("text", "above"), ["parentguid"], ["id"],
+        rows_per_task=settings.rows_per_task,
+    ).withColumn("text", below(F.col("above"), text))
+    columns = ["id", "aoid", "aolevel", "text.full", "text.short"]
+    paths = (
+        current.where(is_root()).withColumn("text", text).select(columns)
+        .unionByName(lower.select(columns))
+        .where(is_searchable_level())
+    )
     return paths.select(
-        "id", "aoid", "fullname", "sname", count_spaces(F.col("fullname")).alias("wordcount")
+        "id", "aoid", F.col("full").alias("fullname"), F.col("short").alias("sname"),
+        count_spaces(F.col("full")).alias("wordcount"),
     )

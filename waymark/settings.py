@@ -24,8 +24,7 @@ class SearchSettings:
     expansion_limit: int = 32  # index terms a prefix term may stand for
     dictionary_size: int = 200000  # words kept in the dictionary
     rows_per_file: int = 50000  # rows per exported file
-    # Our own: depth guard, tuning of the physical plan; no effect on results.
-    max_depth: int = 20
+    # Our own: tuning of the physical plan; no effect on results.
     probe_rows: int = 1000  # postings a tolerant query reads before it sets a bound
     rows_per_task: int = 2_000_000  # a join key with more rows than this is salted
 
