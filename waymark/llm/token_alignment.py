@@ -81,11 +81,12 @@ def row_product(a: CSR, b: CSR) -> CSR:
     """A·B after Gustavson: row i is the sum of the rows k of B, each times A[i, k]."""
     width = np.diff(b.indptr)[a.indices]
     total = int(width.sum())
-    first = np.repeat(b.indptr[a.indices] - (np.cumsum(width) - width), width)
-    entry = first + np.arange(total)
-    rows = np.repeat(a.rows(), width)
+    entry, rows, values = b.indptr[a.indices], a.rows(), a.data
+    if not np.all(width == 1):
+        entry = np.repeat(entry - (np.cumsum(width) - width), width) + np.arange(total)
+        rows, values = np.repeat(rows, width), np.repeat(values, width)
     columns = b.indices[entry]
-    values = np.repeat(a.data, width) * b.data[entry]
+    values = values * b.data[entry]
     key = rows * max(b.columns, 1) + columns
     if total and np.any(key[1:] < key[:-1]):
         order = np.argsort(key, kind="stable")
@@ -200,38 +201,35 @@ def align(s: Sides, texts: list[str]) -> Aligned:
     """Align the texts of one block."""
     a_parts, b_parts = s.encode(texts)
     none = np.zeros(0, np.int64)
-    for table, parts in ((s.a, a_parts), (s.b, b_parts)):
-        ids, at = _from(parts)
-        spelled, place = _spelled(table, ids, at)
-        for i, text in enumerate(texts):
-            if not text or spelled[place[i] : place[i + 1]] != (" " + text).encode():
-                a_parts[i] = b_parts[i] = none
+    spelled, place = _spelled(s.b, *_from(b_parts))
+    for i, text in enumerate(texts):
+        # Byte-level tokens keep every byte, so only the other side can differ.
+        if not text or spelled[place[i] : place[i + 1]] != (" " + text).encode():
+            a_parts[i] = b_parts[i] = none
     (a, a_at), (b, b_at) = _from(a_parts), _from(b_parts)
     left, right = tiled(s.a_len[a]), tiled(s.b_len[b])
     overlap = row_product(left, transposed(right))
     rows = overlap.rows()
     together = left.indptr[rows + 1] == right.indptr[overlap.indices + 1]
     links = rows[together], overlap.indices[together]
-    cuts = left.indptr[links[0] + 1]
-    n = len(cuts)
 
-    def by_group(m: CSR) -> CSR:
-        group = np.searchsorted(cuts, m.indptr[1:])
-        count = len(m.indptr) - 1
-        return CSR(np.arange(count + 1), group, np.ones(count, np.int64), n)
+    def by_group(count: int, last: np.ndarray) -> CSR:
+        """Tokens by groups, given the last token of each group."""
+        begins = np.zeros(count + 1, np.int64)
+        begins[last + 1] = 1
+        group = np.cumsum(begins)[:count]
+        return CSR(np.arange(count + 1), group, np.ones(count, np.int64), len(last))
 
     return Aligned(
         a, b, a_at, b_at, overlap, links, np.searchsorted(links[0], a_at),
-        by_group(left), by_group(right),
+        by_group(len(a), links[0]), by_group(len(b), links[1]),
     )
 
 
 def _digests(s: Sides, x: Aligned) -> list[str]:
     """sha256 of `a1,a2|b1;a3|b2,b3` by text, '' without tokens."""
-    n = len(x.links[0])
     a_of, b_of = x.a_groups.indices, x.b_groups.indices
-    a_until = np.searchsorted(a_of, np.arange(n), side="right")
-    b_until = np.searchsorted(b_of, np.arange(n), side="right")
+    a_until, b_until = x.links[0] + 1, x.links[1] + 1
     written = np.empty(len(x.a) + len(x.b), np.int64)
     sign = x.a.copy()
     sign[a_until - 1] += s.a_size
