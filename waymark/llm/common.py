@@ -31,6 +31,19 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def rows(documents: DataFrame) -> DataFrame:
+    """`documents` as one column `row`, so that its names cannot meet working names."""
+    return documents.select(F.struct(*[documents[f"`{c}`"] for c in documents.columns]).alias("row"))
+
+
+def columns_of(documents: DataFrame, **changed: Column) -> list[Column]:
+    """The columns of `documents` out of `row`, those named with another content."""
+    return [
+        (changed[c] if c in changed else F.col("row").getField(c)).alias(c)
+        for c in documents.columns
+    ]
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z lower-cased and nothing else. `lower` does that at once where all is ASCII."""
     letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

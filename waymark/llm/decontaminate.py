@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, store, text_key
+from .common import ascii_lower, columns_of, rows, store, text_key
 
 #: Words of a window.
 N = 10
@@ -140,9 +140,10 @@ def drop_contaminated(documents: DataFrame, benchmark: DataFrame, n: int = N) ->
     hit = scan(documents, benchmark, n).where(F.size("hits") > 0).select(
         F.col("doc_id").alias("_hit_id"), F.col("key").alias("_hit_key")
     )
-    return documents.join(
+    clean = rows(documents).join(
         store(hit.distinct(), "bench-hit"),
-        documents["doc_id"].eqNullSafe(F.col("_hit_id"))
-        & text_key(documents["text"]).eqNullSafe(F.col("_hit_key")),
+        F.col("row.doc_id").eqNullSafe(F.col("_hit_id"))
+        & text_key(F.col("row.text")).eqNullSafe(F.col("_hit_key")),
         "left_anti",
     )
+    return clean.select(columns_of(documents))

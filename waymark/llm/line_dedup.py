@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, for_python, placed, rows_of, store
+from .common import blocks, columns_of, for_python, placed, rows, rows_of, store
 from .linking import LANE_BITS, LANES, link, sketches
 
 #: Characters of a shingle, of the line in lower case with single spaces.
@@ -241,17 +241,17 @@ def drop_repeated(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
         F.collect_set(F.when(~F.col("kept"), F.col("line_no").cast("int"))).alias("_gone"),
         F.max("kept").alias("_any"),
     ).select(F.col("doc_id").alias("_doc"), F.col("key").alias("_key"), "_gone", "_any")
-    joined = documents.join(
+    joined = rows(documents).join(
         gone,
-        documents["doc_id"].eqNullSafe(F.col("_doc"))
-        & F.xxhash64(documents["text"]).eqNullSafe(F.col("_key")),
+        F.col("row.doc_id").eqNullSafe(F.col("_doc"))
+        & F.xxhash64("row.text").eqNullSafe(F.col("_key")),
         "left",
     ).where(F.coalesce("_any", F.lit(True)))
-    left = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_gone", i))
+    left = F.filter(F.split("row.text", "\n"), lambda x, i: ~F.array_contains("_gone", i))
     text = F.when(
         F.size("_gone") > 0, F.regexp_replace(F.array_join(left, "\n"), r"^\n+|\n+$", "")
-    ).otherwise(F.col("text"))
-    changed = joined.withColumn("text", text)
+    ).otherwise(F.col("row.text"))
+    changed = {"text": F.col("_text")}
     if "n_chars" in documents.columns:
-        changed = changed.withColumn("n_chars", F.length("text").cast(documents.schema["n_chars"].dataType))
-    return changed.select(documents.columns)
+        changed["n_chars"] = F.length("_text").cast(documents.schema["n_chars"].dataType)
+    return joined.withColumn("_text", text).select(columns_of(documents, **changed))

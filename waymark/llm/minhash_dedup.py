@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, for_python, placed, rows_of, store
+from .common import blocks, columns_of, for_python, placed, rows, rows_of, store
 from .linking import link, sketches
 
 #: Words of a shingle.
@@ -243,11 +243,12 @@ def keep_one(documents: DataFrame, percent: int = 80) -> DataFrame:
     found = first.select("x.doc_id", "x.key").unionByName(empty).select(
         F.col("doc_id").alias("_kept_id"), F.col("key").alias("_k")
     )
-    docs = documents.withColumn("_kept_key", F.xxhash64("text"))
+    docs = rows(documents).select(
+        "row", F.col("row.doc_id").alias("_id"), F.xxhash64("row.text").alias("_key")
+    )
     kept = docs.join(
         found,
-        F.col("doc_id").eqNullSafe(F.col("_kept_id"))
-        & F.col("_kept_key").eqNullSafe(F.col("_k")),
+        F.col("_id").eqNullSafe(F.col("_kept_id")) & F.col("_key").eqNullSafe(F.col("_k")),
         "left_semi",
     )
-    return kept.dropDuplicates(["doc_id", "_kept_key"]).drop("_kept_key")
+    return kept.dropDuplicates(["_id", "_key"]).select(columns_of(documents))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import store, text_key
+from .common import columns_of, rows, store, text_key
 
 #: Sources take these weights in turn, by the code points of their names, null last.
 WEIGHTS = (5, 2, 1)
@@ -127,7 +127,9 @@ def apply_mix(documents: DataFrame, mixed: DataFrame) -> DataFrame:
     target and taken (words of the row, which add up to the targets of the sources,
     rounded down). n_chars becomes the new length, where there is that column."""
     same = Window.partitionBy("_id", "_key")
-    docs = documents.withColumn("_id", F.col("doc_id")).withColumn("_key", text_key(F.col("text")))
+    docs = rows(documents).select(
+        "row", F.col("row.doc_id").alias("_id"), text_key(F.col("row.text")).alias("_key")
+    )
     docs = docs.withColumn("_no", F.row_number().over(same.orderBy(F.lit(0))))
     taken = mixed.select(
         F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "size", "source_size",
@@ -136,23 +138,28 @@ def apply_mix(documents: DataFrame, mixed: DataFrame) -> DataFrame:
     taken = taken.withColumn("_no", F.row_number().over(same.orderBy(F.desc("taken"))))
     d, t = docs.alias("d"), taken.where(F.col("taken") > 0).alias("t")
     added = ("copy", "size", "source_size", "target", "taken")
-    names = {c: c if c not in documents.columns else f"mix_{c}" for c in added}
+    names = {c: c for c in added}
+    for c in added:
+        while names[c] in documents.columns:
+            names[c] = f"mix_{names[c]}"
     joined = d.join(
         t,
         F.col("d._id").eqNullSafe(F.col("t._id")) & F.col("d._key").eqNullSafe(F.col("t._key"))
         & (F.col("d._no") == F.col("t._no")),
     ).select(
-        *[F.col(f"d.`{c}`") for c in documents.columns],
-        *[F.col(f"t.{c}").alias(names[c]) for c in added[1:]],
-        F.explode(F.sequence(F.lit(1), F.ceil(F.col("t.taken") / F.col("t.size")).cast("int"))).alias(names["copy"]),
+        "row", *[F.col(f"t.{c}").alias(c) for c in added[1:]],
+        F.explode(F.sequence(F.lit(1), F.ceil(F.col("t.taken") / F.col("t.size")).cast("int"))).alias("copy"),
     )
-    size, copy = F.col(names["size"]), F.col(names["copy"])
-    words = F.least(size, F.col(names["taken"]) - (copy - 1) * size)
-    cut = F.array_join(F.slice(F.split("text", WORD_END), 1, words.cast("int")), "")
-    changed = joined.withColumn("_words", words).withColumn(
-        "text", F.when(F.col("_words") < size, cut).otherwise(F.col("text"))
-    ).withColumn(names["taken"], F.col("_words"))
+    words = F.least(F.col("size"), F.col("taken") - (F.col("copy") - 1) * F.col("size"))
+    partly = F.col("_words") < F.col("size")
+    cut = F.array_join(F.slice(F.split("row.text", WORD_END), 1, F.col("_words").cast("int")), "")
+    cut_text = joined.withColumn("_words", words).withColumn(
+        "_text", F.when(partly, cut).otherwise(F.col("row.text"))
+    ).withColumn("taken", F.col("_words"))
+    changed = {"text": F.col("_text")}
     if "n_chars" in documents.columns:
-        length = F.length("text").cast(documents.schema["n_chars"].dataType)
-        changed = changed.withColumn("n_chars", F.when(F.col("_words") < size, length).otherwise(F.col("n_chars")))
-    return changed.select(*documents.columns, *[names[c] for c in added])
+        length = F.length("_text").cast(documents.schema["n_chars"].dataType)
+        changed["n_chars"] = F.when(partly, length).otherwise(F.col("row.n_chars"))
+    return cut_text.select(
+        *columns_of(documents, **changed), *[F.col(c).alias(names[c]) for c in added]
+    )

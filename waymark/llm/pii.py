@@ -73,16 +73,17 @@ def base_spans(text: str) -> list[Span]:
 # --- the random field -------------------------------------------------------------
 
 #: The labelled table: a line is a sequence of words, each `label|word`; words of no
-#: kind stand bare. The default is small and made up.
+#: kind stand bare. The default is small and made up; a test sees to it that no long word
+#: of it stands in the tables that the operators are tested on.
 LABELLED = """
-Anderthering the of Entionsting onthehereding Ererthandthly .
-Ciónciónllja que Laèeaurement de Erberkeitkeit und Öchpfheit .
-Thandering and Ofthenandering it Ouwhanhaealying | Eringering |
-Reéeuxaurement || les Èementtionaller || Ñentoración y Übervereinheit
-CAPITALS AND THERINGATION ALL OVER
-in 4572801887383181 and 6625883203433323 of them
-near 9582442921002355 3950404707173035 the
-or 2071569108560414 | 2675131828899234 and
+Bramblewicket the of Quillharrowing undermossling Fennelcastering .
+Marisqueñador que Laùvreteillage de Glockenzapferei und Öhrenpfützung .
+Kettlemongering and Thistlewadering it Hobblegatherly | Wimplecroft |
+Bécassouillerie || les Éperluetteurs || Ñoquisadura y Überdachsgrube
+CAPITALS AND BRAMBLEWICKETS ALL OVER
+in 8130265974410723 and 7709314458826150 of them
+near 6218840357719046 1147902836650273 the
+or 9906417235804518 | 3352790846617120 and
 the number 123456789012345678 , or 40000000000 units
 please call phone|555-0134-221 after nine .
 call me at phone|(301) phone|555-0175 or write .
@@ -119,7 +120,7 @@ see section 4.2.1 and table 17 .
 he won 6-3 7-5 in 1987
 about 1,250,000 people and 35% of 12,000
 The cat sat on the mat , and the dog slept .
-Of the thering and entionly , it was near the end .
+Of the brackets and lanterns , it was near the end .
 El perro y la casa , por la noche .
 Der Hund und das Haus , am Abend .
 Le chien et la maison , ce soir .

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, for_python, store
+from .common import blocks, columns_of, for_python, rows, store
 
 #: Bytes that the rolling hash sees; a power of two.
 WINDOW = 16
@@ -152,21 +152,21 @@ def drop_repeated(documents: DataFrame, least: int = LEAST) -> DataFrame:
     gone = repeated(documents, least).where("duplicate").groupBy("doc_id", "key").agg(
         F.sort_array(F.collect_set(F.struct("start", "end"))).alias("_gone")
     ).select(F.col("doc_id").alias("_doc"), F.col("key").alias("_key"), "_gone")
-    joined = documents.join(
+    joined = rows(documents).join(
         store(gone, "chunks-gone"),
-        documents["doc_id"].eqNullSafe(F.col("_doc"))
-        & F.xxhash64(documents["text"]).eqNullSafe(F.col("_key")),
+        F.col("row.doc_id").eqNullSafe(F.col("_doc"))
+        & F.xxhash64("row.text").eqNullSafe(F.col("_key")),
         "left",
     )
     n = F.size("_gone")
     # What is left stands between one end and the next start.
     starts = F.concat(F.array(F.lit(0).cast("long")), F.transform("_gone", lambda x: x["end"]))
     ends = F.concat(
-        F.transform("_gone", lambda x: x["start"]), F.array(F.length("text").cast("long"))
+        F.transform("_gone", lambda x: x["start"]), F.array(F.length("row.text").cast("long"))
     )
     pieces = F.zip_with(
         starts, ends,
-        lambda s, e: F.substring("text", (s + 1).cast("int"), (e - s).cast("int")),
+        lambda s, e: F.substring("row.text", (s + 1).cast("int"), (e - s).cast("int")),
     )
-    text = F.when(n > 0, F.array_join(pieces, "")).otherwise(F.col("text"))
-    return joined.withColumn("text", text).select(documents.columns)
+    text = F.when(n > 0, F.array_join(pieces, "")).otherwise(F.col("row.text"))
+    return joined.select(columns_of(documents, text=text))

@@ -107,13 +107,19 @@ def search(
     Each component x counts as floor(256 * x). Ties go to the smaller id. Rows without
     id, null vectors, empty ones, and those with a null or non-finite component take no
     part; vectors meet queries of their own length only; a vector with the query's id
-    is no candidate. Of rows that repeat an id and a vector one counts.
+    is no candidate. Of rows that repeat an id and a vector one counts. A finite component
+    so large that a product of two such vectors might not fit a long fails the search.
     """
+    # dim * largest ** 2 has to stay below 2 ** 63.
+    largest = F.sqrt(F.lit(2.0**62) / F.size(vector_col))
+    wrong = F.raise_error(F.lit("a component is too large for scores of 64 bits")).cast("long")
+
+    def number(x: Column) -> Column:
+        whole = F.floor(x.cast("double") * SCALE)
+        return F.when(F.abs(x.cast("double")) * SCALE > largest, wrong).otherwise(whole.cast("long"))
+
     numbers = lambda df: df.where(F.col(id_col).isNotNull() & _usable(F.col(vector_col))).select(
-        F.col(id_col).cast("long").alias("vec_id"),
-        F.transform(
-            vector_col, lambda x: F.floor(x.cast("double") * SCALE).cast("long")
-        ).alias("v"),
+        F.col(id_col).cast("long").alias("vec_id"), F.transform(vector_col, number).alias("v"),
         F.size(vector_col).alias("dim"),
     ).dropDuplicates(["vec_id", "v"])
     index = store(

@@ -29,7 +29,6 @@ LABELLED = """
 1 freeslots.example.com
 1 poker-bets.example.org
 1 bets-online.example.com
-1 free-bets-now.example.com
 1 sport-bets.example.net
 1 win-prize.example.com
 1 adult-cams.example.com
@@ -47,12 +46,12 @@ LABELLED = """
 1 bank-update-login.example.org
 1 spam-links.example.com
 1 spam-blog.example.org
-1 farm-spam.example.com
-1 cheap-pills-online.example.com
-1 win-casino.example.com
 1 track-ads.example.com
-1 adult-x-club.example.org
 1 spam-mails.example.net
+1 bonus-slots.example.org
+1 pharmacy-pills.example.com
+1 now-betting.example.net
+1 club-xxx.example.com
 1 link-farm.example.org
 1 content-farm.example.com
 1 click-farm.example.net
@@ -86,7 +85,6 @@ LABELLED = """
 0 garden.example.com
 0 travel.example.net
 0 books.reader.example.org
-0 thering.example.org
 0 other.example.com
 0 theory.example.net
 0 therein.example.com
@@ -102,7 +100,6 @@ LABELLED = """
 0 bother.example.net
 0 height.example.com
 0 anthem.example.org
-0 than.example.org
 0 thank.example.com
 0 thousands.example.org
 0 then.example.com
@@ -111,11 +108,13 @@ LABELLED = """
 0 these.example.org
 0 wander.example.com
 0 wednesday.example.org
-0 tion.example.org
 0 threnody.example.com
 0 thorn.example.net
 0 tiger.example.com
 0 stone.example.org
+0 gathering.example.com
+0 action.example.net
+0 bakery.example.org
 """
 
 
