@@ -67,27 +67,21 @@ def chunks(text: Column) -> Column:
 def index_terms(text: Column) -> Column:
     """`array<struct<term, pos>>`: the terms of a text with their positions, and
     each hyphenated word once more as a whole, at the position of its start."""
-    item = "struct<term:string,pos:int>"
-    start = F.struct(
-        F.lit(0).alias("next"),
-        F.array().cast(f"array<{item}>").alias("items"),
-    )
-
-    def add(acc: Column, chunk: Column) -> Column:
-        parts = F.split(chunk, "-")
-        plain = F.transform(
-            parts, lambda p, i: F.struct(p.alias("term"), (acc["next"] + i).alias("pos"))
-        )
-        whole = F.when(
-            F.size(parts) > 1,
-            F.array(F.struct(chunk.alias("term"), acc["next"].alias("pos"))),
-        ).otherwise(F.array().cast(f"array<{item}>"))
-        return F.struct(
-            (acc["next"] + F.size(parts)).alias("next"),
-            F.concat(acc["items"], plain, whole).alias("items"),
-        )
-
-    return F.aggregate(chunks(text), start, add, lambda acc: acc["items"])
+    # Each part of a chunk, the last with the whole where there are several; then the place
+    # of a part in the flat list is its position. Linear in the length of the text.
+    def parts(chunk: Column) -> Column:
+        words = F.split(chunk, "-")
+        last = F.size(words) - 1
+        return F.transform(words, lambda w, i: F.struct(
+            w.alias("term"), F.when((i == last) & (last > 0), chunk).alias("whole"), last.alias("last")
+        ))
+
+    def placed(part: Column, i: Column) -> Column:
+        plain = F.struct(part["term"].alias("term"), i.alias("pos"))
+        whole = F.struct(part["whole"].alias("term"), (i - part["last"]).alias("pos"))
+        return F.when(part["whole"].isNull(), F.array(plain)).otherwise(F.array(plain, whole))
+
+    return F.flatten(F.transform(F.flatten(F.transform(chunks(text), parts)), placed))
 
 
 def count_spaces(text: Column) -> Column:
