@@ -19,16 +19,39 @@ from waymark.plans.stage import stage_root
 _shipped: set[str] = set()
 
 
+#: Spark's setting by which the shuffle files of a query go when the query has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def store(df: DataFrame, name: str) -> DataFrame:
     """Write `df` as a table in the shared folder and read it back: the lineage ends
-    there, and the loss of an executor costs no earlier work."""
+    there, and the loss of an executor costs no earlier work. Nothing reads the shuffle files
+    of the write after it, so they go at once."""
     spark = df.sparkSession
     path = "/".join(
         [stage_root(spark), "llm", spark.sparkContext.applicationId,
          f"{name}-{uuid.uuid4().hex}"]
     )
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored._path = path
+    return stored
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables made by `store` that nothing reads any more."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table._path)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def rows(documents: DataFrame) -> DataFrame:

@@ -4,7 +4,6 @@ recall, exact verification, and components of which one line stays."""
 from __future__ import annotations
 
 import functools
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,15 +21,14 @@ CHARS = 5
 BANDS, ROWS = 10, 3
 PERCENT = 80
 LEVELS = 4
-#: Hashes that are put in order at a time, about.
+#: Characters that are hashed at a time, about.
 CACHED = 1 << 14
-SPACE = re.compile(r"\s+")
 _A = 0x9E3779B97F4A7C15
-_ODD = np.random.default_rng(77).integers(1, 2**63, 2 * LANES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_ODD = np.random.default_rng(77).integers(0, 2**31, 2 * LANES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
 
 def normal(line: str) -> str:
-    return SPACE.sub(" ", line).strip().lower()
+    return " ".join(line.split()).lower()
 
 
 def _shift(h: np.ndarray, other: np.ndarray, by: int) -> np.ndarray:
@@ -43,6 +41,16 @@ def _shift(h: np.ndarray, other: np.ndarray, by: int) -> np.ndarray:
 def signatures(lines: list[str]) -> np.ndarray:
     """2 * LANES minwise values of the shingles of each of `lines`, none of them empty. A
     line of fewer than CHARS characters is one shingle, filled up with marks."""
+    # Some lines at a time, whose hashes stay in the processor's cache.
+    parts = [_least(some) for _, some in blocks(lines, CACHED)]
+    # The low bits make the sketch.
+    out = np.concatenate(parts).astype(np.uint64) * np.uint64(_A)
+    out = (out ^ (out >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return out ^ (out >> np.uint64(32))
+
+
+def _least(lines: list[str]) -> np.ndarray:
+    """The least values of `lines` in 2 * LANES orders of 32 bits."""
     padded = [x + "\0" * (CHARS - len(x)) for x in lines]
     joined = "".join(padded).encode("utf-32-le", "surrogatepass")
     one = np.frombuffer(joined, dtype=np.uint32).astype(np.uint64) + np.uint64(1)
@@ -50,29 +58,21 @@ def signatures(lines: list[str]) -> np.ndarray:
     four = _shift(two, two, 2)
     five = _shift(four, one, 4)  # CHARS
     five = (five ^ (five >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    five ^= five >> np.uint64(29)
     length = np.array([len(x) for x in padded])
     end = np.cumsum(length)
-    # Windows that reach into the next line count as that line's last real window does.
-    last = end - CHARS
-    inside = np.arange(len(five)) <= np.repeat(last, length)[: len(five)]
-    kept = five[inside]
+    # Windows that reach into the next line are left out.
+    over = (end[:-1, None] - np.arange(1, CHARS)).ravel()
+    inside = np.ones(len(five), dtype=bool)
+    inside[over] = False
+    kept = (five[inside] >> np.uint64(32)).astype(np.uint32)
     # Every value is the least of an order of its own: a short line's values are as
     # independent as a long one's, which the sketch filter and the bands build on.
     count = length - CHARS + 1
     first = np.cumsum(count) - count
-    out = np.empty((len(lines), 2 * LANES), dtype=np.uint64)
-    # Some lines at a time, whose hashes stay in the processor's cache.
-    part = np.searchsorted(first, np.arange(0, len(kept), CACHED))
-    for low, high in zip(part, np.append(part[1:], len(lines)), strict=True):
-        if low < high:
-            stop = first[high] if high < len(lines) else len(kept)
-            some, at = kept[first[low] : stop], first[low:high] - first[low]
-            for i, odd in enumerate(_ODD):
-                out[low:high, i] = np.minimum.reduceat(some * odd, at)
-    # The low bits make the sketch.
-    out = (out ^ (out >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return out ^ (out >> np.uint64(32))
+    out = np.empty((2 * LANES, len(lines)), dtype=np.uint32)
+    for i, odd in enumerate(_ODD):
+        out[i] = np.minimum.reduceat(kept * odd, first)
+    return out.T
 
 
 def lines_of(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Links between similar sets, and what they connect, without all pairs of a group.
 
-Candidates come as memberships in nodes: two members of a node may be similar. A node is
+Candidates come as memberships in nodes: two members of a node may be similar. The pairs of
+a node of a few members are compared at once. Any other node is
 searched in two steps. Every member is compared with a few pivots; that connects most
 of a group of copies by a few times as many pairs as it has members. Then, of the members that are
 not connected yet, all pairs are compared: one by one if few of them can be similar, else
@@ -19,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import for_python, store
+from .common import for_python, release, store
 
 #: The sketches of a node's unconnected pairs are compared if there are at most so many for
 #: each member, and if at most so many of these are expected to pass.
@@ -32,6 +33,8 @@ BLOCK, ELEMENTS = 512, 1 << 20
 COLUMNS = 2048
 #: Members of a node that all the others are compared with.
 PIVOTS = 4
+#: All pairs of a node of at most so many members are compared: no more than with pivots.
+FEW = 8
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -59,7 +62,8 @@ def components(edges: DataFrame) -> DataFrame:
             F.col("v").alias("u"), F.col("m").alias("v")
         ).where(F.col("u") != F.col("v")).unionByName(low.select("u", F.col("m").alias("v")))
         small = small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        e = store(small.distinct(), "cc-small")
+        old, e = e, store(small.distinct(), "cc-small")
+        release(old, large)
     ends = e.select(F.col("u").alias("node"), F.col("v").alias("root")).distinct()
     return ends.unionByName(ends.select(F.col("root").alias("node"), "root").distinct())
 
@@ -144,12 +148,28 @@ def link(
         crowded = members.groupBy("node").agg(
             F.min("id").alias("low"), F.max("id").alias("high"), F.count(F.lit(1)).alias("size")
         ).where(F.col("low") < F.col("high")).select("node", "size")
-        crowd = store(members.join(crowded, "node").distinct(), "link-nodes")
-        # What most members resemble is met in many large nodes: it makes a good pivot.
-        fame = crowd.groupBy("id").agg(F.sum("size").alias("fame"))
+        nodes = store(members.join(crowded, "node").distinct(), "link-nodes")
+        if level > 1:
+            release(members)
         info = F.struct("n", "s1", "s2").alias("info")
-        crowd = crowd.join(infos.join(fame, "id").select("id", info, "fame"), "id")
+        small = nodes.where(F.col("size") <= FEW).join(infos.select("id", info), "id")
+        one, two = small.alias("x"), small.alias("y")
+        search.add(
+            one.join(
+                two,
+                (F.col("x.node") == F.col("y.node")) & (F.col("x.id") < F.col("y.id"))
+                & compatible(F.col("x.info"), F.col("y.info"), percent, differ),
+            ).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+        )
+        large = nodes.where(F.col("size") > FEW)
+        # What most members resemble is met in many large nodes: it makes a good pivot.
+        fame = large.groupBy("id").agg(F.sum("size").alias("fame"))
+        crowd = large.join(infos.join(fame, "id").select("id", info, "fame"), "id")
         crowd = store(crowd.select("node", "id", "fame", "info"), "link-crowd")
+        release(nodes)
+        if crowd.isEmpty():
+            release(crowd)
+            return search.known()
         pivots = crowd.groupBy("node", F.pmod(F.xxhash64("id"), F.lit(PIVOTS)).alias("turn")).agg(
             F.max(F.struct("fame", "id", "info")).alias("p")
         ).select("node", F.col("p.id").alias("pivot"), F.col("p.info").alias("pivot_info"))
@@ -186,6 +206,7 @@ def link(
             ),
             "link-open",
         )
+        release(crowd)
         few = work.where(F.col("way") == "pairs")
         one, two = few.alias("x"), few.where(F.col("part") != F.col("main")).alias("y")
         # One of a pair is outside the node's main part; if both are, the pair is met once.
@@ -204,8 +225,10 @@ def link(
             search.join(_by_blocks(dense, whole(dense.select("id")), decode, percent))
         many = work.where(F.col("way") == "branch")
         if level >= levels or many.isEmpty():
+            release(work)
             return search.known()
         members = store(branch(many.select("node", "id"), level).distinct(), "link-members")
+        release(work)
         level += 1
 
 
