@@ -9,11 +9,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import blocks, columns_of, for_python, placed, rows, rows_of, store
-from .linking import LANE_BITS, LANES, link, sketches
+from .linking import LANE_BITS, LANES, draws, link, sketches
 
 #: Characters of a shingle, of the line in lower case with single spaces.
 CHARS = 5
@@ -153,18 +153,17 @@ def classes(
     )
 
     def branch(many: DataFrame, level: int) -> DataFrame:
-        # One lane of the sketch is selected, and a second one in a share of cases.
-        lane = lambda i: F.pmod(F.xxhash64("node", F.lit(f"{level}:{i}")), F.lit(2 * LANES)).cast("int")
-        second = F.pmod(F.xxhash64("node", F.lit(f"{level}:more")), F.lit(10_000)) < int(
-            10_000 * (100 / percent - 1)
-        )
-        chosen = F.when(second, F.array(lane(0), lane(1))).otherwise(F.array(lane(0)))
-        part = many.join(infos, "id").select("node", "id", "s1", "s2", F.explode(chosen).alias("i"))
-        value = F.when(F.col("i") < LANES, F.col("s1")).otherwise(F.col("s2"))
-        bits = F.call_function("shiftrightunsigned", value, F.pmod("i", F.lit(LANES)) * LANE_BITS)
-        return part.select(
-            F.xxhash64("node", "i", bits.bitwiseAND(F.lit((1 << LANE_BITS) - 1))).alias("node"), "id"
-        )
+        # The lanes of the sketch are the minwise values that are selected.
+        def bits(i: Column) -> Column:
+            value = F.when(i < LANES, F.col("s1")).otherwise(F.col("s2"))
+            shift = (F.pmod(i, F.lit(LANES)) * LANE_BITS).cast("int")
+            moved = F.call_function("shiftrightunsigned", value, shift)
+            return moved.bitwiseAND(F.lit((1 << LANE_BITS) - 1))
+
+        return many.join(infos, "id").select(
+            "node", "id", "s1", "s2",
+            F.explode(draws(level, percent, 2 * LANES)).alias("places"),
+        ).select(F.xxhash64("node", "places", F.transform("places", bits)).alias("node"), "id")
 
     fetched: list[DataFrame] = []
 

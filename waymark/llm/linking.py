@@ -5,9 +5,8 @@ a node of a few members are compared at once. Any other node is
 searched in two steps. Every member is compared with a few pivots; that connects most
 of a group of copies by a few times as many pairs as it has members. Then, of the members that are
 not connected yet, all pairs are compared: one by one if few of them can be similar, else
-block by block, where a task holds two blocks of whole sets and gives only the links that
-connect something new. A node too large for that is branched further and its children are
-searched in the same way.
+as a block of whole sets, of which a task gives only the links that connect something new. A
+node too large for that is branched further and its children are searched in the same way.
 """
 
 from __future__ import annotations
@@ -24,11 +23,16 @@ from .common import for_python, release, store
 
 #: The sketches of a node's unconnected pairs are compared if there are at most so many for
 #: each member, and if at most so many of these are expected to pass.
-PAIRS_PER_MEMBER, PASSING_PER_MEMBER = 1024, 8
-#: Otherwise a node of at most so many members is compared block by block.
-DENSE = 8192
-#: Members of a block, and elements of their sets, on average at most.
+PAIRS_PER_MEMBER, PASSING_PER_MEMBER = 512, 8
+#: Members of a block, and elements of their sets, on average at most. Nodes of one block are
+#: compared whole, larger ones branch.
 BLOCK, ELEMENTS = 512, 1 << 20
+#: A branch selects as many minwise values together as make children of so many members
+#: likely, but no more than STEPS.
+CHILD, STEPS = 128, 8
+#: Children in which two members of the least similarity meet again, on average: they
+#: meet in one at least with a probability of 1 - exp(-MEETINGS).
+MEETINGS = 2.0
 #: Elements whose occurrences are multiplied at a time.
 COLUMNS = 2048
 #: Members of a node that all the others are compared with.
@@ -123,6 +127,19 @@ def allowed(percent: int, lost: float = 1e-5) -> int:
     return k
 
 
+def draws(level: int, percent: int, values: int) -> Column:
+    """The places, among so many minwise values, that each child of a node (node, steps)
+    selects: arrays of `steps` places, as many as let similar members meet MEETINGS times."""
+    expected = F.lit(MEETINGS) * F.pow(F.lit(100 / percent), F.col("steps"))
+    chance = F.pmod(F.xxhash64("node", F.lit(f"{level}:more")), F.lit(10_000)) / 10_000
+    children = F.floor(expected + chance).cast("int")
+    place = lambda i, j: F.pmod(F.xxhash64("node", F.lit(level), i, j), F.lit(values)).cast("int")
+    return F.transform(
+        F.sequence(F.lit(1), children),
+        lambda i: F.transform(F.sequence(F.lit(1), F.col("steps")), lambda j: place(i, j)),
+    )
+
+
 def link(
     members: DataFrame,
     infos: DataFrame,
@@ -138,7 +155,8 @@ def link(
     members: node, id. infos: id, n, s1, s2 (`sketches`). `verify` keeps the similar of
     distinct pairs (a, b). `whole` gives id, body, weight (about the elements) of ids (id),
     and `decode` makes the sets of bodies, as arrays of numbers that agree within one call.
-    `branch` gives the memberships in the children of nodes (node, id) at a level; past
+    `branch` gives the memberships in the children of nodes (node, id, steps) at a level, by
+    the places of `draws`; past
     `levels` all unconnected pairs of a node are compared, however many. Similar means a
     Jaccard similarity of `percent` or more.
     """
@@ -176,7 +194,13 @@ def link(
         near = crowd.select("node", "id", "info").join(pivots, "node").where(
             F.col("id") != F.col("pivot")
         ).withColumn("near", compatible(F.col("info"), F.col("pivot_info"), percent, differ))
-        share = near.groupBy("node").agg(F.avg(F.col("near").cast("double")).alias("share"))
+        apart = (
+            _differing(F.col("info.s1"), F.col("pivot_info.s1"))
+            + _differing(F.col("info.s2"), F.col("pivot_info.s2"))
+        ) / (2 * LANES * (1 - 2.0**-LANE_BITS))
+        share = near.groupBy("node").agg(
+            F.avg(F.col("near").cast("double")).alias("share"), F.avg(apart).alias("apart")
+        )
         star = near.where("near").select(
             F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")
         )
@@ -196,13 +220,18 @@ def link(
         few = (F.col("open") <= F.col("size") * PAIRS_PER_MEMBER) & (
             passing <= F.col("size") * PASSING_PER_MEMBER
         )
-        dense = (F.col("size") <= DENSE) | F.lit(level >= levels)
+        dense = (F.col("size") <= BLOCK) | F.lit(level >= levels)
+        # Of members with a similarity of s, a share of sqrt(s) can agree in one value.
+        alike = F.least(F.greatest(1 - F.col("apart"), F.lit(0.01)), F.lit(0.95))
+        steps = F.ceil(F.log(F.col("size") / CHILD) / (-0.5 * F.log(alike)))
         left = left.where(F.col("open") > 0).join(share, "node").withColumn(
             "way", F.when(few, "pairs").when(dense, "blocks").otherwise("branch")
+        ).withColumn(
+            "steps", F.least(F.greatest(steps, F.lit(1)), F.lit(STEPS)).cast("int")
         )
         work = store(
-            placed.join(left.select("node", "main", "way"), "node").select(
-                "node", "id", "part", "main", "way", "info"
+            placed.join(left.select("node", "main", "way", "steps"), "node").select(
+                "node", "id", "part", "main", "way", "steps", "info"
             ),
             "link-open",
         )
@@ -227,7 +256,7 @@ def link(
         if level >= levels or many.isEmpty():
             release(work)
             return search.known()
-        members = store(branch(many.select("node", "id"), level).distinct(), "link-members")
+        members = store(branch(many.select("node", "id", "steps"), level).distinct(), "link-members")
         release(work)
         level += 1
 

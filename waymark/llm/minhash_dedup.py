@@ -2,8 +2,8 @@
 
 Each of several independent trees sends a document down to the node of the minwise token
 that the tree's root selects. Small nodes are compared exhaustively; a crowded node
-branches by further minwise tokens, which it selects itself, one or two of them, such that
-similar documents go on together once on average.
+branches by paths of further minwise tokens, which it selects itself, several tokens at a time
+and so many paths that similar documents go on together in two of them on average.
 """
 
 from __future__ import annotations
@@ -18,14 +18,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import blocks, columns_of, for_python, placed, rows, rows_of, store
-from .linking import link, sketches
+from .linking import draws, link, sketches
 
 #: Words of a shingle.
 WORDS = 5
 #: Minwise tokens of a document; the roots of the trees select the first of them.
 TOKENS = 32
 TREES = 10
-LEVELS = 24
+LEVELS = 6
 _ODD = np.random.default_rng(20240607).integers(1, 2**63, TOKENS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -133,15 +133,13 @@ def classes(
     )
 
     def branch(many: DataFrame, level: int) -> DataFrame:
-        # A node's hash selects one token, and a second one in 100 / percent - 1 of cases.
         joined = many.join(sets.select("id", "tokens"), "id")
-        draw = lambda i: F.pmod(F.xxhash64("node", F.lit(f"{level}:{i}")), F.lit(TOKENS))
-        second = F.pmod(F.xxhash64("node", F.lit(f"{level}:more")), F.lit(10_000)) < int(
-            10_000 * (100 / percent - 1)
-        )
-        chosen = F.when(second, F.array(draw(0), draw(1))).otherwise(F.array(draw(0)))
-        return joined.select("node", "id", "tokens", F.explode(chosen).alias("i")).select(
-            F.xxhash64("node", "i", F.element_at("tokens", (F.col("i") + 1).cast("int"))).alias("node"),
+        return joined.select(
+            "node", "id", "tokens", F.explode(draws(level, percent, TOKENS)).alias("places")
+        ).select(
+            F.xxhash64(
+                "node", "places", F.transform("places", lambda i: F.get("tokens", i))
+            ).alias("node"),
             "id",
         )
 
