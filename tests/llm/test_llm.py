@@ -172,6 +172,26 @@ def test_short_similar_lines_pass_the_sketch():
         assert (~bands.any(axis=1)).mean() < 0.003 and 0.79 < (x == y).mean() < 0.81
 
 
+@pytest.mark.parametrize(
+    "letters",
+    ["ab ", "abcdefghij klmno", "".join(map(chr, range(0x4E00, 0x9000))) + " \U0001F600"],
+)
+def test_exact_similarity_of_lines(letters):
+    draw = random.Random(len(letters))
+    x = ["a" + "".join(draw.choices(letters, k=draw.choice([0, 1, 3, 4, 20, 300]))) for _ in range(200)]
+    y = []
+    for line in x:
+        changed = list(line)
+        for _ in range(draw.choice([0, 1, 3])):
+            changed[draw.randrange(len(changed))] = draw.choice(letters.strip())
+        y.append("".join(changed))
+    sets = [(line_dedup._shingles(a), line_dedup._shingles(b)) for a, b in zip(x, y, strict=True)]
+    want = [100 * len(a & b) >= 80 * len(a | b) for a, b in sets]
+    assert line_dedup.similar(x, y, 80).tolist() == want and 0 < sum(want) < len(want)
+    code, bounds = line_dedup.shingle_sets(x)
+    assert np.diff(bounds).tolist() == [len(a) for a, _ in sets]
+
+
 def test_lines_dropped(docs):
     left = {r.doc_id: r.text for r in line_dedup.drop_repeated(docs).collect()}
     assert left[0] == texts()[0] and 3 not in left and left[4] is None and left[5] == ""

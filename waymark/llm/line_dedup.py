@@ -21,8 +21,12 @@ CHARS = 5
 BANDS, ROWS = 10, 3
 PERCENT = 80
 LEVELS = 4
+#: All pairs of a bucket of so many lines are compared by their sketches.
+FEW = 32
 #: Characters that are hashed at a time, about.
 CACHED = 1 << 14
+#: Characters of the pairs that are compared at a time, about.
+PAIRED = 1 << 18
 _A = 0x9E3779B97F4A7C15
 _ODD = np.random.default_rng(77).integers(0, 2**31, 2 * LANES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
@@ -188,12 +192,10 @@ def classes(
         return _similar(pairs, known, percent)
 
     def decode(bodies: list) -> list[np.ndarray]:
-        numbers: dict[str, int] = {}
-        return [
-            np.array([numbers.setdefault(s, len(numbers)) for s in _shingles(x)]) for x in bodies
-        ]
+        code, bounds = shingle_sets(bodies)
+        return np.split(code, bounds[1:-1])
 
-    found = link(members, infos, verify, whole, decode, branch, percent, LEVELS)
+    found = link(members, infos, verify, whole, decode, branch, percent, LEVELS, FEW)
     part = equal.join(found.withColumnRenamed("node", "d1"), "d1", "left").withColumn(
         "root", F.coalesce("root", "d1")
     )
@@ -210,10 +212,71 @@ def classes(
 
 
 def _shingles(line: str) -> set[str]:
+    """What `shingle_sets` holds of one line, as text."""
     x = normal(line)
     return {x[i : i + CHARS] for i in range(max(1, len(x) - CHARS + 1))}
 
 
+def shingle_sets(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The different shingles of all `lines`, those of one line side by side and in order,
+    as numbers that agree between lines, and the place where each line's begin and end.
+    Numbers are made of the places of the characters among those that occur, so different
+    shingles never share one."""
+    # No normal line holds a line break: it fills up lines that are shorter than a shingle.
+    padded = [x + "\n" * (CHARS - len(x)) for x in map(normal, lines)]
+    points = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    length = np.array([len(x) for x in padded], dtype=np.int64)
+    owner = np.repeat(np.arange(len(padded)), length)
+    end = np.cumsum(length)
+    inside = np.ones(len(points), dtype=bool)
+    inside[(end[:, None] - np.arange(1, CHARS)).ravel()] = False
+    letters = np.bincount(points) > 0
+    one = (np.cumsum(letters) - 1)[points]
+    at, kinds = np.flatnonzero(inside), int(letters.sum())
+    code, total = one[at], kinds
+    for i in range(1, CHARS):
+        code, total = _room(code, total, kinds)
+        code, total = code * kinds + one[at + i], total * kinds
+    code, total = _room(code, total, len(padded) + 1)
+    keys = np.sort(owner[at] * total + code)
+    keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])]
+    return keys % total, np.searchsorted(keys, np.arange(len(padded) + 1) * total)
+
+
+def _room(code: np.ndarray, total: int, times: int) -> tuple[np.ndarray, int]:
+    """Numbers below `total` that may be multiplied by `times`: their ranks, if need be."""
+    if total * times < 1 << 62:
+        return code, total
+    different, code = np.unique(code, return_inverse=True)
+    return code, len(different)
+
+
+def similar(x: list[str], y: list[str], percent: int) -> np.ndarray:
+    """Whether each line of `x` and the one of `y` at its place have a Jaccard similarity of
+    `percent` or more."""
+    number: dict[str, int] = {}
+    one = np.array([number.setdefault(t, len(number)) for t in x])
+    two = np.array([number.setdefault(t, len(number)) for t in y])
+    code, bounds = shingle_sets(list(number))
+    size = np.diff(bounds)
+    total = int(code.max()) + 1
+    # Sizes may rule a pair out; the shingles of the others' smaller line are looked up in
+    # the larger one's.
+    low, high = np.where(size[one] <= size[two], (one, two), (two, one))
+    near = np.flatnonzero(100 * size[low] >= percent * size[high])
+    count = size[low[near]]
+    first = np.cumsum(count) - count
+    asked = code[np.arange(count.sum()) + np.repeat(bounds[low[near]] - first, count)]
+    keys = np.repeat(np.arange(len(size)), size) * total + code
+    wanted = np.repeat(high[near], count) * total + asked
+    place = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    met = np.concatenate([[0], np.cumsum(keys[place] == wanted)])
+    shared = met[first + count] - met[first]
+    out = np.zeros(len(x), dtype=bool)
+    out[near] = 100 * shared >= percent * (count + size[high[near]] - shared)
+    return out
+
+
 def _similar(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
     both = pairs.join(
         lines.select(F.col("id").alias("a"), F.col("body").alias("x")), "a"
@@ -221,12 +284,11 @@ def _similar(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
 
     @F.pandas_udf("boolean")
     def enough(x: pd.Series, y: pd.Series) -> pd.Series:
-        out, sets = [], {t: _shingles(t) for t in {*x, *y}}
-        for one, two in zip(x, y, strict=True):
-            p, q = sets[one], sets[two]
-            shared = len(p & q)
-            out.append(100 * shared >= percent * (len(p) + len(q) - shared))
-        return pd.Series(out, dtype=bool)
+        one, two, out = x.tolist(), y.tolist(), []
+        for at, some in blocks([p + q for p, q in zip(one, two, strict=True)], PAIRED):
+            end = at + len(some)
+            out.append(similar(one[at:end], two[at:end], percent))
+        return pd.Series(np.concatenate(out) if out else [], dtype=bool)
 
     return for_python(both).where(enough("x", "y")).select("a", "b")
 

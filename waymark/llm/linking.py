@@ -149,6 +149,7 @@ def link(
     branch: Callable[[DataFrame, int], DataFrame],
     percent: int,
     levels: int,
+    few: int = FEW,
 ) -> DataFrame:
     """node, root of every linked id: components of the similar ids that meet in nodes.
 
@@ -157,7 +158,8 @@ def link(
     and `decode` makes the sets of bodies, as arrays of numbers that agree within one call.
     `branch` gives the memberships in the children of nodes (node, id, steps) at a level, by
     the places of `draws`; past
-    `levels` all unconnected pairs of a node are compared, however many. Similar means a
+    `levels` all unconnected pairs of a node are compared, however many. All pairs of nodes
+    of up to `few` members are compared by their sketches. Similar means a
     Jaccard similarity of `percent` or more.
     """
     level, differ = 1, allowed(percent)
@@ -170,7 +172,7 @@ def link(
         if level > 1:
             release(members)
         info = F.struct("n", "s1", "s2").alias("info")
-        small = nodes.where(F.col("size") <= FEW).join(infos.select("id", info), "id")
+        small = nodes.where(F.col("size") <= few).join(infos.select("id", info), "id")
         one, two = small.alias("x"), small.alias("y")
         search.add(
             one.join(
@@ -179,7 +181,7 @@ def link(
                 & compatible(F.col("x.info"), F.col("y.info"), percent, differ),
             ).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
         )
-        large = nodes.where(F.col("size") > FEW)
+        large = nodes.where(F.col("size") > few)
         # What most members resemble is met in many large nodes: it makes a good pivot.
         fame = large.groupBy("id").agg(F.sum("size").alias("fame"))
         crowd = large.join(infos.join(fame, "id").select("id", info, "fame"), "id")
@@ -217,7 +219,7 @@ def link(
             F.max_by("part", F.struct("k", "part")).alias("main"),
         ).withColumn("open", (F.col("size") * F.col("size") - F.col("squares")) / 2)
         passing = F.col("open") * F.col("share")
-        few = (F.col("open") <= F.col("size") * PAIRS_PER_MEMBER) & (
+        sparse = (F.col("open") <= F.col("size") * PAIRS_PER_MEMBER) & (
             passing <= F.col("size") * PASSING_PER_MEMBER
         )
         dense = (F.col("size") <= BLOCK) | F.lit(level >= levels)
@@ -225,7 +227,7 @@ def link(
         alike = F.least(F.greatest(1 - F.col("apart"), F.lit(0.01)), F.lit(0.95))
         steps = F.ceil(F.log(F.col("size") / CHILD) / (-0.5 * F.log(alike)))
         left = left.where(F.col("open") > 0).join(share, "node").withColumn(
-            "way", F.when(few, "pairs").when(dense, "blocks").otherwise("branch")
+            "way", F.when(sparse, "pairs").when(dense, "blocks").otherwise("branch")
         ).withColumn(
             "steps", F.least(F.greatest(steps, F.lit(1)), F.lit(STEPS)).cast("int")
         )
@@ -236,8 +238,8 @@ def link(
             "link-open",
         )
         release(crowd)
-        few = work.where(F.col("way") == "pairs")
-        one, two = few.alias("x"), few.where(F.col("part") != F.col("main")).alias("y")
+        sparse = work.where(F.col("way") == "pairs")
+        one, two = sparse.alias("x"), sparse.where(F.col("part") != F.col("main")).alias("y")
         # One of a pair is outside the node's main part; if both are, the pair is met once.
         pairs = one.join(
             two,
