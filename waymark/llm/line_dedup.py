@@ -8,11 +8,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, columns_of, for_python, placed, rows, rows_of, store
+from .common import blocks, columns_of, for_python, rows, rows_of, store
 from .linking import LANE_BITS, LANES, draws, link, sketches
 
 #: Characters of a shingle, of the line in lower case with single spaces.
@@ -24,7 +25,7 @@ LEVELS = 4
 #: All pairs of a bucket of so many lines are compared by their sketches.
 FEW = 32
 #: Characters that are hashed at a time, about.
-CACHED = 1 << 14
+CACHED = 1 << 17
 #: Characters of the pairs that are compared at a time, about.
 PAIRED = 1 << 18
 _A = 0x9E3779B97F4A7C15
@@ -88,10 +89,10 @@ def lines_of(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
         F.col(text_col).alias("text"),
     ).where(F.col("text").isNotNull())
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, keys = batch["doc_id"].array, batch["key"].to_numpy()
-            for at, some in blocks(batch["text"].tolist()):
+            ids, keys = batch.column("doc_id").cast(pa.int64()), batch.column("key")
+            for at, some in blocks(batch.column("text").to_pylist()):
                 owner, number, place, known = [], [], [], {}
                 for i, text in enumerate(some):
                     for k, line in enumerate(text.split("\n")):
@@ -108,27 +109,31 @@ def lines_of(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     dtype=np.int64,
                 ).reshape(-1, 2)
                 values = signatures(different)
-                s1, s2 = sketches(values)
                 bands = np.zeros((len(values), BANDS), dtype=np.uint64)
                 for r in range(ROWS):
                     bands = (bands ^ values[:, r : ROWS * BANDS : ROWS]) * np.uint64(_A)
                     bands ^= bands >> np.uint64(32)
                 bands += np.arange(BANDS, dtype=np.uint64)
-                place_ = np.array(place)
-                rows = pd.DataFrame({
-                    "doc_id": ids[owner], "key": keys[owner],
-                    "line_no": np.array(number, dtype=np.int64),
-                    "d1": digest[place_, 0], "d2": digest[place_, 1],
-                })
-                new = np.unique(place_, return_index=True)[1]
-                rows["bands"] = placed(list(bands.view(np.int64)), new, len(rows))
-                for name, x in (("s1", s1), ("s2", s2)):
-                    column = np.zeros(len(rows), dtype=np.int64)
+                place_, owner_ = np.array(place), pa.array(owner, pa.int64())
+                # Lines are numbered as they come: a number above all before is a new one.
+                new = place_ > np.concatenate([[-1], np.maximum.accumulate(place_)[:-1]])
+                sketch = [np.zeros(len(place), dtype=np.int64) for _ in range(2)]
+                for column, x in zip(sketch, sketches(values), strict=True):
                     column[new] = x
-                    rows[name] = column
-                yield rows
-
-    return docs.mapInPandas(
+                ends = np.concatenate([[0], np.cumsum(new) * BANDS]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        ids.take(owner_), keys.take(owner_), pa.array(number, pa.int64()),
+                        pa.array(digest[place_, 0]), pa.array(digest[place_, 1]),
+                        pa.ListArray.from_arrays(
+                            pa.array(ends), pa.array(bands.view(np.int64).ravel()), mask=pa.array(~new)
+                        ),
+                        *map(pa.array, sketch),
+                    ],
+                    names=["doc_id", "key", "line_no", "d1", "d2", "bands", "s1", "s2"],
+                )
+
+    return docs.mapInArrow(
         run,
         "doc_id long, key long, line_no long, d1 long, d2 long, bands array<long>, s1 long, s2 long",
     )
