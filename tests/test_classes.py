@@ -68,3 +68,12 @@ def test_look_ups_do_not_grow_with_documents(spark, monkeypatch):
         assert hits.count() == 120
         sums.append(sum(looked_up))
     assert sums[1] < 2 * sums[0], sums
+
+
+def test_terms_need_no_postings(spark, monkeypatch):
+    written = []
+    stage = matching.stage
+    monkeypatch.setattr(matching, "stage", lambda df, name, *m: written.append(name) or stage(df, name, *m))
+    index = build_index(spark.createDataFrame(_docs(20), DOCS))
+    assert index.terms.count() > 20 and written == ["index-docs", "index-terms"]
+    assert index.postings.count() > 0 and "index-postings" in written
