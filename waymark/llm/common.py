@@ -54,6 +54,14 @@ def release(*tables: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def together(tables: list[DataFrame]) -> DataFrame:
+    """The rows of tables of one schema made by `store`, by one scan of all their files: a
+    union would have a scan for each, and the driver plans, describes and compiles all of them again
+    with every query on it."""
+    reader = tables[0].sparkSession.read.schema(tables[0].schema)
+    return reader.parquet(*[t._path for t in tables])
+
+
 def rows(documents: DataFrame) -> DataFrame:
     """`documents` as one column `row`, so that its names cannot meet working names."""
     return documents.select(F.struct(*[documents[f"`{c}`"] for c in documents.columns]).alias("row"))

@@ -3,7 +3,6 @@ recall, exact verification, and components of which one line stays."""
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, columns_of, for_python, rows, rows_of, store
+from .common import blocks, columns_of, for_python, rows, rows_of, store, together
 from .linking import LANE_BITS, LANES, draws, link, sketches
 
 #: Characters of a shingle, of the line in lower case with single spaces.
@@ -178,8 +177,9 @@ def classes(
 
     def whole(ids: DataFrame) -> DataFrame:
         wanted = ids.select(F.col("id").alias("d1")).distinct()
-        for old in fetched:
-            wanted = wanted.join(old.select(F.col("id").alias("d1")), "d1", "left_anti")
+        if fetched:
+            known = together(fetched).select(F.col("id").alias("d1"))
+            wanted = wanted.join(known, "d1", "left_anti")
         wanted = store(wanted, "lines-wanted")
         if not fetched or not wanted.isEmpty():
             named = wanted.join(equal, "d1").select(
@@ -190,7 +190,7 @@ def classes(
             line = F.get(F.split("text", "\n"), F.col("_no"))
             some = texts.select("id", line.alias("body")).groupBy("id").agg(F.min("body").alias("body"))
             fetched.append(store(some.withColumn("weight", F.length("body")), "lines-text"))
-        return functools.reduce(DataFrame.unionByName, fetched)
+        return together(fetched)
 
     def verify(pairs: DataFrame) -> DataFrame:
         known = whole(pairs.select(F.col("a").alias("id")).union(pairs.select("b")))

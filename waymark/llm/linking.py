@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import for_python, release, store
+from .common import for_python, release, store, together
 
 #: The sketches of a node's unconnected pairs are compared if there are at most so many for
 #: each member, and if at most so many of these are expected to pass.
@@ -174,21 +174,18 @@ def link(
         info = F.struct("n", "s1", "s2").alias("info")
         small = nodes.where(F.col("size") <= few).join(infos.select("id", info), "id")
         one, two = small.alias("x"), small.alias("y")
-        search.add(
-            one.join(
-                two,
-                (F.col("x.node") == F.col("y.node")) & (F.col("x.id") < F.col("y.id"))
-                & compatible(F.col("x.info"), F.col("y.info"), percent, differ),
-            ).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-        )
+        pairs = one.join(
+            two,
+            (F.col("x.node") == F.col("y.node")) & (F.col("x.id") < F.col("y.id"))
+            & compatible(F.col("x.info"), F.col("y.info"), percent, differ),
+        ).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
         large = nodes.where(F.col("size") > few)
         # What most members resemble is met in many large nodes: it makes a good pivot.
         fame = large.groupBy("id").agg(F.sum("size").alias("fame"))
         crowd = large.join(infos.join(fame, "id").select("id", info, "fame"), "id")
         crowd = store(crowd.select("node", "id", "fame", "info"), "link-crowd")
-        release(nodes)
         if crowd.isEmpty():
-            release(crowd)
+            search.add(pairs, nodes, crowd)
             return search.known()
         pivots = crowd.groupBy("node", F.pmod(F.xxhash64("id"), F.lit(PIVOTS)).alias("turn")).agg(
             F.max(F.struct("fame", "id", "info")).alias("p")
@@ -206,7 +203,7 @@ def link(
         star = near.where("near").select(
             F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")
         )
-        search.add(star)
+        search.add(pairs.unionByName(star), nodes)
         # What is connected by now, and what is left in each node.
         placed = crowd.join(
             search.known().withColumnRenamed("node", "id"), "id", "left"
@@ -347,32 +344,37 @@ class _Search:
 
     def __init__(self, verify: Callable[[DataFrame], DataFrame]) -> None:
         self.verify = verify
-        self.seen: DataFrame | None = None
-        self.edges: DataFrame | None = None
+        self.seen: list[DataFrame] = []
+        self.links: list[DataFrame] = []
         self.parts: DataFrame | None = None
 
-    def add(self, pairs: DataFrame) -> None:
+    def add(self, pairs: DataFrame, *done: DataFrame) -> None:
+        """Compare pairs; stored tables that nothing but they are made of, `done`, go before."""
         pairs = pairs.distinct()
-        if self.seen is not None:
-            pairs = pairs.join(self.seen, ["a", "b"], "left_anti")
+        if self.seen:
+            pairs = pairs.join(together(self.seen), ["a", "b"], "left_anti")
         pairs = store(pairs, "link-pairs")
-        if self.seen is not None and pairs.isEmpty():
+        release(*done)
+        if self.seen and pairs.isEmpty():
+            release(pairs)
             return
-        self.seen = pairs if self.seen is None else self.seen.unionByName(pairs)
+        self.seen.append(pairs)
         self.join(self.verify(pairs))
 
     def join(self, links: DataFrame) -> None:
         good = store(links, "link-good")
-        if self.edges is None:
-            self.edges = good
-        elif not good.isEmpty():
-            if self.parts is not None:
-                self.edges = self.parts.select(F.col("root").alias("a"), F.col("node").alias("b"))
-                self.parts = None
-            self.edges = self.edges.unionByName(good)
+        first = not self.links and self.parts is None
+        if first or not good.isEmpty():
+            self.links.append(good)
 
     def known(self) -> DataFrame:
         """node, root of all linked ids."""
-        if self.parts is None:
-            self.parts = store(components(self.edges), "link-known")
+        if self.links or self.parts is None:
+            edges = together(self.links)
+            if self.parts is not None:
+                edges = edges.unionByName(
+                    self.parts.select(F.col("root").alias("a"), F.col("node").alias("b"))
+                )
+            self.parts = store(components(edges), "link-known")
+            self.links = []
         return self.parts

@@ -8,7 +8,6 @@ and so many paths that similar documents go on together in two of them on averag
 
 from __future__ import annotations
 
-import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -17,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, columns_of, for_python, placed, rows, rows_of, store
+from .common import blocks, columns_of, for_python, placed, rows, rows_of, store, together
 from .linking import draws, link, sketches
 
 #: Words of a shingle.
@@ -148,8 +147,8 @@ def classes(
     def whole(ids: DataFrame) -> DataFrame:
         # The whole sets of the documents that have a candidate, made when first asked for.
         wanted = ids.distinct()
-        for old in stored:
-            wanted = wanted.join(old.select("id"), "id", "left_anti")
+        if stored:
+            wanted = wanted.join(together(stored).select("id"), "id", "left_anti")
         wanted = store(wanted, "dedup-wanted")
         if not stored or not wanted.isEmpty():
             wanted = wanted.join(sets.select("id", "place"), "id").select(
@@ -157,7 +156,7 @@ def classes(
                 F.col("place.key").alias("_key"),
             )
             stored.append(store(_sets_of(documents, wanted, words, id_col, text_col), "dedup-full"))
-        return _union(stored)
+        return together(stored)
 
     def verify(pairs: DataFrame) -> DataFrame:
         full = whole(pairs.select(F.col("a").alias("id")).union(pairs.select("b")))
@@ -205,10 +204,6 @@ def _sets_of(
     return made.groupBy("id").agg(F.first("body").alias("body"), F.first("weight").alias("weight"))
 
 
-def _union(tables: list[DataFrame]) -> DataFrame:
-    return functools.reduce(DataFrame.unionByName, tables)
-
-
 def _similar(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole sets are similar enough."""
     both = pairs.join(
