@@ -41,6 +41,7 @@ from waymark.sources.quarantine import sort_rows
 from waymark.sources.registry import (
     apply_deletes,
     export_tsv,
+    export_xml,
     load_registry,
     replace_dictionary,
 )
@@ -120,15 +121,6 @@ def _tsv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _xml_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _by_xml(spark, sf_dir, None)
-
-
-def _xml_single_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As the original is published: all versions in one file, read in splits."""
-    return _by_xml(spark, sf_dir, 1)
-
-
-def _by_xml(spark: SparkSession, sf_dir: str, files: int | None) -> DataFrame:
     f = Fixture(spark, sf_dir)
     folder = _new_folder(spark, "xml")
     for df, spec in ((f.addrobj, ADDROBJ), (f.socrbase, SOCRBASE)):
@@ -138,13 +130,21 @@ def _by_xml(spark: SparkSession, sf_dir: str, files: int | None) -> DataFrame:
             if kind.typeName() == "boolean":
                 value = value.cast("int")
             columns.append(value.cast("string").alias("_" + name.upper()))
-        rows = df.select(columns)
-        writer = (rows.coalesce(files) if files else rows).write.format("xml").option("attributePrefix", "_")
+        writer = df.select(columns).write.format("xml").option("attributePrefix", "_")
         writer = writer.option("rowTag", spec.row_tag).option("rootTag", "Rows")
         writer.save(f"{folder}/AS_{spec.name}_20210901_a1.XML")
     return load_registry(spark, folder)["addrobj"].drop("id")
 
 
+def _xml_single_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As the original is published: all versions in one file, read in splits."""
+    f = Fixture(spark, sf_dir)
+    folder = _new_folder(spark, "xml")
+    for df, spec in ((f.addrobj, ADDROBJ), (f.socrbase, SOCRBASE)):
+        export_xml(df, f"{folder}/AS_{spec.name}_20210901_a1.XML", spec)
+    return load_registry(spark, folder)["addrobj"].drop("id")
+
+
 def _numbered_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The part that each row of an export is in, and its line there."""
     f = Fixture(spark, sf_dir)

@@ -7,6 +7,7 @@ from xml.sax.saxutils import quoteattr
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from waymark.functions.markup import INLINE, strip_markup
 from waymark.operators.dictionary import most_frequent
@@ -15,7 +16,7 @@ from waymark.schemas import ADDROBJ, AOTRIG, SOCRBASE
 from waymark.settings import SearchSettings
 from waymark.sources.quarantine import sort_rows
 from waymark.sources.readers import escape, read_dictionary_text, read_tsv, read_xml, unescape
-from waymark.sources.registry import export_tsv, load_registry, replace_dictionary
+from waymark.sources.registry import export_tsv, export_xml, load_registry, replace_dictionary
 from waymark.sources.versions import append_table, open_table, save_table, versions
 
 
@@ -269,3 +270,30 @@ def test_markup(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     for r in df.select("t", strip_markup(F.col("t")).alias("s")).collect():
         assert r.s == (None if r.t is None else strip(r.t)), r.t
+
+
+def test_one_xml_file_holds_what_the_writer_of_spark_writes(spark, tmp_path):
+    odd = [
+        ("a\"1", "A&1", "st", "<b> 'x' > \t\n\r y ", 7, None, True, False, "é\u00a0\U0001f600", 5),
+        ("a2", "A2", " st", "", None, "A1", None, None, None, None),
+        ("a3", None, None, None, 6, None, False, True, None, 1),
+    ]
+    df = spark.createDataFrame(odd * 50, T.StructType([T.StructField(c, k) for c, k in ADDROBJ.columns.items()]))
+    path = tmp_path / "one" / "AS_ADDROBJ_20210901_a1.XML"
+    export_xml(df.repartition(7), f"file://{path}", ADDROBJ)
+    assert [p.name for p in path.parent.iterdir() if not p.name.startswith(".")] == [path.name]
+    columns = [F.col(c).cast("int" if k.typeName() == "boolean" else "string").cast("string").alias(f"_{c.upper()}") for c, k in ADDROBJ.columns.items()]
+    writer = df.coalesce(1).select(columns).write.format("xml").option("attributePrefix", "_")
+    writer.option("rowTag", ADDROBJ.row_tag).option("rootTag", "Rows").save(str(tmp_path / "spark"))
+    (old,) = (tmp_path / "spark").glob("part-*")
+    lines = lambda p: [x.strip() for x in p.read_text("utf-8").splitlines()]
+    assert sorted(lines(path)) == sorted(lines(old))
+    assert lines(path)[:2] == lines(old)[:2] and lines(path)[-1] == lines(old)[-1] == "</Rows>"
+    assert read_xml(spark, str(path), ADDROBJ).count() == 150
+
+
+def test_one_xml_file_of_no_rows(spark, tmp_path):
+    path = tmp_path / "AS_ADDROBJ_20210901_a1.XML"
+    export_xml(spark.createDataFrame([], ADDROBJ.schema), str(path), ADDROBJ)
+    assert path.read_text().endswith("<Rows>\n</Rows>")
+    assert read_xml(spark, str(path), ADDROBJ).isEmpty()

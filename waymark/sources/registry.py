@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from waymark.plans.files import Files
 from waymark.plans.order import numbered
-from waymark.plans.stage import stage
+from waymark.plans.stage import measured, stage
 from waymark.schemas import AOTRIG, IMPORTABLE, TABLES, TableSpec, typed
 from waymark.settings import DEFAULTS, SearchSettings
 from waymark.sources.checks import validate
@@ -86,6 +86,39 @@ def replace_dictionary(spark: SparkSession, lines: str, path: str) -> DataFrame:
     return save_table(words, path)
 
 
+def export_xml(df: DataFrame, path: str, spec: TableSpec) -> None:
+    """Write a table as one XML file that `load_registry` reads, an element a row with
+    its values as attributes; nulls are left out, booleans become 1 and 0.
+
+    The elements are made by many tasks. Only one can write a file: it copies them, which is the
+    least there is to do for each row, and puts the root around them."""
+    columns = []
+    for name, kind in spec.columns.items():
+        value = F.col(name)
+        if kind.typeName() == "boolean":
+            value = value.cast("int")
+        columns.append(value.cast("string").alias("_" + name.upper()))
+    options = {"attributePrefix": "_", "rowTag": spec.row_tag}
+    elements = stage(df.select(F.to_xml(F.struct(*columns), options).alias("value")), "xml-elements")
+    first, last = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>\n<Rows>\n', "\n</Rows>"
+    files = Files(df.sparkSession, path)
+    total = measured(elements)
+    if not total:
+        files.create(path, first + last.lstrip())
+        return
+    # The one task numbers what it copies from 0.
+    placed = elements.coalesce(1).select("value", F.monotonically_increasing_id().alias("n"))
+    start = F.when(F.col("n") == 0, first).otherwise("")
+    end = F.when(F.col("n") == total - 1, last).otherwise("")
+    raw = f"{path.rpartition('/')[0]}/_writing-{uuid.uuid4().hex}"
+    placed.select(F.concat(start, "value", end).alias("value")).write.option(
+        "compression", "none"
+    ).text(raw)
+    (written,) = files.found(f"{raw}/part-*")
+    files.move(written, path)
+    files.remove(raw)
+
+
 def export_tsv(
     df: DataFrame,
     folder: str,
