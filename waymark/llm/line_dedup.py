@@ -21,8 +21,6 @@ CHARS = 5
 BANDS, ROWS = 10, 3
 PERCENT = 80
 LEVELS = 4
-#: All pairs of a bucket of so many lines are compared by their sketches.
-FEW = 32
 #: Characters that are hashed at a time, about.
 CACHED = 1 << 17
 #: Characters of the pairs that are compared at a time, about.
@@ -155,9 +153,11 @@ def classes(
     place = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "line_no", "key")
     equal = store(rows.groupBy("d1", "d2").agg(F.min(place).alias("place")), "lines-equal")
     signed = rows.where(F.col("bands").isNotNull())
-    members = signed.select(F.explode("bands").alias("node"), F.col("d1").alias("id"))
+    members = signed.select(
+        F.explode("bands").alias("node"), F.col("d1").alias("id"), F.lit(1).cast("long").alias("n"), "s1", "s2"
+    )
     infos = signed.groupBy(F.col("d1").alias("id")).agg(
-        F.lit(1).alias("n"), F.min("s1").alias("s1"), F.min("s2").alias("s2")
+        F.lit(1).cast("long").alias("n"), F.min("s1").alias("s1"), F.min("s2").alias("s2")
     )
 
     def branch(many: DataFrame, level: int) -> DataFrame:
@@ -200,7 +200,7 @@ def classes(
         code, bounds = shingle_sets(bodies)
         return np.split(code, bounds[1:-1])
 
-    found = link(members, infos, verify, whole, decode, branch, percent, LEVELS, FEW)
+    found = link(members, infos, verify, whole, decode, branch, percent, LEVELS)
     part = equal.join(found.withColumnRenamed("node", "d1"), "d1", "left").withColumn(
         "root", F.coalesce("root", "d1")
     )

@@ -127,9 +127,9 @@ def classes(
     sets = store(sets.withColumn("id", number), "dedup-sets")
     infos = sets.select("id", "n", "s1", "s2")
     roots = F.slice("tokens", 1, trees)
-    members = sets.select("id", F.posexplode(roots).alias("tree", "token")).select(
-        F.xxhash64("tree", "token").alias("node"), "id"
-    )
+    members = sets.select(
+        "id", "n", "s1", "s2", F.posexplode(roots).alias("tree", "token")
+    ).select(F.xxhash64("tree", "token").alias("node"), "id", "n", "s1", "s2")
 
     def branch(many: DataFrame, level: int) -> DataFrame:
         joined = many.join(sets.select("id", "tokens"), "id")
