@@ -201,12 +201,17 @@ def classes(
         return np.split(code, bounds[1:-1])
 
     found = link(members, infos, verify, whole, decode, branch, percent, LEVELS)
-    part = equal.join(found.withColumnRenamed("node", "d1"), "d1", "left").withColumn(
-        "root", F.coalesce("root", "d1")
-    )
+    part = found.withColumnRenamed("node", "d1").join(equal, "d1")
     first = part.groupBy("root").agg(F.min("place").alias("first"))
-    named = part.join(first, "root").select("d1", "d2", "first")
-    return rows.select("doc_id", "key", "line_no", "d1", "d2").join(named, ["d1", "d2"]).select(
+    linked = found.withColumnRenamed("node", "d1").join(first, "root").select("d1", "first")
+    # Of the lines that are linked with none each is its own first.
+    named = equal.join(linked, "d1", "left").select(
+        "d1", "d2", F.coalesce("first", "place").alias("first")
+    )
+    # `named` is dealt by d1 already; the other half of the digest is compared beside it.
+    named = named.withColumnsRenamed({"d1": "_d1", "d2": "_d2"})
+    same = (F.col("d1") == F.col("_d1")) & (F.col("d2").bitwiseXOR(F.col("_d2")) == 0)
+    return rows.select("doc_id", "key", "line_no", "d1", "d2").join(named, same).select(
         "doc_id", "key", "line_no", F.col("first.doc_id").alias("keep_doc_id"),
         F.col("first.line_no").alias("keep_line_no"),
         (
