@@ -77,3 +77,24 @@ def test_terms_need_no_postings(spark, monkeypatch):
     index = build_index(spark.createDataFrame(_docs(20), DOCS))
     assert index.terms.count() > 20 and written == ["index-docs", "index-terms"]
     assert index.postings.count() > 0 and "index-postings" in written
+
+
+@pytest.mark.parametrize("rare_rows", [3, 60])
+def test_classes_of_listed_and_joined_common_terms(spark, monkeypatch, rare_rows):
+    settings = SearchSettings(rare_rows=rare_rows)
+    docs = _docs(120) + [(500, "a500", "c0-d1 e", "st", 1), (501, "a501", "-", "st", 0)]
+    rows = lambda df: sorted(map(str, df.select(*sorted(df.columns)).collect()))
+    tables = []
+    for most in (0, 500):
+        monkeypatch.setattr(matching, "MOST_LISTED", most)
+        index = build_index(spark.createDataFrame(docs, DOCS), settings)
+        tables.append([rows(x) for x in (index.postings, index.classes, index.members, index.sized)])
+    assert tables[0] == tables[1] and all(tables[0])
+
+
+def test_index_is_built_by_one_shuffle_of_documents(spark):
+    index = build_index(spark.createDataFrame(_docs(60), DOCS), SearchSettings(rare_rows=10))
+    masked = matching._masked(index._rows, index._terms, index._settings)
+    assert "Exchange" not in masked._jdf.queryExecution().executedPlan().toString()
+    # Names and counts of terms are lists of the document, no structure for each term.
+    assert dict(index._rows.dtypes)["names"] == "array<string>"

@@ -257,3 +257,21 @@ def test_query_variants(spark):
     ]
     strong = plan_queries(varied, strong=True)
     assert {r["request_id"] for r in strong.collect()} == {1, 2}  # 3 has an empty variation
+
+
+def test_plans_make_each_list_once(spark):
+    varied = spark.createDataFrame(
+        [(1, 0, [("a", 1.0)], []), (1, 1, [("b", 1.0)], [("st", 1.0)])],
+        "request_id bigint, pos int, full array<struct<term:string,boost:double>>, "
+        "abbr array<struct<term:string,boost:double>>")
+    plan = plan_queries(varied)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("array_join") == 2, plan  # one for each of the two lists of a word
+
+
+def test_index_terms_with_and_without_hyphens(spark):
+    texts = ["а б  в", "а-б в", "-", "", None, "x -y- z-w-q"]
+    got = [t and [(x["term"], x["pos"]) for x in t] for t in column(spark, texts, T.index_terms)]
+    assert got == [
+        [("а", 0), ("б", 1), ("в", 2)], [("а", 0), ("б", 1), ("а-б", 0), ("в", 2)], [], [], None,
+        [("x", 0), ("y", 1), ("z", 2), ("w", 3), ("q", 4), ("z-w-q", 2)],
+    ]

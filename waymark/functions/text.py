@@ -81,7 +81,11 @@ def index_terms(text: Column) -> Column:
         whole = F.struct(part["whole"].alias("term"), (i - part["last"]).alias("pos"))
         return F.when(part["whole"].isNull(), F.array(plain)).otherwise(F.array(plain, whole))
 
-    return F.flatten(F.transform(F.flatten(F.transform(chunks(text), parts)), placed))
+    joined = F.flatten(F.transform(F.flatten(F.transform(chunks(text), parts)), placed))
+    plain = F.transform(
+        chunks(text), lambda w, i: F.struct(w.alias("term"), i.alias("pos"))
+    )
+    return F.when(text.contains("-"), joined).otherwise(plain)
 
 
 def count_spaces(text: Column) -> Column:

@@ -25,6 +25,7 @@ from waymark.settings import DEFAULTS, SearchSettings
 SATURATION = 1.2  # the usual constant of the BM25 family
 DOCS_PER_PART = 4_000
 MAX_BITS = 62
+MOST_LISTED = 500  # common terms that go to all tasks as a list
 
 
 @dataclass(frozen=True)
@@ -97,7 +98,8 @@ def expand_terms(terms: DataFrame, settings: SearchSettings = DEFAULTS) -> DataF
 def _steps(positions: Column) -> Column:
     """Steps between positions, the first from -1; null where all are 1."""
     steps = F.transform(positions, lambda p, i: p - F.when(i > 0, F.get(positions, i - 1)).otherwise(-1))
-    return F.when(F.exists(steps, lambda x: x != 1), steps)
+    in_a_row = positions == F.sequence(F.lit(0), F.size(positions) - 1)
+    return F.when(~in_a_row, F.when(F.exists(steps, lambda x: x != 1), steps))
 
 
 def _documents(paths: DataFrame, seed: int) -> DataFrame:
@@ -116,56 +118,75 @@ def _documents(paths: DataFrame, seed: int) -> DataFrame:
         F.col("s.term").alias("s_terms"), F.col("s.pos").alias("s_pos"),
     )
 
-    def distinct(field: str) -> Column:
-        """The distinct terms of a field with their numbers and occurrences,
-        counted within the row of the document, without a shuffle."""
+    def tids(field: str, terms: str) -> Column:
+        return F.transform(terms, lambda t: term_number(F.lit(field), t, seed))
+
+    def times(field: str) -> Column:
+        """The occurrences of the distinct terms of a field, counted within the row of
+        the document, without a shuffle."""
         terms = F.col(f"{field}_terms")
         return F.transform(
-            F.array_distinct(terms),
-            lambda t: F.struct(
-                F.lit(field).alias("field"),
-                t.alias("term"),
-                term_number(F.lit(field), t, seed).alias("tid"),
-                F.size(F.filter(terms, lambda x: x == t)).alias("n"),
-            ),
+            f"{field}_distinct", lambda t: F.size(F.filter(terms, lambda x: x == t))
         )
 
-    def numbers(field: str) -> list[Column]:
-        terms = F.transform(f"{field}_terms", lambda t: term_number(F.lit(field), t, seed))
-        return [terms.alias(f"{field}_ids"), _steps(F.col(f"{field}_pos")).alias(f"{field}_steps")]
-
-    docs = docs.withColumn("items", F.concat(distinct("f"), distinct("s")))
-    docs = docs.withColumn("plain", F.forall("items", lambda i: i["n"] == 1))
-    sats = F.transform("items", lambda i: i["n"] / (i["n"] + SATURATION))
+    def numbers(field: str, before: Column) -> list[Column]:
+        """The numbers are those of the distinct terms where no term comes twice."""
+        mine = F.slice("ids", before + 1, F.size(f"{field}_terms"))
+        ids = F.when(F.col(f"{field}_once"), mine).otherwise(tids(field, f"{field}_terms"))
+        return [ids.alias(f"{field}_ids"), _steps(F.col(f"{field}_pos")).alias(f"{field}_steps")]
+
+    for field in ("f", "s"):
+        docs = docs.withColumn(f"{field}_distinct", F.array_distinct(f"{field}_terms"))
+    once = {k: F.size(f"{k}_distinct") == F.size(f"{k}_terms") for k in ("f", "s")}
+    docs = docs.withColumns({f"{k}_once": c for k, c in once.items()})
+    docs = docs.withColumn("ids", F.concat(tids("f", "f_distinct"), tids("s", "s_distinct")))
+    docs = docs.withColumn("plain", F.col("f_once") & F.col("s_once"))
+    docs = docs.withColumn("times", F.when(~F.col("plain"), F.concat(times("f"), times("s"))))
     return docs.select(
-        "doc", "doc_id", "aoid", "fullname", "wordcount", "items", "plain",
-        F.col("items.tid").alias("ids"),
-        F.when(~F.col("plain"), sats).alias("sats"),
-        *numbers("f"), *numbers("s"),
+        "doc", "doc_id", "aoid", "fullname", "wordcount", "plain", "ids", "times",
+        F.concat("f_distinct", "s_distinct").alias("names"), F.size("f_distinct").alias("n_f"),
+        F.transform("times", lambda n: n / (n + SATURATION)).alias("sats"),
+        *numbers("f", F.lit(0)), *numbers("s", F.size("f_distinct")),
     )
 
 
 FORM = ["wordcount", "f_ids", "f_steps", "s_ids", "s_steps"]
 
 
-def _classes(docs: DataFrame, terms: DataFrame, settings: SearchSettings) -> DataFrame:
-    """Documents (doc, FORM) in the order of their classes, with the place `n`: rare terms
-    have the number 0."""
-    common = terms.where("common").select("tid")
-    counts = terms.where("common").select("tid", F.col("df").alias("_rows"))
-    rows = docs.select("doc", F.explode("ids").alias("tid"))
-    hot = heaviest(counts, ["tid"], settings.rows_per_task)
-    known = salted_join(rows, common, ["tid"], ["doc"], hot)
-    known = known.groupBy("doc").agg(F.collect_list("tid").alias("common"))
-    known = docs.select("doc", *FORM).join(known, "doc", "left")
+def _listed(terms: DataFrame) -> list[int] | None:
+    """The numbers of the common terms; None if there are too many for a list."""
+    found = terms.where("common").select("tid").limit(MOST_LISTED + 1).collect()
+    return [r["tid"] for r in found] if len(found) <= MOST_LISTED else None
+
+
+def _masked(docs: DataFrame, terms: DataFrame, settings: SearchSettings) -> DataFrame:
+    """Documents (doc, FORM) in which rare terms have the number 0. Few common terms, as
+    usual, are told to each task; many are joined."""
+    listed = _listed(terms)
+    known = docs
+    if listed is None:
+        common = terms.where("common").select("tid")
+        counts = terms.where("common").select("tid", F.col("df").alias("_rows"))
+        rows = docs.select("doc", F.explode("ids").alias("tid"))
+        hot = heaviest(counts, ["tid"], settings.rows_per_task)
+        known = salted_join(rows, common, ["tid"], ["doc"], hot)
+        known = known.groupBy("doc").agg(F.collect_list("tid").alias("common"))
+        known = docs.select("doc", *FORM).join(known, "doc", "left")
+        known = known.withColumn("common", F.coalesce("common", F.array().cast("array<bigint>")))
 
     def masked(ids: str) -> Column:
+        among = lambda t: F.array_contains("common", t) if listed is None else t.isin(listed)
         zero = F.lit(0).cast("bigint")
-        return F.transform(ids, lambda t: F.when(F.array_contains("common", t), t).otherwise(zero))
+        return F.transform(ids, lambda t: F.when(among(t), t).otherwise(zero)).alias(ids)
 
-    known = known.withColumn("common", F.coalesce("common", F.array().cast("array<bigint>")))
-    known = known.withColumn("f_ids", masked("f_ids")).withColumn("s_ids", masked("s_ids"))
-    return numbered(known.select("doc", *FORM), [*FORM, "doc"], "index-members")
+    return known.select("doc", "wordcount", masked("f_ids"), "f_steps", masked("s_ids"), "s_steps")
+
+
+def _classes(docs: DataFrame, terms: DataFrame, settings: SearchSettings) -> DataFrame:
+    """Documents (doc, FORM) in the order of their classes, with the place `n`: rare terms
+    have the number 0. Digests come first, as they are sooner compared."""
+    order = [F.xxhash64(*FORM), *FORM, "doc"]
+    return numbered(_masked(docs, terms, settings), order, "index-members")
 
 
 def _class_postings(members: DataFrame) -> DataFrame:
@@ -193,8 +214,13 @@ def build_index(
         n_docs = docs.count()
     # A common term has many documents, or so many that it takes from a rank.
     common = (F.col("df") > settings.rare_rows) | (2 * F.col("df") > n_docs + 1)
+    items = docs.select("n_f", "times", F.posexplode(F.arrays_zip("names", "ids")))
     terms = (
-        docs.select(F.inline("items"))
+        items.select(
+            F.when(F.col("pos") < F.col("n_f"), "f").otherwise("s").alias("field"),
+            F.col("col.names").alias("term"), F.col("col.ids").alias("tid"),
+            F.coalesce(F.get("times", F.col("pos")), F.lit(1)).alias("n"),
+        )
         .groupBy("field", "term", "tid")
         .agg(F.count(F.lit(1)).alias("df"), F.max("n").alias("most"))
         .withColumn("common", common)
@@ -234,11 +260,15 @@ class BuiltIndex:
 
     @cached_property
     def postings(self) -> DataFrame:
-        masked = self._members.select("doc", F.concat("f_ids", "s_ids").alias("common"))
-        spread = self._rows.join(masked, "doc").repartition(1 + self.n_docs // DOCS_PER_PART, "doc")
-        postings = spread.select(
+        listed, rows = _listed(self._terms), self._rows
+        if listed is None:
+            masked = self._members.select("doc", F.concat("f_ids", "s_ids").alias("common"))
+            rows, rare = rows.join(masked, "doc"), F.array_except("ids", "common")
+        else:
+            rare = F.filter("ids", lambda t: ~t.isin(listed))
+        postings = rows.select(
             "doc", "wordcount", "plain", "ids", "sats", "f_ids", "f_steps", "s_ids", "s_steps",
-            F.explode(F.array_except("ids", "common")).alias("tid"),
+            F.explode(rare).alias("tid"),
         )
         return stage(postings, "index-postings")
 
