@@ -98,3 +98,23 @@ def test_index_is_built_by_one_shuffle_of_documents(spark):
     assert "Exchange" not in masked._jdf.queryExecution().executedPlan().toString()
     # Names and counts of terms are lists of the document, no structure for each term.
     assert dict(index._rows.dtypes)["names"] == "array<string>"
+
+
+def test_large_tables_are_read_for_distinct_terms(spark, monkeypatch):
+    staged, stage = {}, matching.stage
+
+    def kept(df, name, *m):
+        staged[name] = stage(df, name, *m)
+        return staged[name]
+
+    monkeypatch.setattr(matching, "stage", kept)
+    variants = [(i, 0, op, [[("c0", 1.0)], [("d1", 1.0)], [("u1*", 0.9)], [(f"u{i % 3}", 1.0)]], ["st"], n)
+                for i in range(6) for n, op in enumerate(("and", "maybe"), 4)]
+    index = build_index(spark.createDataFrame(_docs(200), DOCS), SearchSettings(rare_rows=20))
+    hits = match_requests(spark.createDataFrame(variants, VARIANTS), index, SearchSettings(rare_rows=20))
+    assert hits.count() > 0
+    asked = {(r["field"], r["term"]) for r in staged["match-terms"].collect()}
+    assert len(asked) == staged["match-terms"].count() and ("f", "u1") in asked and ("s", "st") in asked
+    assert staged["match-prefixes"].count() == 1
+    # Of the postings only those of the terms looked up are joined.
+    assert staged["match-tids"].count() == staged["match-tids"].distinct().count() <= len(asked)

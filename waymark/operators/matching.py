@@ -308,14 +308,19 @@ def _query_terms(
     starred = asked.where("starred").withColumnRenamed("term", "prefix").drop("starred")
     spread = ["variant", "g"]
     limit = settings.rows_per_task
+    # The large tables are read for the distinct prefixes and terms, of known number.
+    prefixes = stage(starred.select("prefix").distinct(), "match-prefixes")
+    expanded = stage(
+        index.expansions.select("prefix", "term").join(prefixes, "prefix"), "match-expanded"
+    )
     starred = skew_join(
-        starred, index.expansions.select("prefix", "term"), ["prefix"], spread, "left", limit,
-        at_most=n_terms,
+        starred, expanded, ["prefix"], spread, "left", limit, at_most=n_terms
     ).drop("prefix")
-    rows = plain.unionByName(starred)
-    n_rows = None if n_terms is None else n_terms * settings.expansion_limit
+    rows = stage(plain.unionByName(starred), "match-rows")
+    asked = stage(rows.select("field", "term").distinct(), "match-terms")
+    known = stage(index.sized.join(asked, ["field", "term"]), "match-known")
     return skew_join(
-        rows, index.sized, ["field", "term"], spread, "left", limit, at_most=n_rows
+        rows, known, ["field", "term"], spread, "left", limit, at_most=measured(rows)
     )
 
 
@@ -621,7 +626,10 @@ def _by_rare_terms(
     probed = F.array_sort(F.array_distinct(F.coalesce(cheapest, to_look_up(rare))))
     probed = resolved.select("variant", probed.alias("probed"))
     asked = _asked(resolved, strong, False).join(probed, "variant")
-    return _look_up(asked, index.postings, ["doc"], settings, strong)
+    # Few of all postings are asked for: the others are left out where they are read.
+    tids = stage(probed.select(F.explode("probed.tid").alias("tid")).distinct(), "match-tids")
+    postings = index.postings.join(tids, "tid", "left_semi")
+    return _look_up(asked, postings, ["doc"], settings, strong)
 
 
 def _by_classes(
